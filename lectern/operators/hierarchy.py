@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.session import cut_lineage
+from lectern.session import materialize
 
 OK, CYCLE, MISSING = "ok", "collection_cycle", "missing_collection"
 
@@ -35,7 +35,7 @@ def ancestor_paths(nodes: DataFrame, key: str, parent: str, name: str, separator
     )
     open_before = None
     while True:
-        state = cut_lineage(state)
+        state = materialize(state)
         still_open = state.where("_next IS NOT NULL").count()
         if still_open == 0 or still_open == open_before:
             break

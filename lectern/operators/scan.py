@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.fixedpoint import int_div
-from lectern.session import cut_lineage
+from lectern.session import materialize
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def ordered_scan(
         slotted = df.withColumn("_slot", slot)
     else:
         ranges = [F.col(k) for k in keys] + list(order)
-        slotted = cut_lineage(
+        slotted = materialize(
             df.repartitionByRange(*ranges).withColumn("_slot", F.spark_partition_id())
         )
     work = slotted.withColumns({f"_v_{n}": s.value for n, s in scans.items()})

@@ -97,3 +97,64 @@ lines AS (
 def rounded(column: str | Column, places: int = 6) -> Column:
     # Adding zero turns a rounded -0.0 into 0.0.
     return F.round(F.col(column) if isinstance(column, str) else column, places) + 0.0
+
+
+def items(spark: SparkSession, folder: str) -> DataFrame:
+    """Document lines as parsed layout items: short lines are headings, places follow from the order."""
+    n, pos = F.length("line"), F.col("pos")
+    heading = n.between(1, 39)
+    label = (
+        F.when(heading, "section_header")
+        .when(pos % 13 == 4, "table")
+        .when(pos % 13 == 8, "picture")
+        .when(pos % 11 == 5, "caption")
+        .when(pos % 11 == 7, "list_item")
+        .when(pos % 11 == 9, "formula")
+        .when(pos % 17 == 3, "page_footer")
+        .otherwise("text")
+    )
+    top = (pos % 30) * 25 + 4
+    height = 8 + n % 40
+    flipped = pos % 3 == 0
+    left = 30 + (pos % 2) * 280
+    width = F.when(n % 50 == 0, 900).otherwise(60 + n % 260)
+    return lines(spark, folder).select(
+        "doc_id", "pos", F.col("line").alias("text"), label.alias("label"),
+        (1 + n % 3).alias("level"),
+        (F.floor(pos / 30) + 1).cast("bigint").alias("pdf_page"),
+        left.cast("double").alias("raw_left"),
+        F.when(flipped, 792 - top).otherwise(top).cast("double").alias("raw_top"),
+        (left + width).cast("double").alias("raw_right"),
+        F.when(flipped, 792 - top - height).otherwise(top + height).cast("double").alias("raw_bottom"),
+        F.when(flipped, "bottom_left").otherwise("top_left").alias("origin"),
+    )
+
+
+def document_pages(spark: SparkSession, folder: str) -> DataFrame:
+    odd = F.col("doc_id") % 2 == 1
+    return items(spark, folder).groupBy("doc_id", "pdf_page").agg(
+        F.sum(F.when(F.col("label") == "section_header", 0).otherwise(F.length("text"))).alias("text_chars"),
+        F.count_if(F.col("label").isin("table", "picture")).alias("image_count"),
+    ).select(
+        "*",
+        F.when(odd, 595.0).otherwise(612.0).alias("width"),
+        F.when(odd, 842.0).otherwise(792.0).alias("height"),
+    )
+
+
+ITEMS_SQL = (
+    LINES_SQL
+    + """,
+base AS (SELECT doc_id, pos, line AS text, length(line) AS n, pos // 30 + 1 AS pdf_page, 1 + length(line) % 3 AS level,
+   CASE WHEN length(line) BETWEEN 1 AND 39 THEN 'section_header' WHEN pos % 13 = 4 THEN 'table' WHEN pos % 13 = 8 THEN 'picture'
+        WHEN pos % 11 = 5 THEN 'caption' WHEN pos % 11 = 7 THEN 'list_item' WHEN pos % 11 = 9 THEN 'formula'
+        WHEN pos % 17 = 3 THEN 'page_footer' ELSE 'text' END AS label,
+   CASE WHEN doc_id % 2 = 1 THEN 595.0 ELSE 612.0 END AS width, CASE WHEN doc_id % 2 = 1 THEN 842.0 ELSE 792.0 END AS height FROM lines),
+heads AS (SELECT doc_id, pos, level, text FROM base WHERE label = 'section_header'
+          AND regexp_replace(text, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') <> ''),
+items AS (SELECT *, CAST(30 + (pos % 2) * 280 AS DOUBLE) AS bl,
+   CAST((pos % 30) * 25 + 4 + CASE WHEN pos % 3 = 0 THEN height - 792 ELSE 0 END AS DOUBLE) AS bt,
+   CAST(30 + (pos % 2) * 280 + CASE WHEN n % 50 = 0 THEN 900 ELSE 60 + n % 260 END AS DOUBLE) AS br,
+   CAST((pos % 30) * 25 + 4 + 8 + n % 40 + CASE WHEN pos % 3 = 0 THEN height - 792 ELSE 0 END AS DOUBLE) AS bb FROM base),
+placed AS (SELECT *, bl >= 0 AND bt >= 0 AND br <= width AND bb <= height AS ok FROM items)"""
+)

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lectern.plans import ranking_plans, set_plans, text_plans
+from lectern.plans import document_plans, ranking_plans, set_plans, text_plans
 
-PLANS = {**ranking_plans.PLANS, **text_plans.PLANS, **set_plans.PLANS}
+PLANS = {**ranking_plans.PLANS, **text_plans.PLANS, **set_plans.PLANS, **document_plans.PLANS}
