@@ -31,7 +31,7 @@ def focus(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.min_by("embedding", "paper_id").alias("embedding"))
 
 
-def commands(spark: SparkSession, folder: str) -> DataFrame:
+def as_commands(events: DataFrame) -> DataFrame:
     """Events as reader commands on the paper named in their JSON properties."""
     kind = F.col("event_type")
     action = (
@@ -39,7 +39,7 @@ def commands(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind.isin("purchase", "click"), "set_favorite")
         .otherwise("set_irrelevant")
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         F.get_json_object("props", "$.k").cast("bigint").alias("paper_id"),
         action.alias("action"),
         kind.isin("view", "purchase", "error").alias("value"),
@@ -50,6 +50,10 @@ def commands(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def commands(spark: SparkSession, folder: str) -> DataFrame:
+    return as_commands(table(spark, folder, "events"))
+
+
 COMMANDS_SQL = """
 commands AS (
   SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS paper_id,

@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.operators import caching, constraints, feedback, quality, scan
 from lectern.plans import bindings as b
+from lectern.session import shared_folder
+from lectern.streaming import feedback_stream as feedback_import
 
 
 def feedback_state(spark, folder):
     return feedback.replay(b.commands(spark, folder))
 
 
+def feedback_stream(spark, folder):
+    """The same log as a file stream, imported micro-batch by micro-batch into snapshots."""
+    events = (
+        spark.readStream.schema(b.table(spark, folder, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(folder)
+    )
+    run = f"{shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
+    query = feedback_import.start(b.as_commands(events), f"{run}/state", f"{run}/log")
+    query.awaitTermination()
+    state = feedback_import.current_state(spark, f"{run}/state", query.lastProgress["batchId"])
+    return state.select(
+        "paper_id", "read", "favorite", "irrelevant",
+        F.col("read_watermark.occurred_at").alias("read_watermark"),
+        F.col("preference_watermark.occurred_at").alias("preference_watermark"),
+    )
+
+
 def feedback_projection(spark, folder):
     return feedback.projection(feedback.replay(b.commands(spark, folder)))
 
@@ -270,6 +292,7 @@ def artifact_totals(spark, folder):
 
 PLANS = {
     "feedback_state": (feedback_state, f"WITH {b.STATE_SQL} SELECT * FROM state"),
+    "feedback_stream": (feedback_stream, f"WITH {b.STATE_SQL} SELECT * FROM state"),
     "feedback_projection": (
         feedback_projection,
         f"""WITH {b.STATE_SQL} SELECT paper_id, 'read' AS flag FROM state WHERE read UNION ALL SELECT paper_id, 'favorite' FROM state WHERE favorite
