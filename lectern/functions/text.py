@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import string
 
 from pyspark.sql import Column, functions as F
 
@@ -83,7 +84,9 @@ def version_of_url(url: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit("([a-zA-Z0-9]+)"), 1), F.lower)
+    """Runs of ASCII letters and digits, in lower case."""
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.regexp_extract_all(lowered, F.lit("([a-z0-9]+)"), 1)
 
 
 def path_tokens(path: Column) -> Column:

@@ -30,18 +30,24 @@ LISTED_CLAIMS = (
 
 def parse(answers: DataFrame, answer: str) -> DataFrame:
     """Add ``analysis`` and ``failure``; missing lists become empty, missing claims stay null."""
-    bare = unfenced(F.col(answer))
-    parsed = answers.withColumn("_bare", bare).withColumn("analysis", F.from_json("_bare", ANALYSIS))
-    lists = [f for f, _, _ in LISTED_CLAIMS]
+    # Spark folds field access into from_json and would parse each answer once per
+    # field.  Exploding a one-element array keeps it to a single parse.
+    bare = answers.withColumn("_bare", F.explode(F.array(unfenced(F.col(answer)))))
+    # Inside brackets trailing text is an error too, and a second value shows up as a second element.
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col("_bare"), F.lit("]")))
+    once = F.struct(
+        F.from_json("_bare", ANALYSIS).alias("analysis"),
+        (listed.isNull() | F.variant_get(listed, "$[1]", "string").isNotNull()).alias("malformed"),
+    )
+    parsed = bare.withColumn("_p", F.explode(F.array(once))).select(
+        *answers.columns, "_p.analysis", "_p.malformed"
+    )
     filled = F.col("analysis")
-    for field in lists:
+    for field, _, _ in LISTED_CLAIMS:
         empty = F.array().cast(ANALYSIS[field].dataType)
         filled = filled.withField(field, F.coalesce(F.col("analysis")[field], empty))
-    # Inside brackets trailing text is an error too, and a second value shows up as a second element.
-    listed = F.try_parse_json(F.concat(F.lit("["), F.col("_bare"), F.lit("]")))
-    malformed = listed.isNull() | F.variant_get(listed, "$[1]", "variant").isNotNull()
     invalid = F.col("analysis.paper_id").isNull() | F.col("analysis.english_title").isNull()
-    failure = F.when(malformed, "analysis_malformed_json").when(invalid, "analysis_schema_invalid")
+    failure = F.when(F.col("malformed"), "analysis_malformed_json").when(invalid, "analysis_schema_invalid")
     return parsed.select(
         *answers.columns,
         failure.alias("failure"),

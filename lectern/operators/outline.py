@@ -1,7 +1,8 @@
 """Document structure: sections from headings, boxes on pages, captions, columns.
 
 Items carry ``doc_id, pos`` (reading order), ``text, label, pdf_page`` and, for
-headings, ``level``.
+headings, ``level``; ``item_count``, the number of items of the document, is
+optional and saves work.
 """
 
 from __future__ import annotations
@@ -69,7 +70,9 @@ def outline(items: DataFrame, max_level: int = 8) -> DataFrame:
         for n in range(1, max_level + 1)
     }
     scanned = ordered_scan(
-        items, ["doc_id"], [F.col("pos")], scans, slot=int_div(F.col("pos"), F.lit(SLOT_ITEMS))
+        items, ["doc_id"], [F.col("pos")], scans,
+        slot=int_div(F.col("pos"), F.lit(SLOT_ITEMS)),
+        spanning=F.col("item_count") > SLOT_ITEMS if "item_count" in items.columns else None,
     )
     stack = []
     for n in range(1, max_level + 1):
@@ -89,7 +92,10 @@ def outline(items: DataFrame, max_level: int = 8) -> DataFrame:
 
 
 def place_boxes(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """Boxes with the origin at the top left, null where a box is not inside its page."""
+    """Boxes with the origin at the top left, null where a box is not inside its page.
+
+    ``mapped`` marks the items that become blocks.
+    """
     joined = items.join(pages.select("doc_id", "pdf_page", "width", "height"), ["doc_id", "pdf_page"], "left")
     flipped = F.col("origin") == "bottom_left"
     top = F.when(flipped, F.col("height") - F.col("raw_top")).otherwise(F.col("raw_top"))
@@ -109,7 +115,9 @@ def place_boxes(items: DataFrame, pages: DataFrame) -> DataFrame:
             F.col("raw_right").alias("right"), F.col("_bottom").alias("bottom"),
         ),
     )
-    return sized.withColumn("box", box).drop(
+    placed = sized.withColumn("box", box)
+    mapped = F.col("box").isNotNull() & ~is_visual(F.col("label"))
+    return placed.withColumn("mapped", mapped).drop(
         "_top", "_bottom", "raw_left", "raw_top", "raw_right", "raw_bottom", "origin"
     )
 
@@ -179,24 +187,24 @@ def two_column_pages(placed: DataFrame, grid: float = 1.0, levels: int = 11) ->
     )
 
 
-def visual_captions(visuals: DataFrame, items: DataFrame, blocks: DataFrame) -> DataFrame:
+def visual_captions(visuals: DataFrame, items: DataFrame) -> DataFrame:
     """Caption of each visual from its ``caption_refs``, in reference order, with an issue code.
 
-    ``items`` are all parsed items (doc_id, pos, text, pdf_page); ``blocks`` those
-    that were mapped to a place on a page.
+    ``items`` are all parsed items (doc_id, pos, text, pdf_page) with ``mapped``
+    true for those that became a block on a page.
     """
     refs = visuals.select("doc_id", "pos", "pdf_page", F.posexplode_outer("caption_refs").alias("_nth", "_ref"))
     known = items.select(
-        "doc_id", F.col("pos").alias("_ref"), F.col("text").alias("_text"), F.col("pdf_page").alias("_page")
+        "doc_id", F.col("pos").alias("_ref"), F.col("text").alias("_text"),
+        F.col("pdf_page").alias("_page"), "mapped",
     )
-    mapped = blocks.select("doc_id", F.col("pos").alias("_ref"), F.lit(True).alias("_mapped"))
-    joined = refs.join(known, ["doc_id", "_ref"], "left").join(mapped, ["doc_id", "_ref"], "left")
+    joined = refs.join(known, ["doc_id", "_ref"], "left")
     text = F.trim("_text")
     # A visual refers to a handful of captions.
     grouped = joined.groupBy("doc_id", "pos", "pdf_page").agg(
         F.array_sort(F.collect_list(F.when(text != "", F.struct("_nth", text.alias("t"))))).alias("_texts"),
-        F.count("_mapped").alias("caption_blocks"),
-        F.countDistinct("_page").alias("_pages"),
+        F.count_if("mapped").alias("caption_blocks"),
+        (F.min("_page") != F.max("_page")).alias("_spread"),
         F.bool_or(F.col("_page") != F.col("pdf_page")).alias("_elsewhere"),
     )
     raw = F.array_join(F.transform("_texts", lambda e: e["t"]), " ")
@@ -206,7 +214,7 @@ def visual_captions(visuals: DataFrame, items: DataFrame, blocks: DataFrame) ->
         F.when(found & anchored, raw).alias("caption"),
         F.when(found & ~anchored, "caption_source_not_mapped")
         .when(~found, "caption_not_found").alias("caption_issue"),
-        ((F.col("_pages") > 1) | F.coalesce("_elsewhere", F.lit(False))).alias("cross_page"),
+        (F.coalesce("_spread", F.lit(False)) | F.coalesce("_elsewhere", F.lit(False))).alias("cross_page"),
     )
 
 

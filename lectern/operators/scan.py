@@ -46,11 +46,13 @@ def ordered_scan(
     scans: dict[str, Running],
     slot: Column | None = None,
     totals: dict[str, str] | None = None,
+    spanning: Column | None = None,
 ) -> DataFrame:
     """Add one running column per entry of ``scans``, per ``keys`` in ``order``.
 
     ``keys`` must not be null.  ``totals`` maps a new column to a scan whose
-    whole-key total it should hold.
+    whole-key total it should hold.  ``spanning`` may mark the rows of keys that
+    fill more than one slot; only these are then summed up for carrying.
     """
     keys = list(keys)
     totals = totals or {}
@@ -63,7 +65,8 @@ def ordered_scan(
         )
     work = slotted.withColumns({f"_v_{n}": s.value for n, s in scans.items()})
 
-    per_slot = work.groupBy(*keys, "_slot").agg(
+    carried = work if spanning is None else work.where(spanning)
+    per_slot = carried.groupBy(*keys, "_slot").agg(
         *[s.over(F.col(f"_v_{n}")).alias(f"_t_{n}") for n, s in scans.items()]
     )
     whole = Window.partitionBy(*keys)
@@ -78,10 +81,12 @@ def ordered_scan(
         ],
         F.row_number().over(whole.orderBy("_slot")).alias("_nth"),
     )
-    if slot is None and not totals:
-        # A range slot continues at most one key from the slot before it, so this
-        # side holds no more rows than there are partitions.
-        carry = F.broadcast(carry.where("_nth > 1"))
+    if not totals:
+        carry = carry.where("_nth > 1")
+        if slot is None:
+            # A range slot continues at most one key from the slot before it, so this
+            # side holds no more rows than there are partitions.
+            carry = F.broadcast(carry)
     joined = work.join(carry, [*keys, "_slot"], "left")
 
     local = Window.partitionBy(*keys, "_slot").orderBy(*order)

@@ -9,6 +9,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan of few partitions over all cores before costly work per row.
+
+    A file with one row group is read by one task.  Tables with at least as many
+    splits as there are cores are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def interests(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "embeddings")
@@ -86,8 +100,10 @@ state AS (
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document, in reading order."""
-    return table(spark, folder, "documents").select(
-        "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")
+    split = documents(spark, folder).withColumn("parts", F.split("text", "\n"))
+    return split.select(
+        "doc_id", "lang", "source", F.size("parts").alias("item_count"),
+        F.posexplode("parts").alias("pos", "line"),
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -123,7 +139,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     left = 30 + (pos % 2) * 280
     width = F.when(n % 50 == 0, 900).otherwise(60 + n % 260)
     return lines(spark, folder).select(
-        "doc_id", "pos", F.col("line").alias("text"), label.alias("label"),
+        "doc_id", "pos", "item_count", F.col("line").alias("text"), label.alias("label"),
         (1 + n % 3).alias("level"),
         (F.floor(pos / 30) + 1).cast("bigint").alias("pdf_page"),
         left.cast("double").alias("raw_left"),

@@ -112,14 +112,11 @@ def ordered_selection(batch: DataFrame, ids: list[str]) -> DataFrame:
 def evidence_packets(items: DataFrame, pages: DataFrame, limits: evidence.PacketLimits) -> DataFrame:
     """Packets of documents given as parsed items and page sizes."""
     placed = materialize(outline.place_boxes(outline.outline(items), pages))
-    mapped = placed.where("box IS NOT NULL")
-    blocks = mapped.where(~outline.is_visual(F.col("label"))).withColumn(
-        "block_type", outline.block_type(F.col("label"))
-    )
-    visuals = mapped.where(outline.is_visual(F.col("label"))).withColumn(
+    blocks = placed.where("mapped").withColumn("block_type", outline.block_type(F.col("label")))
+    visuals = placed.where(F.col("box").isNotNull() & outline.is_visual(F.col("label"))).withColumn(
         "kind", F.when(F.lower("label") == "table", "table").otherwise("figure")
     )
-    captions = outline.visual_captions(visuals, placed, blocks)
+    captions = outline.visual_captions(visuals, placed)
     with_caption = visuals.join(captions.select("doc_id", "pos", "caption"), ["doc_id", "pos"], "left")
     return evidence.packets(blocks, with_caption, limits)
 

@@ -18,7 +18,7 @@ def _placed(spark, folder):
 
 
 def _blocks(placed):
-    return placed.where(F.col("box").isNotNull() & ~outline.is_visual(F.col("label"))).withColumn(
+    return placed.where("mapped").withColumn(
         "block_type", outline.block_type(F.col("label"))
     )
 
@@ -82,7 +82,7 @@ def two_column_pages(spark, folder):
 
 def caption_references(spark, folder):
     placed = materialize(_placed(spark, folder))
-    captions = outline.visual_captions(_visuals(placed), placed, _blocks(placed))
+    captions = outline.visual_captions(_visuals(placed), placed)
     return captions.select(
         "doc_id", "pos", "caption_blocks", F.md5("caption").alias("caption_digest"), "caption_issue", "cross_page"
     )
@@ -96,7 +96,7 @@ def _packets(spark, folder):
     # Blocks, visuals and captions all read the placed items, so these are written once.
     placed = materialize(_placed(spark, folder))
     visuals = _visuals(placed)
-    captions = outline.visual_captions(visuals, placed, _blocks(placed))
+    captions = outline.visual_captions(visuals, placed)
     with_caption = visuals.join(captions.select("doc_id", "pos", "caption"), ["doc_id", "pos"], "left")
     return evidence.packets(_blocks(placed), with_caption)
 

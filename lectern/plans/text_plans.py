@@ -16,7 +16,7 @@ HOSTS = ["therin.example.net", "blog.tionsh.example.net", "thther.example.org"]
 
 
 def _paths(spark, folder):
-    return b.table(spark, folder, "pages").select(
+    return b.spread(b.table(spark, folder, "pages"), "page_id").select(
         "page_id", F.regexp_replace(urls.path(F.col("url")), "^/|/$", "").alias("path")
     )
 
@@ -38,7 +38,7 @@ def glob_accounting(spark, folder):
 
 
 def item_validity(spark, folder):
-    docs = b.table(spark, folder, "documents")
+    docs = b.documents(spark, folder)
     title = F.split_part("text", F.lit("\n"), F.lit(1))
     valid = t.not_blank(title) & t.not_blank(F.col("text")) & t.not_blank(F.col("source"))
     return docs.groupBy("source").agg(
@@ -47,7 +47,7 @@ def item_validity(spark, folder):
 
 
 def whitespace_collapse(spark, folder):
-    return b.table(spark, folder, "documents").select(
+    return b.documents(spark, folder).select(
         "doc_id", F.md5(t.collapse(F.col("text"))).alias("digest")
     )
 
@@ -55,7 +55,7 @@ def whitespace_collapse(spark, folder):
 def ranking_text(spark, folder):
     from lectern.operators.ranking import ranking_text as joined
 
-    docs = b.table(spark, folder, "documents").select(
+    docs = b.documents(spark, folder).select(
         "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text"
     )
     return docs.select("doc_id", F.md5(joined(F.col("title"), F.col("text"))).alias("digest"))
@@ -108,7 +108,7 @@ def paper_ids(spark, folder):
         F.lpad((F.col("l_partkey") % 100000).cast("string"), 5, "0"),
         F.when(F.col("l_linenumber") > 2, F.concat(F.lit("V"), F.col("l_linenumber").cast("string"))).otherwise(""),
     )
-    ids = b.table(spark, folder, "lineitem").select(raw.alias("raw"))
+    ids = b.spread(b.table(spark, folder, "lineitem"), "l_orderkey").select(raw.alias("raw"))
     return ids.select(
         t.feedback_paper_id(F.col("raw")).alias("paper_id"),
         t.paper_id_of_url(F.concat(F.lit("http://host/abs/"), F.lower("raw"))).alias("url_id"),
@@ -123,7 +123,7 @@ ids AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'arXiv:' WHEN 1 THEN '' WHEN 2
 
 
 def token_estimates(spark, folder):
-    docs = b.table(spark, folder, "documents").select("lang", token_estimate(F.col("text")).alias("tokens"))
+    docs = b.documents(spark, folder).select("lang", token_estimate(F.col("text")).alias("tokens"))
     totals = docs.groupBy("lang").agg(F.sum("tokens").alias("input_tokens"), F.count("*").alias("calls"))
     return totals.withColumn(
         "cost_micro_usd", cost_micro_usd(F.col("input_tokens"), F.col("calls") * 512, 140_000, 280_000)
@@ -131,7 +131,7 @@ def token_estimates(spark, folder):
 
 
 def html_escape(spark, folder):
-    return b.table(spark, folder, "pages").select(
+    return b.spread(b.table(spark, folder, "pages"), "page_id").select(
         "page_id", F.md5(t.escape_html(F.col("html"))).alias("digest")
     )
 
@@ -144,7 +144,7 @@ def markdown_escape(spark, folder):
 
 def html_main_text(spark, folder):
     text = t.main_text(F.col("html"))
-    return b.table(spark, folder, "pages").select(
+    return b.spread(b.table(spark, folder, "pages"), "page_id").select(
         "page_id", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest")
     )
 
@@ -153,7 +153,7 @@ def url_policy(spark, folder):
     url = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", "://", "://user@")).when(
         F.col("page_id") % 5 == 1, F.regexp_replace("url", "(://[^/]+)", "$1:8443")
     ).otherwise(F.col("url"))
-    pages = b.table(spark, folder, "pages").withColumn("raw", url)
+    pages = b.spread(b.table(spark, folder, "pages"), "page_id").withColumn("raw", url)
     raw = F.col("raw")
     return pages.select(
         "page_id",
@@ -169,21 +169,22 @@ def latex_clean(spark, folder):
         F.replace("text", F.lit(". "), F.lit(" %note\n")),
         F.lit("\\begin{comment}x\ny\\end{comment}\n\n\\iffalse a\n\\fi end\\\\   \tz"),
     )
-    return b.table(spark, folder, "documents").select(
+    return b.documents(spark, folder).select(
         "doc_id", F.md5(t.clean_latex(noisy)).alias("digest")
     )
 
 
 def truncated_text(spark, folder):
-    return b.table(spark, folder, "documents").select(
+    return b.documents(spark, folder).select(
         "doc_id", F.md5(F.substring("text", 1, 2000)).alias("digest"),
         F.length(F.substring("text", 1, 2000)).cast("bigint").alias("kept"),
     )
 
 
 def token_counts(spark, folder):
-    words = t.tokens(F.col("text"))
-    return b.table(spark, folder, "documents").select(
+    docs = b.documents(spark, folder).select("doc_id", t.tokens(F.col("text")).alias("words"))
+    words = F.col("words")
+    return docs.select(
         "doc_id", F.size(words).cast("bigint").alias("tokens"),
         F.size(F.array_distinct(words)).cast("bigint").alias("distinct_tokens"),
         F.md5(F.array_join(F.array_sort(F.array_distinct(words)), " ")).alias("canonical_digest"),
@@ -250,7 +251,7 @@ def reader_search(spark, folder):
     from lectern.operators import feedback
 
     state = feedback.replay(b.commands(spark, folder))
-    cards = b.table(spark, folder, "documents").select(
+    cards = b.documents(spark, folder).select(
         F.col("doc_id").alias("paper_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title")
     )
     joined = cards.join(state, "paper_id", "left")
@@ -262,8 +263,8 @@ def reader_search(spark, folder):
 
 
 def full_text_fallback(spark, folder):
-    docs = b.table(spark, folder, "documents").select("doc_id", "text")
-    pages = b.table(spark, folder, "pages").select(
+    docs = b.documents(spark, folder).select("doc_id", "text")
+    pages = b.spread(b.table(spark, folder, "pages"), "page_id").select(
         F.col("page_id").alias("doc_id"), t.main_text(F.col("html")).alias("html_text")
     )
     items = b.table(spark, folder, "benchmark").select(
@@ -274,7 +275,7 @@ def full_text_fallback(spark, folder):
 
 
 def bm25_pick(spark, folder):
-    turns = b.table(spark, folder, "conversations")
+    turns = b.spread(b.table(spark, folder, "conversations"), "conv_id")
     first = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
     answers = turns.where("role = 'assistant'").select("conv_id", "turn", "text")
     scores = retrieval_pick.bm25_scores(first, answers, "conv_id", "turn", "text", "query")

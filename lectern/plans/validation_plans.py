@@ -298,7 +298,7 @@ def _answers(spark, folder):
         F.when(F.col("doc_id") % 19 == 0, F.concat(payload, F.lit("} trailing")))
         .when(F.col("doc_id") % 2 == 0, fenced).otherwise(payload)
     )
-    return b.table(spark, folder, "documents").select("doc_id", answer.alias("answer"))
+    return b.documents(spark, folder).select("doc_id", answer.alias("answer"))
 
 
 def answer_claims(spark, folder):
