@@ -35,6 +35,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Drop white space of any kind at both ends."""
+    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+
+
 def not_blank(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?U)[^\s\x{1c}-\x{1f}]"), F.lit(False))
 
@@ -69,7 +74,7 @@ def visual_label(caption: Column, kind: Column) -> Column:
 
 def feedback_paper_id(raw: Column) -> Column:
     """Identifier without prefix and version, lower case; null where it is not an identifier."""
-    bare = F.regexp_replace(F.trim(raw), "(?i)^arxiv:", "")
+    bare = F.regexp_replace(strip(raw), "(?i)^arxiv:", "")
     base = F.lower(F.regexp_replace(bare, r"(?i)v[1-9]\d*$", ""))
     return F.when(bare.rlike(PAPER_ID) & ~raw.rlike(r"[\x00-\x1f]"), base)
 
@@ -163,7 +168,7 @@ def json_list(answer: Column) -> Column:
 
 def unfenced(answer: Column) -> Column:
     """A model answer without byte-order mark and without its surrounding code fence."""
-    bare = F.regexp_replace(F.trim(answer), "^\\x{feff}+", "")
+    bare = F.regexp_replace(strip(answer), "^\\x{feff}+", "")
     return F.regexp_replace(bare, r"(?si)^```(?:json)?[ \t]*\n(.*)\n```$", "$1")
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.fixedpoint import int_div
-from lectern.functions.text import normalized_title, not_blank
+from lectern.functions.text import normalized_title, not_blank, strip
 from lectern.operators.scan import Running, ordered_scan
 
 # Labels as layout parsers emit them.
@@ -199,7 +199,7 @@ def visual_captions(visuals: DataFrame, items: DataFrame) -> DataFrame:
         F.col("pdf_page").alias("_page"), "mapped",
     )
     joined = refs.join(known, ["doc_id", "_ref"], "left")
-    text = F.trim("_text")
+    text = strip(F.col("_text"))
     # A visual refers to a handful of captions.
     grouped = joined.groupBy("doc_id", "pos", "pdf_page").agg(
         F.array_sort(F.collect_list(F.when(text != "", F.struct("_nth", text.alias("t"))))).alias("_texts"),

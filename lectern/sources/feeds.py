@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lectern.functions.text import PAPER_ID_IN_URL, collapse, not_blank
+from lectern.functions.text import PAPER_ID_IN_URL, collapse, not_blank, strip
 from lectern.operators.dedup import canonical, latest_date_only, latest_version
 from lectern.schemas import ATOM_ENTRY, COLLECTION, LIBRARY_ITEM, OFFLINE_FIXTURE, PREPRINT_RESPONSE
 from lectern.sources.registry import register
@@ -118,7 +118,7 @@ def read_preprints(spark: SparkSession, path: str, server: str, categories: Sequ
     url = F.concat(F.lit(f"https://www.{server}.org/content/"), "doi", F.lit("v"), "version", F.lit(".full.pdf"))
     return wanted.select(
         F.lit(server).alias("source"), "title",
-        F.transform(F.split("authors", ";"), F.trim).alias("authors"),
+        F.transform(F.split("authors", ";"), lambda a: strip(a)).alias("authors"),
         "abstract", url.alias("url"), url.alias("pdf_url"), F.lit(None).cast("string").alias("full_text"),
     )
 
