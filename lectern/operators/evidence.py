@@ -119,3 +119,12 @@ def packet_fingerprints(packet: DataFrame) -> DataFrame:
         F.count("*").alias("candidate_count"),
         F.sha2(F.array_join(F.transform(rows, lambda e: e["d"]), "|"), 256).alias("packet_fingerprint"),
     )
+
+
+def prompt_payloads(packet: DataFrame) -> DataFrame:
+    """Per document the evidence a model sees, as a JSON list in place order."""
+    shown = F.struct("place", "evidence_id", "kind", "pdf_page", "label", "abstract_only", "evidence_text")
+    rows = F.array_sort(F.collect_list(shown))
+    return packet.groupBy("doc_id").agg(
+        F.count("*").alias("candidate_count"), F.to_json(rows).alias("payload")
+    )

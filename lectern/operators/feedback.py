@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lectern.operators.constraints import differs, row_issues
 from lectern.operators.scan import Running, ordered_scan
 
 LOG_ORDER = ["occurred_at", "device_id", "sequence", "command_id"]
@@ -120,3 +121,35 @@ def out_of_order(bundle: DataFrame, bundle_key: str, position: str) -> DataFrame
         bundle, [bundle_key], [F.col(position)], {"_before": Running("max", log_position(), before=True)}
     )
     return scanned.where(F.col("_before") > log_position()).drop("_before")
+
+
+MAX_BUNDLE_COMMANDS = 500
+
+
+def bundle_digest() -> Column:
+    """SHA-256 of a bundle's content as JSON with alphabetical keys, without the digest itself."""
+    commands = F.transform(
+        "commands",
+        lambda c: F.struct(
+            *[c[f].alias(f) for f in ("action", "command_id", "device_id", "occurred_at", "paper_id", "sequence", "value")]
+        ),
+    )
+    content = F.struct(F.col("bundle_id"), commands.alias("commands"), F.col("generated_at"), F.col("schema_version"))
+    return F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256)
+
+
+def bundle_issues(bundles: DataFrame) -> DataFrame:
+    """Rules of an exported bundle, which is one row of at most a few hundred commands."""
+    places = F.transform("commands", lambda c: F.struct(*[c[f].alias(f) for f in LOG_ORDER]))
+    ids = F.transform("commands", lambda c: c["command_id"])
+    return row_issues(
+        bundles,
+        {
+            "bundle_too_large": F.size("commands") > MAX_BUNDLE_COMMANDS,
+            "bundle_not_ordered": F.array_sort(places) != places,
+            "bundle_repeats_command": F.size(F.array_distinct(ids)) != F.size(ids),
+            "bundle_digest_mismatch": differs(F.col("digest"), bundle_digest()),
+        },
+        paper_id="bundle_id",
+        field_path=F.lit("commands"),
+    )

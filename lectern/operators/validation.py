@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.operators.constraints import differs, duplicates, row_issues
+from lectern.operators.hierarchy import ancestor_paths
 
 INFERENCE = "system_inference"
 
@@ -310,6 +311,79 @@ def provenance_issues(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def regions_match(left: Column, right: Column) -> Column:
+    """Same number of regions, equal one by one."""
+    same = F.zip_with(left, right, lambda a, b: a.eqNullSafe(b))
+    return (F.size(left) == F.size(right)) & F.forall(same, lambda x: x)
+
+
+def visual_provenance_issues(evidence: DataFrame, visuals: DataFrame) -> DataFrame:
+    """Visual evidence without its source visual, or with other fields or regions."""
+    fields = ("kind", "label", "caption", "section_pos", "confidence")
+    source = visuals.select(
+        "doc_id", "visual_id", F.lit(True).alias("_known"), F.col("regions").alias("_regions"),
+        *[F.col(f).alias(f"_{f}") for f in fields],
+    )
+    joined = evidence.join(source, ["doc_id", "visual_id"], "left")
+    same = regions_match(F.col("regions"), F.col("_regions"))
+    for field in fields:
+        same = same & F.col(field).eqNullSafe(F.col(f"_{field}"))
+    known = F.coalesce("_known", F.lit(False))
+    return row_issues(
+        joined,
+        {"evidence_source_missing": ~known, "visual_provenance_mismatch": known & ~F.coalesce(same, F.lit(False))},
+        paper_id="doc_id",
+        visual_id=F.col("visual_id"),
+        field_path=F.concat(F.lit("evidence_candidates."), F.col("visual_id")),
+    )
+
+
+def evidence_id_issues(evidence: DataFrame, expected: Column) -> DataFrame:
+    """Evidence whose id is not the one its source gives."""
+    return row_issues(
+        evidence, {"evidence_id_mismatch": differs(F.col("evidence_id"), expected)},
+        paper_id="doc_id", evidence_id=F.col("evidence_id"), field_path=F.lit("evidence_candidates"),
+    )
+
+
+def fingerprint_issues(stated: DataFrame, computed: DataFrame) -> DataFrame:
+    """Packets (doc_id, packet_fingerprint) whose stated fingerprint is not the computed one."""
+    joined = stated.join(
+        computed.select("doc_id", F.col("packet_fingerprint").alias("_computed")), "doc_id", "left"
+    )
+    return row_issues(
+        joined, {"packet_fingerprint_mismatch": differs(F.col("packet_fingerprint"), F.col("_computed"))},
+        paper_id="doc_id", field_path=F.lit("packet_fingerprint"),
+    )
+
+
+def section_hierarchy_issues(sections: DataFrame) -> DataFrame:
+    """Sections (doc_id, section_id, parent_id, title) whose ancestors loop or are missing."""
+    def node(column):
+        return F.concat_ws("/", F.col("doc_id").cast("string"), F.col(column).cast("string"))
+
+    nodes = sections.select(
+        node("section_id").alias("key"), F.when(F.col("parent_id").isNotNull(), node("parent_id")).alias("parent"), "title"
+    )
+    resolved = ancestor_paths(nodes, "key", "parent", "title")
+    broken = resolved.where(F.col("status") != "ok").select(
+        F.split_part("key", F.lit("/"), F.lit(1)).alias("doc_id"), F.split_part("key", F.lit("/"), F.lit(2)).alias("_section")
+    )
+    return row_issues(
+        broken, {"section_hierarchy_invalid": F.lit(True)}, paper_id="doc_id",
+        field_path=F.concat(F.lit("sections."), F.col("_section")),
+    )
+
+
+def enriched_visuals(drafts: DataFrame, packet: DataFrame) -> DataFrame:
+    """Drafted visuals (paper_id, evidence_id, …) completed from their evidence; unknown references are marked."""
+    source = packet.where("kind <> 'text'").select("paper_id", "evidence_id", "kind", "label", "pdf_page", "confidence")
+    joined = drafts.join(source, ["paper_id", "evidence_id"], "left")
+    return joined.withColumn(
+        "failure", F.when(F.col("kind").isNull(), "supporting_visual_requires_figure_or_table")
+    )
+
+
 def modified_evidence(saved: DataFrame, packet: DataFrame, key: str) -> DataFrame:
     """Keys whose saved rows are not the packet's rows, counting repeats."""
     return saved.exceptAll(packet).select(key).union(packet.exceptAll(saved).select(key)).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import constraints, dedup, evidence, outline
+from lectern.operators import constraints, dedup, evidence, outline, validation
 from lectern.plans import bindings as b
 from lectern.session import materialize
 
@@ -149,6 +149,59 @@ def graph_issues(spark, folder):
     return issues.groupBy(F.col("paper_id").alias("doc_id"), "code").agg(F.count("*").alias("n"))
 
 
+def prompt_payloads(spark, folder):
+    payloads = evidence.prompt_payloads(_packets(spark, folder))
+    return payloads.select(
+        "doc_id", "candidate_count", F.json_array_length("payload").cast("bigint").alias("listed"),
+        F.get_json_object("payload", "$[0].evidence_id").alias("first_evidence"),
+    )
+
+
+def evidence_identity(spark, folder):
+    """Evidence ids of which some were altered, checked against their source."""
+    placed = outline.place_boxes(b.items(spark, folder), b.document_pages(spark, folder))
+    blocks = _blocks(placed).where(F.col("block_type").isin(*outline.TEXT_BLOCKS))
+    expected = evidence.evidence_id(F.col("doc_id"), F.lit("text"), F.col("pos"), F.col("pdf_page"), F.col("box"))
+    stated = blocks.withColumn("evidence_id", F.when(F.col("pos") % 7 == 3, "ev-stale").otherwise(expected))
+    issues = validation.evidence_id_issues(stated, expected)
+    return issues.groupBy(F.col("paper_id").alias("doc_id"), "code").agg(F.count("*").alias("n"))
+
+
+def packet_identity(spark, folder):
+    computed = materialize(evidence.packet_fingerprints(_packets(spark, folder)))
+    stated = computed.withColumn(
+        "packet_fingerprint", F.when(F.col("doc_id") % 9 == 4, "stale").otherwise(F.col("packet_fingerprint"))
+    )
+    return validation.fingerprint_issues(stated, computed).select(F.col("paper_id").alias("doc_id"), "code")
+
+
+def section_hierarchy(spark, folder):
+    """Section parents of which every fifth was cut."""
+    outlined = _outlined(spark, folder).where("section_pos = pos")
+    broken = F.when(F.col("pos") % 5 == 1, F.col("parent_pos") + 1000000).otherwise(F.col("parent_pos"))
+    sections = outlined.select("doc_id", F.col("pos").alias("section_id"), broken.alias("parent_id"), F.col("text").alias("title"))
+    issues = validation.section_hierarchy_issues(sections)
+    return issues.groupBy(F.col("paper_id").cast("bigint").alias("doc_id"), "code").agg(F.count("*").alias("n"))
+
+
+def visual_provenance(spark, folder):
+    """Visual evidence of which some lost its source, a region or its section."""
+    placed = materialize(_placed(spark, folder))
+    visuals = placed.where(F.col("box").isNotNull() & outline.is_visual(F.col("label"))).select(
+        "doc_id", F.col("pos").alias("visual_id"), F.col("label").alias("kind"), F.lit(None).cast("string").alias("label"),
+        F.md5("text").alias("caption"), "section_pos", F.lit(0.9).alias("confidence"),
+        F.array(F.struct("pdf_page", "box"), F.struct((F.col("pdf_page") + 1).alias("pdf_page"), "box")).alias("regions"),
+    )
+    pos = F.col("visual_id")
+    stated = visuals.select(
+        "doc_id", F.when(pos % 10 == 1, pos + 1000000).otherwise(pos).alias("visual_id"), "kind", "label", "caption",
+        F.when(pos % 10 == 3, F.lit(-1).cast("bigint")).otherwise(F.col("section_pos")).alias("section_pos"), "confidence",
+        F.when(pos % 10 == 7, F.slice("regions", 1, 1)).when(pos % 10 == 8, F.reverse("regions")).otherwise(F.col("regions")).alias("regions"),
+    )
+    issues = validation.visual_provenance_issues(stated, visuals)
+    return issues.groupBy(F.col("paper_id").alias("doc_id"), "code").agg(F.count("*").alias("n"))
+
+
 _OUTLINE_SQL = (
     b.ITEMS_SQL
     + """,
@@ -289,4 +342,28 @@ issues AS (
   UNION ALL SELECT s.doc_id, 'section_range_mismatch' FROM spans s JOIN moved m ON m.doc_id = s.doc_id AND m.sid = s.section_pos WHERE s.a <> m.a OR s.z <> m.z)
 SELECT doc_id, code, count(*) AS n FROM issues GROUP BY 1, 2""",
     ),
+    "prompt_payloads": (
+        prompt_payloads,
+        f"""WITH {_PACKET_SQL} SELECT doc_id, count(*) AS candidate_count, count(*) AS listed, arg_min(evidence_id, place) AS first_evidence FROM packet GROUP BY 1""",
+    ),
+    "evidence_identity": (
+        evidence_identity,
+        f"""WITH {b.ITEMS_SQL} SELECT doc_id, 'evidence_id_mismatch' AS code, count(*) AS n FROM placed
+WHERE ok AND label IN ('text', 'list_item', 'formula') AND pos % 7 = 3 GROUP BY 1""",
+    ),
+    "packet_identity": (
+        packet_identity,
+        f"WITH {_PACKET_SQL} SELECT DISTINCT doc_id, 'packet_fingerprint_mismatch' AS code FROM packet WHERE doc_id % 9 = 4",
+    ),
+    "section_hierarchy": (
+        section_hierarchy,
+        f"""WITH {_OUTLINE_SQL} SELECT doc_id, 'section_hierarchy_invalid' AS code, count(*) AS n FROM stacks s JOIN heads h USING (doc_id, pos)
+WHERE len(list_filter(hp[2:], lambda x: x % 5 = 1)) > 0 GROUP BY 1""",
+    ),
+    "visual_provenance": (
+        visual_provenance,
+        f"""WITH {_OUTLINE_SQL}, i AS (SELECT doc_id, CASE WHEN pos % 10 = 1 THEN 'evidence_source_missing'
+  WHEN pos % 10 IN (3, 7, 8) THEN 'visual_provenance_mismatch' END AS code FROM visuals)
+SELECT doc_id, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY 1, 2""",
+    ),
 }

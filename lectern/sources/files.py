@@ -49,15 +49,18 @@ def pdf_pages(files: DataFrame, inspect: Callable[[bytes], list[dict]]) -> DataF
     return files.select("path", "content").mapInPandas(pages, PAGE_ROW)
 
 
-def parsed_items(files: DataFrame, parse: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
-    """Layout items from a parser of the caller's choice; ``schema`` includes ``path``."""
+def per_file(files: DataFrame, read: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows from a library of the caller's choice: layout items, Markdown text or cropped regions.
 
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``schema`` names the columns of ``read`` and ``path``.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                yield parse(bytes(content)).assign(path=path)
+                yield read(bytes(content)).assign(path=path)
 
-    return files.select("path", "content").mapInPandas(items, schema)
+    return files.select("path", "content").mapInPandas(rows, schema)
 
 
 def archive_members(files: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from lectern.sources.retry import with_retries
+
 
 class Page(InputPartition):
     def __init__(self, start: int, limit: int) -> None:
@@ -35,7 +37,8 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Page) -> Iterator[tuple]:
         module, function = self.fetcher.split(":")
-        yield from getattr(importlib.import_module(module), function)(partition.start, partition.limit)
+        fetch = getattr(importlib.import_module(module), function)
+        yield from with_retries(lambda: list(fetch(partition.start, partition.limit)))
 
 
 class PagedListing(DataSource):
