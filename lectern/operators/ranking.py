@@ -51,7 +51,9 @@ def cosine_to(df: DataFrame, vector: str, folded: DataFrame, name: str) -> DataF
         "_norm", positive(norm(F.col(vector)), "zero-length embeddings cannot be ranked")
     ).withColumn("_folded", folded.scalar())
     cosine = dot(F.col(vector), F.col("_folded")) / F.col("_norm")
-    return prepared.withColumn(name, cosine).drop("_norm", "_folded")
+    # Exploding a one-element array keeps later filters and scores from repeating the
+    # product, and keeps it above the joins that have already dropped rows.
+    return prepared.withColumn(name, F.explode(F.array(cosine))).drop("_norm", "_folded")
 
 
 def recency_scores(
@@ -92,18 +94,26 @@ def drop_irrelevant(candidates: DataFrame, state: DataFrame, key: str) -> DataFr
     return candidates.join(state.where("irrelevant").select(key), key, "left_anti")
 
 
-def favorite_bonus(scored: DataFrame, state: DataFrame, key: str, score: str, delta: float) -> DataFrame:
-    """Clamp, add the favourite bonus, clamp again; the adjustment is what survived the second clamp."""
-    favorites = state.where("favorite").select(key, F.lit(True).alias("_favorite"))
-    embedding = clamp(F.col(score))
-    bonus = F.when(F.col("_favorite"), F.lit(delta)).otherwise(F.lit(0.0))
+def feedback_flags(candidates: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Add ``is_favorite`` and ``is_irrelevant`` with one join to the reader state."""
+    marks = state.where("favorite OR irrelevant").select(
+        key, F.col("favorite").alias("_favorite"), F.col("irrelevant").alias("_irrelevant")
+    )
+    joined = candidates.join(marks, key, "left")
+    return joined.select(
+        *candidates.columns,
+        F.coalesce("_favorite", F.lit(False)).alias("is_favorite"),
+        F.coalesce("_irrelevant", F.lit(False)).alias("is_irrelevant"),
+    )
+
+
+def favorite_bonus(scored: DataFrame, score: str, delta: float) -> DataFrame:
+    """Clamp, add the bonus where ``is_favorite``, clamp again; the adjustment is what survived the second clamp."""
+    bonus = F.when(F.col("is_favorite"), F.lit(delta)).otherwise(F.lit(0.0))
     return (
-        scored.join(favorites, key, "left")
-        .withColumn("embedding_score", embedding)
+        scored.withColumn("embedding_score", clamp(F.col(score)))
         .withColumn("final_score", clamp(F.col("embedding_score") + bonus))
         .withColumn("feedback_adjustment", F.col("final_score") - F.col("embedding_score"))
-        .withColumn("is_favorite", F.coalesce("_favorite", F.lit(False)))
-        .drop("_favorite")
     )
 
 

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import text as t
-from lectern.operators import answers, evidence, hierarchy, outline, quality, ranking, validation
+from lectern.operators import answers, evidence, feedback, hierarchy, outline, quality, ranking, validation
 from lectern.operators.dedup import set_fingerprint
 from lectern.session import materialize
+from lectern.sinks import read_batch, write_batch, write_manifest
 from lectern.sources.feeds import in_categories, latest_entries
 
 
@@ -66,9 +67,11 @@ def candidate_batch(
     """Ranked candidates; ``embed`` adds ``embedding`` to rows that carry ``text``."""
     current = latest_entries(in_categories(entries, settings.categories, settings.include_cross_list))
     candidates = current.withColumn("feedback_id", t.feedback_paper_id(F.col("arxiv_id")))
-    if state is not None:
+    if state is None:
+        candidates = candidates.withColumn("is_favorite", F.lit(False))
+    else:
         marks = state.withColumnRenamed("paper_id", "feedback_id")
-        candidates = ranking.drop_irrelevant(candidates, marks, "feedback_id")
+        candidates = ranking.feedback_flags(candidates, marks, "feedback_id").where("NOT is_irrelevant")
     text = ranking.ranking_text(F.col("title"), F.col("abstract")).alias("text")
     interests = embed(
         corpus.where("verdict = 'eligible'").select("paper_id", "added_at", text)
@@ -80,13 +83,7 @@ def candidate_batch(
         query = corpus.sparkSession.createDataFrame([(settings.focus_query,)], "text string")
         scored = ranking.focus_blend(scored, embed(query), "embedding", settings.focus_weight, settings.focus_minimum)
         score = "blended_score"
-    if state is None:
-        clamped = ranking.clamp(F.col(score))
-        adjusted = scored.withColumns({
-            "embedding_score": clamped, "final_score": clamped, "feedback_adjustment": F.lit(0.0),
-        })
-    else:
-        adjusted = ranking.favorite_bonus(scored, marks, "feedback_id", score, settings.favorite_delta)
+    adjusted = ranking.favorite_bonus(scored, score, settings.favorite_delta)
     return ranking.ranked_prefixes(
         adjusted, "final_score", "paper_id", settings.pool, settings.shortlist, settings.full
     ).drop("embedding", "text")
@@ -141,6 +138,95 @@ def validated(answers_df: DataFrame, packet: DataFrame) -> tuple[DataFrame, Data
     return validation.report_status(papers, issues), issues
 
 
+STAGES = ("candidates", "documents", "analysis", "validation", "publication")
+STAGE_ROW = "stage string, status string, input_count long, output_count long, partial_failure_count long"
+
+
+def run(
+    tables: dict[str, DataFrame],
+    embed: Callable[[DataFrame], DataFrame],
+    answer: Callable[[DataFrame], DataFrame],
+    settings: RunSettings,
+    output: str,
+    limits: evidence.PacketLimits = evidence.PacketLimits(),
+) -> DataFrame:
+    """Run every stage, write each result under ``output`` and return the manifest row.
+
+    ``tables`` holds collections, items, entries, document_items and document_pages
+    (keyed by paper in ``doc_id``) and optionally commands.  ``answer`` turns packets
+    into rows (paper_id, answer).  A stage that raises is failed and the later ones
+    are skipped; a paper that fails only makes its stage partial.
+    """
+    spark = tables["items"].sparkSession
+    run_id = settings.run_id
+    done: list[tuple] = []
+    results: dict[str, DataFrame] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        write_batch(df, f"{output}/{name}", run_id)
+        results[name] = read_batch(spark, f"{output}/{name}", run_id)
+        return results[name]
+
+    def papers(df: DataFrame, key: str = "paper_id") -> int:
+        return df.select(key).distinct().count()
+
+    def candidates() -> tuple[int, int]:
+        corpus = interest_corpus(tables["collections"], tables["items"], settings)
+        state = feedback.replay(tables["commands"]) if "commands" in tables else None
+        batch = keep("candidates", candidate_batch(corpus, tables["entries"], embed, state, settings))
+        return tables["entries"].count(), batch.count()
+
+    def documents() -> tuple[int, int]:
+        items = selected(tables["document_items"], results["candidates"], "doc_id").drop("rank")
+        packet = evidence_packets(items, tables["document_pages"], limits)
+        return selection(), papers(keep("packets", packet), "doc_id")
+
+    def analysis() -> tuple[int, int]:
+        given = keep("answers", answer(results["packets"]))
+        parsed = answers.parse(given.select("paper_id", "answer"), "answer")
+        return papers(results["packets"], "doc_id"), parsed.where("failure IS NULL").count()
+
+    def validate() -> tuple[int, int]:
+        packet = results["packets"].select(
+            F.col("doc_id").alias("paper_id"), "evidence_id", "kind", "abstract_only", F.col("place").alias("pos")
+        )
+        reports, issues = validated(results["answers"].select("paper_id", "answer"), packet)
+        keep("issues", issues)
+        kept = keep("reports", reports)
+        return kept.count(), kept.where("result_status = 'validated'").count()
+
+    def publish() -> tuple[int, int]:
+        decisions = keep("decisions", validation.publication(results["reports"].drop("run_id"), settings.allow_partial))
+        published = decisions.where("decision <> 'excluded'").count()
+        return results["reports"].where("publication_eligibility = 'eligible'").count(), published
+
+    def selection() -> int:
+        return results["candidates"].where("in_full_analysis").count()
+
+    failure: Exception | None = None
+    for name, step in zip(STAGES, (candidates, documents, analysis, validate, publish), strict=True):
+        if done and done[-1][1] in ("failed", "empty", "skipped"):
+            done.append((name, "skipped", 0, 0, 0))
+            continue
+        try:
+            given, produced = step()
+        except Exception as error:  # noqa: BLE001 - any failure ends the run, the manifest tells where
+            failure = failure or error
+            done.append((name, "failed", 0, 0, 0))
+            continue
+        if name == "candidates":
+            done.append((name, "success" if produced else "empty", given, produced, 0))
+        else:
+            lost = max(given - produced, 0)
+            status = "failed" if produced == 0 and given else "partial" if lost else "success"
+            done.append((name, status, given, produced, lost))
+    row = manifest(spark.createDataFrame(done, STAGE_ROW), run_id).withColumn(
+        "failure", F.lit(type(failure).__name__ if failure else None).cast("string")
+    )
+    write_manifest(row.drop("run_id"), f"{output}/manifest", run_id)
+    return row
+
+
 def manifest(stages: DataFrame, run_id: str) -> DataFrame:
     """One row: run status and totals over the stage rows of a run."""
     totals = stages.agg(

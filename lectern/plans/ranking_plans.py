@@ -91,7 +91,8 @@ def favorite_bonus_clamp(spark, folder):
     state = feedback.replay(b.commands(spark, folder))
     # Scaled so that both clamps are reached.
     scored = _corpus(spark, folder).withColumn("_score", F.col("corpus_score") * 40)
-    adjusted = ranking.favorite_bonus(scored, state, "paper_id", "_score", FAVORITE_DELTA)
+    flagged = ranking.feedback_flags(scored, state, "paper_id")
+    adjusted = ranking.favorite_bonus(flagged, "_score", FAVORITE_DELTA)
     return adjusted.select(
         "paper_id",
         rounded("embedding_score").alias("embedding_score"),
@@ -102,14 +103,14 @@ def favorite_bonus_clamp(spark, folder):
 
 def _ranked(spark, folder):
     state = feedback.replay(b.commands(spark, folder))
-    kept = ranking.drop_irrelevant(b.candidates(spark, folder), state, "paper_id")
+    flagged = ranking.feedback_flags(b.candidates(spark, folder), state, "paper_id")
     scored = ranking.recency_scores(
-        kept, b.interests(spark, folder), "paper_id", "paper_id", "embedding"
+        flagged.where("NOT is_irrelevant"), b.interests(spark, folder), "paper_id", "paper_id", "embedding"
     )
     blended = ranking.focus_blend(
         scored, b.focus(spark, folder), "embedding", FOCUS_WEIGHT, FOCUS_MINIMUM
     )
-    adjusted = ranking.favorite_bonus(blended, state, "paper_id", "blended_score", FAVORITE_DELTA)
+    adjusted = ranking.favorite_bonus(blended, "blended_score", FAVORITE_DELTA)
     return ranking.ranked_prefixes(adjusted, "final_score", "paper_id")
 
 

@@ -18,7 +18,8 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for path in glob.glob(os.path.join(folder, "*.parquet")):
         name = os.path.basename(path).removesuffix(".parquet")
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+        source = os.path.join(path, "*.parquet") if os.path.isdir(path) else path
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{source}'")
     return connection
 
 

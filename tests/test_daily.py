@@ -104,3 +104,34 @@ def test_manifest(spark):
                                    "stage string, status string, input_count long, output_count long, partial_failure_count long")
     row = daily.manifest(stages, "r1").first()
     assert (row.run_id, row.run_status, row.input_count, row.output_count, row.partial_failure_count) == ("r1", "partial", 18, 9, 5)
+
+
+def test_run_writes_every_stage(spark, tables, tmp_path):
+    items = spark.createDataFrame(
+        [(f"arxiv:2401.0000{k}", 0, "1 Introduction", "section_header", 1, 1) for k in (1, 2)]
+        + [(f"arxiv:2401.0000{k}", 1, "Proof.", "text", 1, 1) for k in (1, 2)],
+        "doc_id string, pos long, text string, label string, level int, pdf_page long",
+    ).selectExpr("*", "double(10) AS raw_left", "double(10 + 20 * pos) AS raw_top", "double(90) AS raw_right",
+                 "double(20 + 20 * pos) AS raw_bottom", "'top_left' AS origin", "array(bigint(99)) AS caption_refs")
+    pages = items.selectExpr("doc_id", "bigint(1) AS pdf_page", "double(100) AS width", "double(100) AS height").distinct()
+
+    def answer(packets):
+        claim = ("named_struct('claim_id', 'c', 'kind', 'insight', 'text', 't', 'source_type', 'paper_text', 'inferred', false, "
+                 "'evidence_ids', array(if(doc_id LIKE '%1', evidence_id, 'nowhere')))")
+        return packets.selectExpr("doc_id AS paper_id", f"to_json(named_struct('paper_id', doc_id, 'english_title', 'T', 'insights', array({claim}))) AS answer")
+
+    inputs = {"collections": tables["collections"], "items": tables["items"], "entries": _entries(tables),
+              "document_items": items, "document_pages": pages}
+    row = daily.run(inputs, _embed(tables), answer, SETTINGS, str(tmp_path / "out")).first()
+    assert row.run_status == "partial" and row.failure is None
+    reports = {r.paper_id[-1]: r.result_status for r in spark.read.parquet(str(tmp_path / "out/reports")).collect()}
+    assert reports == {"1": "validated", "2": "invalid"}
+    decisions = {r.paper_id[-1]: r.decision for r in spark.read.parquet(str(tmp_path / "out/decisions")).collect()}
+    assert decisions == {"1": "full", "2": "excluded"}
+
+    def broken(packets):
+        raise RuntimeError("model is down")
+
+    row = daily.run(inputs, _embed(tables), broken, SETTINGS, str(tmp_path / "failed")).first()
+    assert (row.run_status, row.failure) == ("failed", "RuntimeError")
+    assert spark.read.json(str(tmp_path / "failed/manifest")).first().run_status == "failed"

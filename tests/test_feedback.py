@@ -181,3 +181,19 @@ def test_exactly_once_by_id(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "log")).start()
     query.awaitTermination()
     assert spark.table("once").count() == 30
+
+
+def test_bundle_rules(spark):
+    rows = sorted(_log(6), key=_key)
+    names = ("command_id", "paper_id", "action", "value", "occurred_at", "device_id", "sequence")
+
+    def bundle(name, commands):
+        return (name, "1.0", START, [dict(zip(names, c)) for c in commands])
+
+    df = spark.createDataFrame(
+        [bundle("good", rows), bundle("swapped", rows[1:] + rows[:1]), bundle("repeated", rows[:1] + rows), bundle("digest", rows)],
+        "bundle_id string, schema_version string, generated_at timestamp, commands array<struct<" +
+        SCHEMA.replace(" string", ": string").replace(" boolean", ": boolean").replace(" timestamp", ": timestamp").replace(" long", ": long") + ">>",
+    ).withColumn("digest", F.when(F.col("bundle_id") != "digest", feedback.bundle_digest()).otherwise("x"))
+    got = {(r.paper_id, r.code) for r in feedback.bundle_issues(df).collect()}
+    assert got == {("swapped", "bundle_not_ordered"), ("repeated", "bundle_repeats_command"), ("digest", "bundle_digest_mismatch")}

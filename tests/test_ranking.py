@@ -72,8 +72,9 @@ def test_focus_gate_compares_the_raw_similarity(spark):
 
 def test_bonus_is_clamped_twice(spark):
     c = spark.createDataFrame([("a", 12.0), ("b", 9.98), ("c", -20.0), ("d", 1.0)], "paper_id string, s double")
-    state = spark.createDataFrame([(k, True) for k in "abc"], "paper_id string, favorite boolean")
-    got = {r.paper_id: r for r in ranking.favorite_bonus(c, state, "paper_id", "s", 0.05).collect()}
+    state = spark.createDataFrame([(k, True, False) for k in "abc"], "paper_id string, favorite boolean, irrelevant boolean")
+    flagged = ranking.feedback_flags(c, state, "paper_id")
+    got = {r.paper_id: r for r in ranking.favorite_bonus(flagged, "s", 0.05).collect()}
     assert got["a"].final_score == 10 and got["a"].feedback_adjustment == 0
     assert got["b"].final_score == 10 and got["b"].feedback_adjustment == pytest.approx(0.02)
     assert got["c"].embedding_score == -10 and got["c"].final_score == pytest.approx(-9.95)

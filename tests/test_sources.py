@@ -148,3 +148,24 @@ def test_models_run_in_batches(spark):
     assert models.from_table(df.where("text = 'a'"), known, "text", "embedding").count() == 1
     with pytest.raises(Exception, match="no stored embedding"):
         models.from_table(df, known, "text", "embedding").collect()
+
+
+def test_retries():
+    from datetime import datetime, timezone
+
+    from lectern.sources import retry
+
+    waits, failures = [], [retry.HttpFailure(429, "7"), retry.HttpFailure(503)]
+
+    def call():
+        if failures:
+            raise failures.pop(0)
+        return "done"
+
+    assert retry.with_retries(call, sleep=waits.append) == "done"
+    assert waits == [7.0, 2.0]
+    with pytest.raises(retry.HttpFailure):
+        retry.with_retries(lambda: (_ for _ in ()).throw(retry.HttpFailure(404)), sleep=waits.append)
+    now = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    assert retry.requested_wait("Mon, 01 Jan 2024 00:00:20 GMT", now, 15.0) == 15.0
+    assert retry.requested_wait("soon", now, 15.0) is None and retry.requested_wait("-3", now, 15.0) == 0.0

@@ -157,3 +157,34 @@ def test_latest_version_and_fingerprint(spark):
 
     assert mark(df) == mark(df.orderBy(F.desc("v")).repartition(3))
     assert mark(df) != mark(df.unionByName(df.limit(1))) and mark(df) != mark(df.where("v <> 'a'"))
+
+
+def test_provenance_and_identity_rules(spark):
+    region = "array<struct<pdf_page: long>>"
+    schema = f"doc_id long, visual_id long, kind string, label string, caption string, section_pos long, confidence double, regions {region}"
+    base = (1, 1, "figure", "Figure 1", "c", 3, 0.9, [(1,), (2,)])
+    visuals = spark.createDataFrame([base, (1, 2, *base[2:]), (1, 3, *base[2:]), (1, 4, *base[2:])], schema)
+    stated = spark.createDataFrame([base, (1, 2, "table", *base[3:]), (1, 3, *base[2:7], [(2,), (1,)]), (1, 4, *base[2:7], [(1,)]), (1, 9, *base[2:])], schema)
+    got = {(r.code, r.visual_id) for r in validation.visual_provenance_issues(stated, visuals).collect()}
+    assert got == {("visual_provenance_mismatch", "2"), ("visual_provenance_mismatch", "3"), ("visual_provenance_mismatch", "4"), ("evidence_source_missing", "9")}
+    blocks = spark.createDataFrame([(1, 1, "whole text", 1, 5)], "doc_id long, pos long, text string, pdf_page long, section_pos long")
+    rows = [(1, 1, "whole", 1, 5), (1, 1, "other", 1, 5), (1, 1, "", 1, 5), (1, 1, "whole", 2, 5), (1, 1, "whole", 1, None), (1, 2, "whole", 1, 5)]
+    evidence = spark.createDataFrame(rows, "doc_id long, pos long, evidence_text string, pdf_page long, section_pos long")
+    codes = [r.code for r in validation.provenance_issues(evidence, blocks).collect()]
+    assert codes.count("text_provenance_mismatch") == 4 and codes.count("evidence_source_missing") == 1
+    pair = ("p", "p", "T", "T", "u", "u", None, None, "f", "f", "u")
+    names = ("paper_id, analysis_paper_id, title, english_title, pdf_url, analysis_pdf_url, code_url, analysis_code_url, "
+             "document_fingerprint, packet_document, source_url").replace(",", " string,") + " string"
+    broken = [pair, ("q", *pair[1:]), (*pair[:3], "t", *pair[4:]), (*pair[:7], "x", *pair[8:]), (*pair[:9], "g", *pair[10:]), (*pair[:10], "v")]
+    codes = sorted(r.code for r in validation.identity_issues(spark.createDataFrame(broken, names)).collect())
+    assert codes == ["candidate_link_mismatch", "candidate_title_mismatch", "packet_document_mismatch", "packet_document_mismatch", "paper_id_mismatch"]
+    sections = spark.createDataFrame([(1, 1, None, "a"), (1, 2, 1, "b"), (2, 2, 1, "c"), (3, 1, 2, "d"), (3, 2, 1, "e")],
+                                     "doc_id long, section_id long, parent_id long, title string")
+    got = {(r.paper_id, r.field_path) for r in validation.section_hierarchy_issues(sections).collect()}
+    assert got == {("2", "sections.2"), ("3", "sections.1"), ("3", "sections.2")}
+    drafts = spark.createDataFrame([("p", "f"), ("p", "t"), ("p", "x")], "paper_id string, evidence_id string")
+    packet = spark.createDataFrame([("p", "f", "figure", "Figure 1", 2, 0.5), ("p", "t", "text", None, 1, 0.5)],
+                                   "paper_id string, evidence_id string, kind string, label string, pdf_page long, confidence double")
+    rows = {r.evidence_id: (r.label, r.failure) for r in validation.enriched_visuals(drafts, packet).collect()}
+    code = "supporting_visual_requires_figure_or_table"
+    assert rows == {"f": ("Figure 1", None), "t": (None, code), "x": (None, code)}
