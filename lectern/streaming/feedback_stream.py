@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.feedback import LOG_ORDER, log_position
 
+COMPACT_EVERY = 20
+
 STATE = (
     "paper_id {key}, read boolean, favorite boolean, irrelevant boolean, "
     "read_watermark struct<{order}>, preference_watermark struct<{order}>"
@@ -77,26 +79,55 @@ def import_counters(commands: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def _snapshot(folder: str, version: int) -> str:
-    return f"{folder}/version={version:012d}"
+def _version(folder: str, kind: str, version: int) -> str:
+    return f"{folder}/{kind}/version={version:012d}"
+
+
+def current_state(
+    spark: SparkSession, folder: str, last_batch: int, compact_every: int = COMPACT_EVERY
+) -> DataFrame:
+    """The state after a batch: the last full snapshot and the papers changed since."""
+    base = last_batch - last_batch % compact_every
+    full = spark.read.parquet(_version(folder, "full", base))
+    changes = [_version(folder, "changes", v) for v in range(base + 1, last_batch + 1)]
+    if not changes:
+        return full
+    changed = spark.read.option("basePath", f"{folder}/changes").parquet(*changes)
+    newest = (
+        changed.groupBy("paper_id")
+        .agg(F.max_by(F.struct(*[c for c in full.columns if c != "paper_id"]), "version").alias("_s"))
+        .select("paper_id", "_s.*")
+    )
+    return full.join(newest.select("paper_id"), "paper_id", "left_anti").unionByName(newest)
+
 
+def start(
+    commands: DataFrame, folder: str, checkpoint: str, available_now: bool = True, compact_every: int = COMPACT_EVERY
+) -> StreamingQuery:
+    """Import a command stream, writing only the papers a batch touches and now and then a full snapshot.
 
-def start(commands: DataFrame, state_folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep a snapshot per micro-batch; repeating a batch rewrites the same snapshot from the one before."""
+    What a batch writes depends on its number alone, so a repeated batch replaces
+    its own output and nothing else.
+    """
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        previous = empty_state(batch) if batch_id == 0 else spark.read.parquet(_snapshot(state_folder, batch_id - 1))
-        merge(previous, batch).write.mode("overwrite").parquet(_snapshot(state_folder, batch_id))
+        if batch_id == 0:
+            previous = empty_state(batch)
+        else:
+            previous = current_state(spark, folder, batch_id - 1, compact_every)
+        touched = batch.select("paper_id").distinct()
+        merged = merge(previous.join(touched, "paper_id", "left_semi"), batch)
+        if batch_id % compact_every:
+            merged.write.mode("overwrite").parquet(_version(folder, "changes", batch_id))
+        else:
+            untouched = previous.join(touched, "paper_id", "left_anti")
+            untouched.unionByName(merged).write.mode("overwrite").parquet(_version(folder, "full", batch_id))
 
     writer = commands.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current_state(spark: SparkSession, state_folder: str, last_batch: int) -> DataFrame:
-    return spark.read.parquet(_snapshot(state_folder, last_batch))
-
-
 def exactly_once(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
     """Drop repeated ids inside the watermark, which bounds the ids that are remembered."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])

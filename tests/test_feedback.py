@@ -144,13 +144,14 @@ def test_stream_of_files_gives_the_incremental_state(spark, tmp_path):
     source = str(tmp_path / "in")
     model = Model()
     state_folder, log = str(tmp_path / "state"), str(tmp_path / "log")
-    for number, bundle in enumerate((rows[120:], rows[:120])):
+    for number, bundle in enumerate((rows[120:160], rows[:60], rows[60:120], rows[160:])):
         model.load(bundle)
         spark.createDataFrame(bundle, SCHEMA).coalesce(1).write.mode("append").json(source)
         stream = spark.readStream.schema(SCHEMA).json(source)
-        query = feedback_stream.start(stream, state_folder, log)
+        query = feedback_stream.start(stream, state_folder, log, compact_every=3)
         query.awaitTermination()
-    assert _flags(feedback_stream.current_state(spark, state_folder, number)) == model.flags()
+        state = feedback_stream.current_state(spark, state_folder, number, compact_every=3)
+        assert _flags(state) == model.flags()
 
 
 def test_each_delivery_is_sent_once(spark, tmp_path):
