@@ -16,7 +16,7 @@ HOSTS = ["therin.example.net", "blog.tionsh.example.net", "thther.example.org"]
 
 
 def _paths(spark, folder):
-    return b.spread(b.table(spark, folder, "pages"), "page_id").select(
+    return b.spread(b.table(spark, folder, "pages")).select(
         "page_id", F.regexp_replace(urls.path(F.col("url")), "^/|/$", "").alias("path")
     )
 
@@ -108,7 +108,7 @@ def paper_ids(spark, folder):
         F.lpad((F.col("l_partkey") % 100000).cast("string"), 5, "0"),
         F.when(F.col("l_linenumber") > 2, F.concat(F.lit("V"), F.col("l_linenumber").cast("string"))).otherwise(""),
     )
-    ids = b.spread(b.table(spark, folder, "lineitem"), "l_orderkey").select(raw.alias("raw"))
+    ids = b.spread(b.table(spark, folder, "lineitem")).select(raw.alias("raw"))
     return ids.select(
         t.feedback_paper_id(F.col("raw")).alias("paper_id"),
         t.paper_id_of_url(F.concat(F.lit("http://host/abs/"), F.lower("raw"))).alias("url_id"),
@@ -131,7 +131,7 @@ def token_estimates(spark, folder):
 
 
 def html_escape(spark, folder):
-    return b.spread(b.table(spark, folder, "pages"), "page_id").select(
+    return b.spread(b.table(spark, folder, "pages")).select(
         "page_id", F.md5(t.escape_html(F.col("html"))).alias("digest")
     )
 
@@ -144,7 +144,7 @@ def markdown_escape(spark, folder):
 
 def html_main_text(spark, folder):
     text = t.main_text(F.col("html"))
-    return b.spread(b.table(spark, folder, "pages"), "page_id").select(
+    return b.spread(b.table(spark, folder, "pages")).select(
         "page_id", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest")
     )
 
@@ -153,7 +153,7 @@ def url_policy(spark, folder):
     url = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", "://", "://user@")).when(
         F.col("page_id") % 5 == 1, F.regexp_replace("url", "(://[^/]+)", "$1:8443")
     ).otherwise(F.col("url"))
-    pages = b.spread(b.table(spark, folder, "pages"), "page_id").withColumn("raw", url)
+    pages = b.spread(b.table(spark, folder, "pages")).withColumn("raw", url)
     raw = F.col("raw")
     return pages.select(
         "page_id",
@@ -264,7 +264,7 @@ def reader_search(spark, folder):
 
 def full_text_fallback(spark, folder):
     docs = b.documents(spark, folder).select("doc_id", "text")
-    pages = b.spread(b.table(spark, folder, "pages"), "page_id").select(
+    pages = b.spread(b.table(spark, folder, "pages")).select(
         F.col("page_id").alias("doc_id"), t.main_text(F.col("html")).alias("html_text")
     )
     items = b.table(spark, folder, "benchmark").select(
@@ -275,7 +275,7 @@ def full_text_fallback(spark, folder):
 
 
 def bm25_pick(spark, folder):
-    turns = b.spread(b.table(spark, folder, "conversations"), "conv_id")
+    turns = b.spread(b.table(spark, folder, "conversations"))
     first = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
     answers = turns.where("role = 'assistant'").select("conv_id", "turn", "text")
     scores = retrieval_pick.bm25_scores(first, answers, "conv_id", "turn", "text", "query")
