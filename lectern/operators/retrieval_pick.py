@@ -13,53 +13,42 @@ def bm25_scores(
 ) -> DataFrame:
     """Score every text of a group against the group's one query.
 
-    Only the query's words are counted in the texts, inside the row, so the data
-    that moves is one small array per text.  Words the query repeats count again.
+    Words are counted per text on the map side and only the query's words go on, so
+    the work is linear in the texts.  Words the query repeats count again; a text
+    without any of them scores 0.
     """
-    asked = queries.select(group, tokens(F.col(query)).alias("_asked"))
-    counted = (
-        texts.select(group, key, tokens(F.col(text)).alias("_tokens"))
-        .join(asked, group)
-        .select(
-            group,
-            key,
-            F.size("_tokens").alias("_length"),
-            "_asked",
-            F.transform(
-                "_asked", lambda q: F.size(F.filter("_tokens", lambda t: t == q))
-            ).alias("_hits"),
-        )
+    asked = (
+        queries.select(group, F.explode(tokens(F.col(query))).alias("_word"))
+        .groupBy(group, "_word")
+        .agg(F.count("*").alias("_asked"))
     )
-    sizes = counted.groupBy(group).agg(
-        F.count("*").alias("_texts"), F.avg("_length").alias("_mean_length")
+    words = texts.join(queries.select(group), group, "left_semi").select(
+        group, key, tokens(F.col(text)).alias("_words")
     )
-    found = (
-        counted.select(group, F.posexplode("_hits").alias("_pos", "_n"))
-        .groupBy(group, "_pos")
-        .agg(F.count_if(F.col("_n") > 0).alias("_df"))
+    lengths = words.select(group, key, F.size("_words").alias("_length"))
+    sizes = lengths.groupBy(group).agg(
+        F.count("*").alias("_texts"), F.avg("_length").alias("_mean_length")
     )
-    # One entry per query word.
-    frequencies = found.groupBy(group).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_pos", "_df"))), lambda e: e["_df"]
-        ).alias("_dfs")
+    hits = (
+        words.select(group, key, F.size("_words").alias("_length"), F.explode("_words").alias("_word"))
+        .groupBy(group, key, "_length", "_word")
+        .agg(F.count("*").alias("_hits"))
+        .join(asked, [group, "_word"])
     )
-    joined = counted.join(sizes, group).join(frequencies, group, "left")
+    found = hits.groupBy(group, "_word").agg(F.count("*").alias("_df"))
+    joined = hits.join(found, [group, "_word"]).join(sizes, group)
+    n, df, count = F.col("_texts"), F.col("_df"), F.col("_hits")
+    idf = F.ln((n - df + 0.5) / (df + 0.5) + 1)
     norm = k1 * (1 - b + b * F.col("_length") / F.greatest(F.col("_mean_length"), F.lit(1.0)))
-    prepared = joined.withColumn("_norm", norm)
-
-    def gain(pair):
-        n, hits = F.col("_texts"), pair["_hits"]
-        idf = F.ln((n - pair["_dfs"] + 0.5) / (pair["_dfs"] + 0.5) + 1)
-        return idf * (hits * (k1 + 1)) / (hits + F.col("_norm"))
-
-    pairs = F.transform(F.arrays_zip("_hits", "_dfs"), gain)
-    score = F.aggregate(F.coalesce(pairs, F.array().cast("array<double>")), F.lit(0.0), lambda t, x: t + x)
-    return prepared.select(group, key, score.alias("score"))
+    gain = F.col("_asked") * idf * (count * (k1 + 1)) / (count + norm)
+    scores = joined.groupBy(group, key).agg(F.sum(gain).alias("score"))
+    return lengths.join(scores, [group, key], "left").select(
+        group, key, F.coalesce("score", F.lit(0.0)).alias("score")
+    )
 
 
 def bm25_pick(scores: DataFrame, group: str, key: str) -> DataFrame:
-    """The best text per group; equal scores keep the first key."""
+    """The best text per group; equal scores, up to the order of summation, keep the first key."""
     return scores.groupBy(group).agg(
-        F.max_by(key, F.struct("score", -F.col(key))).alias(key), F.max("score").alias("score")
+        F.max_by(key, F.struct(F.round("score", 9), -F.col(key))).alias(key), F.max("score").alias("score")
     )
