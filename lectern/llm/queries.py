@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup
+from lectern.llm import exact_dedup, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,14 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 #: Name: (query, SQL or None).
 PLANS = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op8_packing": (op8_packing, None),
 }
