@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, mixing, packing
+from lectern.llm import exact_dedup, fingerprints, mixing, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(documents(spark, sf_dir))
 
@@ -36,5 +40,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLANS = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op8_packing": (op8_packing, None),
+    "op9_fingerprints": (op9_fingerprints, None),
     "op10_mixing": (op10_mixing, None),
 }
