@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, fingerprints, mixing, packing, toxicity
+from lectern.llm import exact_dedup, fingerprints, mixing, packing, pii, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,6 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Name: (query, SQL or None).
 PLANS = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
+    "op2_pii": (op2_pii, None),
     "op3_toxicity": (op3_toxicity, None),
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
