@@ -12,22 +12,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.llm.common import whole_text
+from lectern.llm.common import shared_path, whole_text
 from lectern.operators.scan import Running, ordered_scan
 from lectern.session import materialize
 
 #: Characters of the longest piece of a paragraph.
 PIECE = 120
-#: Each digest goes into one cell of each of the three rows of a sketch.
-ROWS, ROW_CELLS = 3, 8
-CELLS = ROWS * ROW_CELLS
-#: Rounds of peeling; a sketch of so few cells is done or stuck by then.
-ROUNDS = 8
-#: Digests dealt to each sketch when a difference did not fit a single one.
-LOAD = 4
-
-CELL = "struct<n:long, key:long, chk:long>"
-RESIDUE = "array<struct<key:long, sign:long>>"
+#: A sketch has three rows of cells; each digest goes into one cell of each.
+ROWS = 3
+#: Cells of a row of the fingerprint itself, and spare room of the larger sketches of a retry.
+ROW_CELLS, SPARE = 8, 2
+#: Passes over the rows of a sketch before it counts as too small.
+PASSES = 2
+PAIR = ["row", "side", "width"]
+#: The cell that counts recovered digests.
+FOUND = -1
 
 
 def digests(text: Column) -> Column:
@@ -41,133 +40,108 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _places(key: Column, seed: int) -> list[Column]:
-    """The cell of a digest in each row: three bits of its hash for each."""
-    mixed = F.xxhash64(key, F.lit(seed))
-    cell = lambda row: (F.shiftrightunsigned(mixed, 3 * row).bitwiseAND(F.lit(ROW_CELLS - 1)) + ROW_CELLS * row).cast("int")
-    return [cell(row).alias(f"at{row}") for row in range(ROWS)]
-
-
-def _is_at(entry: Column, cell: Column) -> Column:
-    return (entry["at0"] == cell) | (entry["at1"] == cell) | (entry["at2"] == cell)
-
-
-def sketch(keys: Column, seed: int) -> Column:
-    """Cells of signed digests: an array of struct<key, sign>."""
-    entries = F.transform(
-        keys, lambda k: F.struct(k["key"].alias("key"), k["sign"].alias("sign"), _check(k["key"]).alias("chk"), *_places(k["key"], seed))
-    )
-    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(CELLS - 1)),
-        lambda c: F.aggregate(
-            F.filter(entries, lambda e: _is_at(e, c)),
-            empty,
-            lambda cell, e: F.struct(
-                (cell["n"] + e["sign"]).alias("n"),
-                cell["key"].bitwiseXOR(e["key"]).alias("key"),
-                cell["chk"].bitwiseXOR(e["chk"]).alias("chk"),
-            ),
-        ),
-    )
-
-
-def signed(keys: Column, sign: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(sign).cast("long").alias("sign")))
-
-
-def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(
-        left,
-        right,
-        lambda a, b: F.struct(
-            (a["n"] - b["n"]).alias("n"), a["key"].bitwiseXOR(b["key"]).alias("key"), a["chk"].bitwiseXOR(b["chk"]).alias("chk")
-        ),
-    )
-
-
-def peel(cells: Column, seed: int) -> Column:
-    """struct<cells, found>: what cannot be peeled (all cells zero if done) and the number of digests recovered."""
-
-    def step(state: Column, _: Column) -> Column:
-        single = F.array_distinct(
-            F.transform(
-                F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"]))),
-                lambda c: F.struct(
-                    c["n"].alias("n"), c["key"].alias("key"), c["chk"].alias("chk"), *_places(c["key"], seed)
-                ),
-            )
-        )
-        return F.struct(
-            F.transform(
-                state["cells"],
-                lambda c, i: F.aggregate(
-                    F.filter(single, lambda s: _is_at(s, i)),
-                    c,
-                    lambda cell, s: F.struct(
-                        (cell["n"] - s["n"]).alias("n"),
-                        cell["key"].bitwiseXOR(s["key"]).alias("key"),
-                        cell["chk"].bitwiseXOR(s["chk"]).alias("chk"),
-                    ),
-                ),
-            ).alias("cells"),
-            (state["found"] + F.size(single)).alias("found"),
+def _entries(key: Column, n: Column, chk: Column, width: Column, seed: int) -> list[Column]:
+    """What a digest adds to its cell in each row; cells are numbered through the rows."""
+    return [
+        F.struct(
+            (F.pmod(F.xxhash64(key, F.lit(seed * ROWS + row)), width) + row * width).alias("cell"),
+            n.alias("n"), key.alias("key"), chk.alias("chk"),
         )
+        for row in range(ROWS)
+    ]
 
-    start = F.struct(cells.cast(f"array<{CELL}>").alias("cells"), F.lit(0).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
-
-def peeled(state: Column) -> Column:
-    return F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0))
-
-
-def printed(keys: Column, cells: Column) -> Column:
-    """A sketch as text: the number of digests, then each cell as count.key.check in hexadecimal."""
-    cell = lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["key"]), F.hex(c["chk"])))
-    return F.concat(F.size(keys).cast("string"), F.lit(":"), F.concat_ws(",", F.transform(cells, cell)))
+def _summed(entries: DataFrame, by: list[str]) -> DataFrame:
+    return entries.groupBy(*by, "e.cell").agg(
+        F.sum("e.n").alias("n"), F.bit_xor("e.key").alias("key"), F.bit_xor("e.chk").alias("chk")
+    )
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add ``columns`` behind a one-element explode, so that the optimizer cannot compute them again per use."""
-    held = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.withColumn("_held", F.explode(F.array(held))).select(
-        *df.columns, *[F.col(f"_held.{n}").alias(n) for n in columns]
-    )
+def sketches(signed_keys: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """Cells (cell, n, key, chk) of the signed digests (key, sign) per ``by``, of which ``width`` is one."""
+    entries = _entries(F.col("key"), F.col("sign"), _check(F.col("key")), F.col("width"), seed)
+    return _summed(signed_keys.select(*by, F.explode(F.array(*entries)).alias("e")), by)
 
 
-def residual_differences(residue: DataFrame) -> DataFrame:
-    """Sizes of differences that did not fit one sketch.
+def peel_row(cells: DataFrame, row: int, seed: int) -> DataFrame:
+    """Take the digests that are alone in a cell of ``row`` out of all rows and count them.
 
-    ``residue`` has ``pair`` and ``keys`` (signed digests of both sides).  Returns pair, differing.
+    A digest is in one cell of the row, so it is taken out once.
+    """
+    own = F.struct("cell", "n", "key", "chk")
+    in_row = (F.col("cell") >= row * F.col("width")) & (F.col("cell") < (row + 1) * F.col("width"))
+    alone = in_row & (F.abs("n") == 1) & (F.col("chk") == _check(F.col("key")))
+    zero = F.lit(0).cast("long")
+    count = F.struct(F.lit(FOUND).cast("long").alias("cell"), F.lit(1).cast("long").alias("n"), zero.alias("key"), zero.alias("chk"))
+    taken = F.array(own, count, *_entries(F.col("key"), -F.col("n"), F.col("chk"), F.col("width"), seed))
+    empty = (F.col("n") == 0) & (F.col("key") == 0) & (F.col("chk") == 0)
+    rows = cells.where(~empty).select(*PAIR, F.explode(F.when(alone, taken).otherwise(F.array(own))).alias("e"))
+    return _summed(rows, PAIR)
+
+
+def compare(pairs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Subtract and peel one pair of sketches for each row of ``pairs``.
+
+    ``pairs`` has row, side, width and the digests of both sides, ``own`` and ``other``.
+    Returns (row, side, found) and the (row, side) that could not be peeled to the end.
+    All steps group by row and side, so rows bucketed by ``row`` never move.
     """
-    done: DataFrame | None = None
-    residue, seed = residue.withColumn("part", F.lit(0).cast("long")), 0
+    def signed(side: str, sign: int) -> Column:
+        return F.transform(side, lambda k: F.struct(k.alias("key"), F.lit(sign).cast("long").alias("sign")))
+
+    both = F.concat(signed("own", 1), signed("other", -1))
+    signed_keys = pairs.select(*PAIR, F.explode(both).alias("k")).select(*PAIR, "k.*")
+    cells = sketches(signed_keys, PAIR, seed)
+    found = None
+    for _ in range(PASSES):
+        for row in range(ROWS):
+            cells = peel_row(cells, row, seed)
+        left = materialize(cells.where(f"cell = {FOUND} OR n <> 0 OR key <> 0 OR chk <> 0"))
+        open_ = left.where(f"cell <> {FOUND}").select("row", "side").distinct()
+        cells = left.join(open_, ["row", "side"], "left_semi")
+        own = left.where(f"cell = {FOUND}").join(open_, ["row", "side"], "left_anti").select("row", "side", F.col("n").alias("found"))
+        found = own if found is None else found.unionByName(own)
+    return found, open_
+
+
+def differences(compared: DataFrame) -> DataFrame:
+    """Sizes of both differences of each row: row, to_edited, to_next.
+
+    ``compared`` has row, keys, edited_keys, next_keys and is bucketed by row.  A side that
+    does not peel in sketches of the fingerprint's size is compared again in sketches
+    sized by both sets, with fresh hash functions, and these grow until it peels.
+    """
+    asked, seed, done = compared.withColumn("sides", F.array(F.lit(0), F.lit(1))), 0, None
     while True:
-        seed += 1
-        dealt = residue.repartition("pair").select(
-            "pair", "part", F.ceil(F.size("keys") / (LOAD if seed == 1 else 2)).alias("parts"), F.explode("keys").alias("k")
-        )
-        # A new part number per (old part, hash): equal digests of both sides always meet.
-        chosen = F.pmod(F.xxhash64("k.key", F.lit(-seed)), F.col("parts"))
-        sketches = (
-            dealt.select("pair", F.xxhash64("part", chosen).alias("part"), "k")
-            .groupBy("pair", "part")
-            .agg(F.collect_list("k").alias("keys"))
-        )
-        state = _once(sketches, state=peel(sketch(F.col("keys"), seed), seed))
-        round_ = materialize(
-            state.select(
-                "pair", "part",
-                F.when(peeled(F.col("state")), F.col("state.found")).alias("found"),
-                F.when(~peeled(F.col("state")), F.col("keys")).alias("keys"),
-            )
-        )
-        own = round_.where("found IS NOT NULL").select("pair", "found")
-        done = own if done is None else done.unionByName(own)
-        residue = round_.where("found IS NULL").select("pair", "part", "keys")
-        if residue.isEmpty():
-            return done.groupBy("pair").agg(F.sum("found").alias("differing"))
+        other = F.when(F.col("side") == 0, F.col("edited_keys")).otherwise(F.col("next_keys"))
+        pairs = asked.withColumn("side", F.explode("sides")).select("row", "side", F.col("keys").alias("own"), other.alias("other"))
+        wide = F.size("own") + F.size("other")
+        width = F.lit(ROW_CELLS) if seed == 0 else F.greatest(F.lit(2 * ROW_CELLS), wide * SPARE) * (1 << (seed - 1))
+        found, open_ = compare(pairs.withColumn("width", width.cast("long")), seed)
+        done = found if done is None else done.unionByName(found)
+        if open_.isEmpty():
+            break
+        again = open_.groupBy("row").agg(F.collect_set("side").alias("sides"))
+        asked, seed = compared.join(again.hint("merge"), "row"), seed + 1
+    side = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("found"))), F.lit(0))
+    return done.groupBy("row").agg(side(0).alias("to_edited"), side(1).alias("to_next"))
+
+
+def printed(compared: DataFrame) -> DataFrame:
+    """The cells of both fingerprints of each row as text: row, cells, edited_cells.
+
+    Cells that are not empty, as number.count.key.check in hexadecimal.
+    """
+    both = compared.select("row", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("side"), F.col(c).alias("own")) for n, c in enumerate(("keys", "edited_keys"))
+    ])).alias("s")).select("row", "s.side", F.lit(ROW_CELLS).cast("long").alias("width"), F.explode("s.own").alias("key"))
+    cells = sketches(both.withColumn("sign", F.lit(1).cast("long")), PAIR, 0)
+    as_text = F.concat_ws(".", F.hex("cell"), F.hex("n"), F.hex("key"), F.hex("chk"))
+    listed = cells.groupBy("row").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("side") == n, F.struct("cell", as_text.alias("t"))))).alias(f"cells{n}") for n in (0, 1)
+    ])
+    text = lambda n: F.concat_ws(",", F.transform(f"cells{n}", lambda c: c["t"]))
+    return listed.select("row", text(0).alias("cells"), text(1).alias("edited_cells"))
 
 
 def likeness(own: Column, other: Column, differing: Column) -> Column:
@@ -230,60 +204,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next, n_digests, edited_differs (digests in one of the text and its edit only).
     """
-    pairs = with_next(docs)
-    pairs = _once(pairs, keys=digests(F.col("text")), edited_keys=digests(F.col("edited")))
-    pairs = _once(
-        pairs,
-        cells=sketch(signed(F.col("keys"), 1), 0),
-        edited_cells=sketch(signed(F.col("edited_keys"), 1), 0),
-        next_cells=sketch(signed(F.col("next_keys"), 1), 0),
-    )
-    pairs = _once(
-        pairs,
-        to_edited=peel(subtract(F.col("cells"), F.col("edited_cells")), 0),
-        to_next=peel(subtract(F.col("cells"), F.col("next_cells")), 0),
+    spark = docs.sparkSession
+    rows = with_next(docs).select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id", "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        digests(F.col("text")).alias("keys"),
+        digests(F.col("edited")).alias("edited_keys"),
+        "next_keys",
     )
-
-    def compared(state: str, other: str) -> list[Column]:
-        done = peeled(F.col(state))
-        both = F.concat(signed(F.col("keys"), 1), signed(F.col(other), -1)).cast(RESIDUE)
-        return [
-            F.when(done, F.col(f"{state}.found")).cast("long").alias(f"{state}_found"),
-            F.when(~done, both).alias(f"{state}_keys"),
-        ]
-
-    first = materialize(
-        pairs.select(
-            F.monotonically_increasing_id().alias("row"),
-            "doc_id", "n_chars",
-            F.sha2("edited", 256).alias("edited_sha256"),
-            printed(F.col("keys"), F.col("cells")).alias("fingerprint"),
-            printed(F.col("edited_keys"), F.col("edited_cells")).alias("edited_fingerprint"),
-            F.size("keys").alias("own"), F.size("edited_keys").alias("edited"), F.size("next_keys").alias("next"),
-            *compared("to_edited", "edited_keys"),
-            *compared("to_next", "next_keys"),
-        )
-    )
-    residue = first.select(
-        F.explode(
-            F.array(
-                F.struct((F.col("row") * 2).alias("pair"), F.col("to_edited_keys").alias("keys")),
-                F.struct((F.col("row") * 2 + 1).alias("pair"), F.col("to_next_keys").alias("keys")),
-            )
-        ).alias("r")
-    ).select("r.*").where("keys IS NOT NULL")
-    later = (
-        residual_differences(residue)
-        .groupBy(F.floor(F.col("pair") / 2).alias("row"))
-        .agg(
-            F.max(F.when(F.col("pair") % 2 == 0, F.col("differing"))).alias("late_edited"),
-            F.max(F.when(F.col("pair") % 2 == 1, F.col("differing"))).alias("late_next"),
-        )
+    # Bucketed by row: everything below groups and joins by row without moving the digests.
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, "digests")
+    name = "compared_" + path.rsplit("-", 1)[-1]
+    materialize(rows).repartition(buckets, "row").write.format("parquet").bucketBy(buckets, "row").sortBy("row").option("path", path).saveAsTable(name)
+    compared = spark.table(name)
+    sized = compared.select(
+        "row", "doc_id", "n_chars", "edited_sha256",
+        F.size("keys").alias("own"), F.size("edited_keys").alias("edited"), F.size("next_keys").alias("next"),
     )
-    to_edited = F.coalesce("to_edited_found", "late_edited")
-    to_next = F.coalesce("to_next_found", "late_next")
-    return first.drop("to_edited_keys", "to_next_keys").join(later, "row", "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    joined = sized.join(printed(compared), "row", "left").join(differences(compared), "row", "left")
+    text = lambda size, cells: F.concat(F.col(size).cast("string"), F.lit(":"), F.coalesce(cells, F.lit("")))
+    to_edited, to_next = F.coalesce("to_edited", F.lit(0)), F.coalesce("to_next", F.lit(0))
+    return joined.select(
+        "doc_id", "n_chars", "edited_sha256",
+        text("own", "cells").alias("fingerprint"),
+        text("edited", "edited_cells").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited"), to_edited).alias("near_edited"),
         likeness(F.col("own"), F.col("next"), to_next).alias("near_next"),
         F.col("own").cast("long").alias("n_digests"),
