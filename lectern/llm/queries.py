@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, fingerprints, mixing, packing, pii, toxicity
+from lectern.llm import exact_dedup, fingerprints, jaccard_join, mixing, packing, pii, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +53,7 @@ PLANS = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_pii": (op2_pii, None),
     "op3_toxicity": (op3_toxicity, None),
+    "op4_ngram_jaccard": (op4_ngram_jaccard, None),
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_mixing": (op10_mixing, None),
