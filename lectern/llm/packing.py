@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm.common import whole_text
@@ -173,6 +174,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, group: Column | None = None, wi
     return chosen.mapInArrow(cut, PIECES)
 
 
+def stored_order(docs: DataFrame, rows: int = 4096) -> Column | None:
+    """A group key for runs of ``rows`` consecutive rows of the files that ``docs`` reads, None if it reads none.
+
+    Packed by these groups, sequences follow the order in which the rows were written.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    run = F.xxhash64(F.col("_metadata.file_name"), F.floor(F.col("_metadata.row_index") / rows))
+    return F.pmod(run, F.lit((1 << 31) - 1))
+
+
 def pack_pieces(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pack piece rows, each ``group_key`` on its own; sequence ids are unique over all groups."""
 
