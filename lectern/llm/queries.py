@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, fingerprints, jaccard_join, mixing, packing, pii, toxicity
+from lectern.llm import exact_dedup, fingerprints, jaccard_join, mixing, packing, pii, rlz, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+def op7_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.remove_passages(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +62,8 @@ PLANS = {
     "op2_pii": (op2_pii, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_ngram_jaccard": (op4_ngram_jaccard, None),
+    "op5_suffix_array": (op5_suffix_array, None),
+    "op7_relative_lempel_ziv": (op7_relative_lempel_ziv, None),
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_mixing": (op10_mixing, None),
