@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, fingerprints, jaccard_join, mixing, packing, pii, rlz, suffix_dedup, toxicity
+from lectern.llm import exact_dedup, fingerprints, jaccard_join, mixing, mixing_lm, packing, pii, rlz, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_texts(documents(spark, sf_dir))
+
+
 def op7_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.remove_passages(documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ PLANS = {
     "op3_toxicity": (op3_toxicity, None),
     "op4_ngram_jaccard": (op4_ngram_jaccard, None),
     "op5_suffix_array": (op5_suffix_array, None),
+    "op6_context_mixing": (op6_context_mixing, None),
     "op7_relative_lempel_ziv": (op7_relative_lempel_ziv, None),
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
