@@ -15,5 +15,6 @@ def norm(vector: Column) -> Column:
 
 
 def positive(value: Column, message: str) -> Column:
-    """``value`` where it is above zero; any other value stops the job."""
-    return F.when(value > 0, value).otherwise(F.raise_error(F.lit(message)).cast("double"))
+    """``value`` where it is a finite number above zero; any other value, NaN too, stops the job."""
+    finite = ~F.isnan(value) & (value < float("inf"))
+    return F.when((value > 0) & finite, value).otherwise(F.raise_error(F.lit(message)).cast("double"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lectern.session import materialize
+
 
 def cache_key(text: Column, identity: str) -> Column:
     """Content address of an input under one identity (model, version, settings)."""
@@ -18,11 +20,14 @@ def with_cache(
     """Results for every input row, and the new cache entries.
 
     ``cache`` holds ``key, value, payload_hash``; an entry whose payload does not
-    match its hash counts as a miss.  Only missing keys reach ``compute``, once each.
+    match its hash counts as a miss, and of several entries of a key one is used.  Only
+    missing keys reach ``compute``, once each: its results are written before either
+    frame reads them.
     """
-    usable = cache.where(F.sha2(F.to_json(F.struct(value)), 256) == F.col("payload_hash")).select(key, value)
+    sound = cache.where(F.sha2(F.to_json(F.struct(value)), 256) == F.col("payload_hash"))
+    usable = sound.groupBy(key).agg(F.min_by(value, "payload_hash").alias(value))
     missing = inputs.join(usable.select(key), key, "left_anti").dropDuplicates([key])
-    fresh = compute(missing).select(key, value)
+    fresh = materialize(compute(missing).select(key, value))
     known = usable.withColumn("cache_hit", F.lit(True)).unionByName(fresh.withColumn("cache_hit", F.lit(False)))
     entries = fresh.withColumn("payload_hash", F.sha2(F.to_json(F.struct(value)), 256))
     return inputs.join(known, key, "left"), entries

@@ -14,12 +14,17 @@ ORDER = ["priority", "pdf_page", "kind_order", "reading_order", "stable_id"]
 
 @dataclass(frozen=True)
 class PacketLimits:
+    """What a packet may hold; ``max_chars`` and ``max_block_chars`` None leave texts whole."""
+
     max_candidates: int = 48
-    max_chars: int = 24_000
-    max_block_chars: int = 2_000
+    max_chars: int | None = 24_000
+    max_block_chars: int | None = 2_000
     max_visuals: int = 3
 
 
+UNCUT = PacketLimits(max_chars=None, max_block_chars=None)
+
+
 def evidence_id(document: Column, kind: Column, pos: Column, page: Column, box: Column) -> Column:
     parts = F.concat_ws(
         "\x1f", document.cast("string"), kind, pos.cast("string"), page.cast("string"),
@@ -34,7 +39,8 @@ def _with_path(df: DataFrame) -> DataFrame:
 
 
 def text_candidates(blocks: DataFrame, limits: PacketLimits) -> DataFrame:
-    cut = F.substring("text", 1, limits.max_block_chars)
+    whole = F.col("text")
+    cut = whole if limits.max_block_chars is None else F.substring(whole, 1, limits.max_block_chars)
     kept = blocks.where(F.col("block_type").isin(*TEXT_BLOCKS) & not_blank(cut))
     return _with_path(kept).select(
         "doc_id",
@@ -92,6 +98,9 @@ def character_budget(chosen: DataFrame, limits: PacketLimits) -> DataFrame:
 
     A document has at most ``max_candidates`` rows here.
     """
+    if limits.max_chars is None:
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy(*ORDER)).cast("bigint")
+        return chosen.withColumn("place", number)
     before = F.sum(F.length("evidence_text")).over(
         Window.partitionBy("doc_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -104,7 +113,20 @@ def character_budget(chosen: DataFrame, limits: PacketLimits) -> DataFrame:
     return cut.withColumn("evidence_text", text).withColumn("place", place).drop("_left")
 
 
-def packets(blocks: DataFrame, visuals: DataFrame, limits: PacketLimits = PacketLimits()) -> DataFrame:
+def packet_cuts(blocks: DataFrame, visuals: DataFrame, packet: DataFrame) -> DataFrame:
+    """How many rows and characters each document lost on the way into its packet."""
+    offered = text_candidates(blocks, UNCUT).unionByName(visual_candidates(visuals))
+
+    def sizes(rows: DataFrame, prefix: str) -> DataFrame:
+        return rows.groupBy("doc_id").agg(
+            F.count("*").alias(f"{prefix}_rows"), F.sum(F.length("evidence_text")).alias(f"{prefix}_chars")
+        )
+
+    lost = lambda what: (F.coalesce(f"offered_{what}", F.lit(0)) - F.coalesce(f"packed_{what}", F.lit(0))).alias(f"cut_{what}")
+    return sizes(offered, "offered").join(sizes(packet, "packed"), "doc_id", "left").select("doc_id", lost("rows"), lost("chars"))
+
+
+def packets(blocks: DataFrame, visuals: DataFrame, limits: PacketLimits) -> DataFrame:
     candidates = text_candidates(blocks, limits).unionByName(visual_candidates(visuals))
     return character_budget(reserve_visuals(candidates, limits), limits)
 

@@ -47,16 +47,23 @@ def section_level(parser_level: Column) -> Column:
     return F.greatest(F.lit(1), parser_level + 1)
 
 
-def outline(items: DataFrame, max_level: int = 8) -> DataFrame:
+def outline(items: DataFrame, max_level: int | None = None) -> DataFrame:
     """Add ``section_pos``, ``parent_pos``, ``section_path`` (titles, outermost first) and
     ``section_keys`` (the same titles normalised).
 
     The open sections at an item are the last headings of each level that no later
     heading of the same or an outer level has closed.  So one running maximum per
-    level replaces a stack, and long documents are scanned in slots.
+    level replaces a stack, and long documents are scanned in slots.  ``max_level`` is the
+    deepest level to expect; by default it is looked up among the items.
     """
+    if max_level is None:
+        deepest = items.where(is_heading(F.col("label"))).agg(F.max("level")).first()[0]
+        max_level = max(1, deepest or 1)
     opens = is_heading(F.col("label")) & not_blank(F.col("text"))
-    level = F.when(F.col("level") <= max_level, F.col("level")).otherwise(
+    if "box" in items.columns:
+        # A heading that lies on no page opens nothing.
+        opens = opens & F.col("box").isNotNull()
+    level = F.when(F.col("level").isNull() | (F.col("level") <= max_level), F.col("level")).otherwise(
         F.raise_error(F.lit("section level exceeds max_level")).cast("int")
     )
     scans = {
@@ -94,6 +101,8 @@ def outline(items: DataFrame, max_level: int = 8) -> DataFrame:
 def place_boxes(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Boxes with the origin at the top left, null where a box is not inside its page.
 
+    Comes before :func:`outline`, which takes headings without a box for none.
+
     ``mapped`` marks the items that become blocks.
     """
     joined = items.join(pages.select("doc_id", "pdf_page", "width", "height"), ["doc_id", "pdf_page"], "left")
@@ -117,9 +126,7 @@ def place_boxes(items: DataFrame, pages: DataFrame) -> DataFrame:
     )
     placed = sized.withColumn("box", box)
     mapped = F.col("box").isNotNull() & ~is_visual(F.col("label"))
-    return placed.withColumn("mapped", mapped).drop(
-        "_top", "_bottom", "raw_left", "raw_top", "raw_right", "raw_bottom", "origin"
-    )
+    return placed.withColumn("mapped", mapped).drop("_top", "_bottom")
 
 
 def section_spans(blocks: DataFrame) -> DataFrame:
@@ -130,29 +137,41 @@ def section_spans(blocks: DataFrame) -> DataFrame:
     )
 
 
-def two_column_pages(placed: DataFrame, grid: float = 1.0, levels: int = 11) -> DataFrame:
+def two_column_pages(placed: DataFrame) -> DataFrame:
     """Pages on which two narrow boxes share a vertical range with a gap between them.
 
-    Box edges are counted in units of ``grid`` and lie below ``2 ** levels`` units.  Each vertical range is cut into the
-    few aligned power-of-two intervals that cover it; two ranges overlap exactly if
-    an interval of one contains an interval of the other.  Leftmost right edge and
-    rightmost left edge per interval then decide, so no pairs of boxes are formed.
+    Box edges are replaced by their rank among the distinct edges of the page, which keeps
+    every overlap exact.  Each vertical range is then cut into the few aligned
+    power-of-two intervals of ranks that cover it; two ranges overlap exactly if an
+    interval of one contains an interval of the other.  Leftmost right edge and rightmost
+    left edge per interval decide, so no pairs of boxes are formed.
     """
     box = F.col("box")
-    narrow = placed.where(
+    boxes = placed.where(
         box.isNotNull() & (box["right"] - box["left"] < F.col("width") * 0.6)
     ).select(
         "doc_id", "pdf_page", (F.col("width") * 0.05).alias("_gap"),
-        box["left"].alias("_left"), box["right"].alias("_right"),
-        F.floor(box["top"] / grid).cast("bigint").alias("_a"),
-        F.floor(box["bottom"] / grid).cast("bigint").alias("_z"),
-    )
+        box["left"].alias("_left"), box["right"].alias("_right"), box["top"].alias("_top"), box["bottom"].alias("_bottom"),
+    )
+    edges = boxes.select("doc_id", "pdf_page", F.explode(F.array("_top", "_bottom")).alias("_edge")).distinct()
+    # One page's edges at a time.
+    ranked = edges.withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("doc_id", "pdf_page").orderBy("_edge")).cast("bigint") - 1
+    ).withColumn("_edges", F.count("*").over(Window.partitionBy("doc_id", "pdf_page")))
+    tops = ranked.select("doc_id", "pdf_page", F.col("_edge").alias("_top"), F.col("_rank").alias("_a"), "_edges")
+    bottoms = ranked.select("doc_id", "pdf_page", F.col("_edge").alias("_bottom"), F.col("_rank").alias("_z"))
+    narrow = (
+        boxes.join(tops, ["doc_id", "pdf_page", "_top"])
+        .join(bottoms, ["doc_id", "pdf_page", "_bottom"])
+        .withColumn("_levels", F.ceil(F.log2("_edges")).cast("int"))
+    )
+    levels = F.col("_levels")
 
     def size_of(level):
         return F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
 
     step = size_of(F.col("_k"))
-    cut = narrow.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels)))).select(
+    cut = narrow.withColumn("_k", F.explode(F.sequence(F.lit(0), levels))).select(
         "*",
         int_div(F.col("_a") + step - 1, step).alias("_low"),
         int_div(F.col("_z"), step).alias("_high"),
@@ -170,7 +189,7 @@ def two_column_pages(placed: DataFrame, grid: float = 1.0, levels: int = 11) ->
         ),
     )
     # Each covering interval also tells the intervals that contain it.
-    nodes = cover.withColumn("_up", F.explode(F.sequence(F.col("_k"), F.lit(levels)))).select(
+    nodes = cover.withColumn("_up", F.explode(F.sequence(F.col("_k"), levels))).select(
         "doc_id", "pdf_page", "_gap", "_left", "_right",
         F.col("_up").alias("_level"),
         int_div(F.col("_i"), size_of(F.col("_up") - F.col("_k"))).alias("_node"),

@@ -24,6 +24,10 @@ BUDGET_LIMITS = {
 }
 
 
+#: Fewest pairs of timings that are compared.
+MIN_PAIRS = 9
+
+
 def _require(good: Column, message: str) -> Column:
     return F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
 
@@ -39,7 +43,9 @@ def ranking_quality(rankings: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(relevant & (rank <= 5)).alias("_top5"),
         F.count_if(relevant & (rank <= 15)).alias("_top15"),
         F.sum(gain).alias("_dcg"),
+        F.min("rank").alias("_first"),
         F.max("rank").alias("_last"),
+        F.countDistinct("rank").alias("_distinct"),
     )
     ideal = F.aggregate(
         F.slice(discounts, 1, F.least(F.col("relevant_count"), F.lit(5)).cast("int")),
@@ -47,8 +53,13 @@ def ranking_quality(rankings: DataFrame, keys: list[str]) -> DataFrame:
         lambda total, d: total + d,
     )
     return counted.where(
-        _require(F.col("evaluated_count") >= 15, "ranking domain must contain at least fifteen items")
-        & _require(F.col("_last") == F.col("evaluated_count"), "ranking ranks must be unique and consecutive")
+        _require(F.col("evaluated_count") >= 15, "at least fifteen ranked items are needed")
+        & _require(
+            (F.col("_first") == 1)
+            & (F.col("_last") == F.col("evaluated_count"))
+            & (F.col("_distinct") == F.col("evaluated_count")),
+            "every rank from one to the number of items must occur once",
+        )
     ).select(
         *keys,
         "evaluated_count",
@@ -120,7 +131,10 @@ def retrieval_metrics(scored: DataFrame, score: str, key: str, relevant: str, to
 
 
 def paired_comparison(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Compare ``improved`` against ``baseline`` timings; rows carry ``variant`` and integer ``ns``."""
+    """Compare ``improved`` against ``baseline`` timings; rows carry ``variant`` and integer ``ns``.
+
+    Fewer than ``MIN_PAIRS`` pairs, or unequal numbers of both variants, stop the job.
+    """
     percentiles = nearest_rank_percentiles(samples, [*keys, "variant"], "ns", [50, 95])
 
     def pick(variant: str, column: str) -> Column:
@@ -128,13 +142,18 @@ def paired_comparison(samples: DataFrame, keys: list[str]) -> DataFrame:
 
     wide = percentiles.groupBy(*keys).agg(
         pick("baseline", "n").alias("pair_count"),
+        pick("improved", "n").alias("_improved_count"),
         pick("baseline", "p50").alias("baseline_median_ns"),
         pick("improved", "p50").alias("improved_median_ns"),
         pick("baseline", "p95").alias("baseline_p95_ns"),
         pick("improved", "p95").alias("improved_p95_ns"),
     )
+    paired = _require(
+        F.col("pair_count").eqNullSafe(F.col("_improved_count")) & (F.col("pair_count") >= MIN_PAIRS),
+        "timings must come in at least nine pairs",
+    )
     return (
-        wide.withColumn(
+        wide.where(paired).drop("_improved_count").withColumn(
             "improvement_ppm", improvement_ppm(F.col("baseline_median_ns"), F.col("improved_median_ns"))
         )
         .withColumn("p95_ratio_ppm", share_ppm(F.col("improved_p95_ns"), F.col("baseline_p95_ns")))

@@ -28,18 +28,23 @@ def recency_weights(interests: DataFrame, recency: str, key: str) -> DataFrame:
 
 def fold_vectors(df: DataFrame, vector: str, weight: Column) -> DataFrame:
     """One row, one column ``folded``: the weighted mean of the unit vectors of ``df``."""
-    length = positive(norm(F.col(vector)), "zero-length embeddings cannot be ranked")
+    length = positive(norm(F.col(vector)), "an embedding has no finite length above zero")
     parts = df.select(weight.alias("_w"), length.alias("_n"), F.col(vector).alias("_v")).select(
         "_w", "_n", F.posexplode("_v").alias("_pos", "_x")
     )
     per_dimension = parts.groupBy("_pos").agg(
-        (F.sum(F.col("_w") * F.col("_x") / F.col("_n")) / F.sum("_w")).alias("_x")
+        (F.sum(F.col("_w") * F.col("_x") / F.col("_n")) / F.sum("_w")).alias("_x"), F.count("*").alias("_rows")
     )
     # One entry per vector dimension.
     entries = F.array_sort(F.collect_list(F.struct("_pos", "_x")))
     folded = F.transform(entries, lambda e: e["_x"])
-    checked = F.when(F.size(folded) > 0, folded).otherwise(
-        F.raise_error(F.lit("interest corpus must not be empty")).cast("array<double>")
+    checked = (
+        F.when(F.size(folded) == 0, F.raise_error(F.lit("there is no interest to compare with")).cast("array<double>"))
+        .when(
+            F.min("_rows") < F.max("_rows"),
+            F.raise_error(F.lit("embeddings differ in length")).cast("array<double>"),
+        )
+        .otherwise(folded)
     )
     return per_dimension.agg(checked.alias("folded"))
 
@@ -48,9 +53,11 @@ def cosine_to(df: DataFrame, vector: str, folded: DataFrame, name: str) -> DataF
     """Add the cosine between each row's vector and a folded (already unit-scaled) vector."""
     # Both are columns of their own: a lambda would evaluate them once per element.
     prepared = df.withColumn(
-        "_norm", positive(norm(F.col(vector)), "zero-length embeddings cannot be ranked")
+        "_norm", positive(norm(F.col(vector)), "an embedding has no finite length above zero")
     ).withColumn("_folded", folded.scalar())
-    cosine = dot(F.col(vector), F.col("_folded")) / F.col("_norm")
+    cosine = F.when(
+        F.size(vector) == F.size("_folded"), dot(F.col(vector), F.col("_folded")) / F.col("_norm")
+    ).otherwise(F.raise_error(F.lit("embeddings differ in length")).cast("double"))
     # Exploding a one-element array keeps later filters and scores from repeating the
     # product, and keeps it above the joins that have already dropped rows.
     return prepared.withColumn(name, F.explode(F.array(cosine))).drop("_norm", "_folded")
@@ -86,6 +93,8 @@ def focus_blend(
 
 
 def clamp(score: Column) -> Column:
+    """The score within its bounds; NaN, which would count as the largest number, stops the job."""
+    score = F.when(F.isnan(score), F.raise_error(F.lit("a score is not a number")).cast("double")).otherwise(score)
     return F.least(F.lit(SCORE_MAX), F.greatest(F.lit(SCORE_MIN), score))
 
 

@@ -97,19 +97,8 @@ def ordered_scan(
     return joined.withColumns(result).select(*df.columns, *scans, *totals)
 
 
-SMALL_ROWS = 100_000
-
-
-def global_rank(
-    df: DataFrame, order: Sequence[Column], name: str = "rank", small: int = SMALL_ROWS
-) -> DataFrame:
-    """Number all rows 1..n in a total order.
-
-    Up to ``small`` rows, which is counted first, one task sorts them; larger inputs
-    are ranked range by range.
-    """
-    if df.select(F.lit(1)).limit(small + 1).count() <= small:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Number all rows 1..n in a total order, range by range."""
     return ordered_scan(df, [], order, {name: running_count()})
 
 

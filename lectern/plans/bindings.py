@@ -137,7 +137,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     height = 8 + n % 40
     flipped = pos % 3 == 0
     left = 30 + (pos % 2) * 280
-    width = F.when(n % 50 == 0, 900).otherwise(60 + n % 260)
+    width = F.when((n % 50 == 0) | (heading & (n % 17 == 0)), 900).otherwise(60 + n % 260)
     return lines(spark, folder).select(
         "doc_id", "pos", "item_count", F.col("line").alias("text"), label.alias("label"),
         (1 + n % 3).alias("level"),
@@ -170,11 +170,11 @@ base AS (SELECT doc_id, pos, line AS text, length(line) AS n, pos // 30 + 1 AS p
         WHEN pos % 11 = 5 THEN 'caption' WHEN pos % 11 = 7 THEN 'list_item' WHEN pos % 11 = 9 THEN 'formula'
         WHEN pos % 17 = 3 THEN 'page_footer' ELSE 'text' END AS label,
    CASE WHEN doc_id % 2 = 1 THEN 595.0 ELSE 612.0 END AS width, CASE WHEN doc_id % 2 = 1 THEN 842.0 ELSE 792.0 END AS height FROM lines),
-heads AS (SELECT doc_id, pos, level, text FROM base WHERE label = 'section_header'
-          AND regexp_replace(text, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') <> ''),
 items AS (SELECT *, CAST(30 + (pos % 2) * 280 AS DOUBLE) AS bl,
    CAST((pos % 30) * 25 + 4 + CASE WHEN pos % 3 = 0 THEN height - 792 ELSE 0 END AS DOUBLE) AS bt,
-   CAST(30 + (pos % 2) * 280 + CASE WHEN n % 50 = 0 THEN 900 ELSE 60 + n % 260 END AS DOUBLE) AS br,
+   CAST(30 + (pos % 2) * 280 + CASE WHEN n % 50 = 0 OR (label = 'section_header' AND n % 17 = 0) THEN 900 ELSE 60 + n % 260 END AS DOUBLE) AS br,
    CAST((pos % 30) * 25 + 4 + 8 + n % 40 + CASE WHEN pos % 3 = 0 THEN height - 792 ELSE 0 END AS DOUBLE) AS bb FROM base),
-placed AS (SELECT *, bl >= 0 AND bt >= 0 AND br <= width AND bb <= height AS ok FROM items)"""
+placed AS (SELECT *, bl >= 0 AND bt >= 0 AND br <= width AND bb <= height AS ok FROM items),
+heads AS (SELECT doc_id, pos, level, text FROM placed WHERE ok AND label = 'section_header'
+          AND regexp_replace(text, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', '', 'g') <> '')"""
 )

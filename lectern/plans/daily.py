@@ -108,7 +108,7 @@ def ordered_selection(batch: DataFrame, ids: list[str]) -> DataFrame:
 
 def evidence_packets(items: DataFrame, pages: DataFrame, limits: evidence.PacketLimits) -> DataFrame:
     """Packets of documents given as parsed items and page sizes."""
-    placed = materialize(outline.place_boxes(outline.outline(items), pages))
+    placed = materialize(outline.outline(outline.place_boxes(items, pages)))
     blocks = placed.where("mapped").withColumn("block_type", outline.block_type(F.col("label")))
     visuals = placed.where(F.col("box").isNotNull() & outline.is_visual(F.col("label"))).withColumn(
         "kind", F.when(F.lower("label") == "table", "table").otherwise("figure")

@@ -9,12 +9,11 @@ from lectern.plans import bindings as b
 from lectern.session import materialize
 
 
-def _outlined(spark, folder):
-    return outline.outline(b.items(spark, folder), max_level=3)
+def _placed(spark, folder):
+    return outline.outline(outline.place_boxes(b.items(spark, folder), b.document_pages(spark, folder)), max_level=3)
 
 
-def _placed(spark, folder):
-    return outline.place_boxes(_outlined(spark, folder), b.document_pages(spark, folder))
+_outlined = _placed
 
 
 def _blocks(placed):
@@ -98,7 +97,7 @@ def _packets(spark, folder):
     visuals = _visuals(placed)
     captions = outline.visual_captions(visuals, placed)
     with_caption = visuals.join(captions.select("doc_id", "pos", "caption"), ["doc_id", "pos"], "left")
-    return evidence.packets(_blocks(placed), with_caption)
+    return evidence.packets(_blocks(placed), with_caption, evidence.PacketLimits())
 
 
 def evidence_packets(spark, folder):
@@ -115,9 +114,8 @@ def packet_fingerprints(spark, folder):
 
 def evidence_filter(spark, folder):
     placed = outline.place_boxes(b.items(spark, folder), b.document_pages(spark, folder))
-    limits = evidence.PacketLimits()
     rows = _blocks(placed).withColumn("section_keys", F.array().cast("array<string>"))
-    return evidence.text_candidates(rows, limits).groupBy("doc_id").agg(
+    return evidence.text_candidates(rows, evidence.UNCUT).groupBy("doc_id").agg(
         F.count("*").alias("candidate_count"), F.sum(F.length("evidence_text")).alias("chars")
     )
 
@@ -310,8 +308,8 @@ SELECT doc_id, count(*) AS page_count, count(*) FILTER (WHERE chars = 0) AS page
     ),
     "evidence_filter": (
         evidence_filter,
-        f"""WITH {b.ITEMS_SQL} SELECT doc_id, count(*) AS candidate_count, CAST(sum(length(substr(text, 1, 2000))) AS BIGINT) AS chars FROM placed
-WHERE ok AND label IN ('text', 'list_item', 'formula') AND trim(substr(text, 1, 2000)) <> '' GROUP BY 1""",
+        f"""WITH {b.ITEMS_SQL} SELECT doc_id, count(*) AS candidate_count, CAST(sum(length(text)) AS BIGINT) AS chars FROM placed
+WHERE ok AND label IN ('text', 'list_item', 'formula') AND trim(text) <> '' GROUP BY 1""",
     ),
     "evidence_packets": (
         evidence_packets,

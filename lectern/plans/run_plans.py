@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lectern.functions.fixedpoint import int_div
 from lectern.operators import caching, constraints, feedback, quality, scan
 from lectern.plans import bindings as b
 from lectern.session import shared_folder
@@ -82,10 +83,12 @@ def percentiles(spark, folder):
 
 
 def paired_comparison(spark, folder):
+    """Each line is a pair: its price, and its price after the discount."""
+    price = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    kept = 100 - F.round(F.col("l_discount") * 100).cast("bigint")
     lines = b.table(spark, folder, "lineitem").select(
         "l_returnflag",
-        F.when(F.col("l_linestatus") == "O", "baseline").otherwise("improved").alias("variant"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("ns"),
+        F.explode(F.create_map(F.lit("baseline"), price, F.lit("improved"), int_div(price * kept, F.lit(100)))).alias("variant", "ns"),
     )
     return quality.paired_comparison(lines, ["l_returnflag"])
 
@@ -322,7 +325,8 @@ SELECT command_id, device_id FROM m WHERE prior > place""",
     ),
     "paired_comparison": (
         paired_comparison,
-        """WITH s AS (SELECT l_returnflag, l_linestatus = 'O' AS base, CAST(round(l_extendedprice * 100) AS BIGINT) AS ns FROM lineitem),
+        """WITH l AS (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, 100 - CAST(round(l_discount * 100) AS BIGINT) AS kept FROM lineitem),
+s AS (SELECT l_returnflag, true AS base, price AS ns FROM l UNION ALL SELECT l_returnflag, false, price * kept // 100 FROM l),
 p AS (SELECT l_returnflag, count(*) FILTER (WHERE base) AS pair_count,
   percentile_disc(0.5) WITHIN GROUP (ORDER BY ns) FILTER (WHERE base) AS b50, percentile_disc(0.5) WITHIN GROUP (ORDER BY ns) FILTER (WHERE NOT base) AS i50,
   percentile_disc(0.95) WITHIN GROUP (ORDER BY ns) FILTER (WHERE base) AS b95, percentile_disc(0.95) WITHIN GROUP (ORDER BY ns) FILTER (WHERE NOT base) AS i95 FROM s GROUP BY 1),

@@ -6,28 +6,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 
+def _run_folder(path: str, run_id: str) -> str:
+    return f"{path}/run_id={run_id}"
+
+
 def write_batch(df: DataFrame, path: str, run_id: str) -> None:
-    """Replace the partition of one run; other runs stay untouched."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("run_id").parquet(path)
+    """Replace the folder of one run, also by no rows at all; other runs stay untouched."""
+    df.drop("run_id").write.mode("overwrite").parquet(_run_folder(path, run_id))
 
 
 def read_batch(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("run_id") == run_id)
+    """The rows of a run; an empty batch keeps its columns."""
+    return spark.read.parquet(_run_folder(path, run_id)).withColumn("run_id", F.lit(run_id))
 
 
 def write_manifest(manifest: DataFrame, path: str, run_id: str) -> None:
-    manifest.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("run_id").json(path)
+    manifest.drop("run_id").write.mode("overwrite").json(_run_folder(path, run_id))
 
 
 def write_metrics(metrics: DataFrame, path: str, run_id: str, config_hash: str) -> None:
     """Write a run's metrics; a run id that exists under another configuration is refused."""
     spark = metrics.sparkSession
     try:
-        existing = spark.read.parquet(path).where(F.col("run_id") == run_id)
+        existing = read_batch(spark, path, run_id)
         clash = existing.where(F.col("config_hash") != config_hash).limit(1).count()
     except AnalysisException:
         clash = 0

@@ -11,8 +11,6 @@ from lectern.operators.dedup import canonical, latest_date_only, latest_version
 from lectern.schemas import ATOM_ENTRY, COLLECTION, LIBRARY_ITEM, OFFLINE_FIXTURE, PREPRINT_RESPONSE
 from lectern.sources.registry import register
 
-NEWEST_LIMIT = 200
-
 
 def read_library(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Collections and items of an exported interest library."""
@@ -97,16 +95,24 @@ def latest_entries(entries: DataFrame) -> DataFrame:
 
 
 def category_feeds(
-    feeds: Sequence[DataFrame], categories: Sequence[str], include_cross_list: bool
+    feeds: Sequence[DataFrame],
+    categories: Sequence[str],
+    include_cross_list: bool,
+    limit: int | None,
+    limit_first: bool = False,
 ) -> DataFrame:
-    """Feeds of several categories as one: latest versions, the newest 200, and only then the category rule."""
+    """Feeds of several categories as one: latest versions by the category rule, the newest ``limit`` of them.
+
+    ``limit`` None keeps all; ``limit_first`` takes the newest before the category rule.
+    """
     merged = feeds[0]
     for feed in feeds[1:]:
         merged = merged.unionByName(feed)
-    newest = latest_entries(merged).orderBy(
-        F.desc("published_at"), F.desc("updated_at"), F.desc("arxiv_id")
-    ).limit(NEWEST_LIMIT)
-    return in_categories(newest, categories, include_cross_list)
+    latest = latest_entries(merged)
+    wanted = latest if limit_first else in_categories(latest, categories, include_cross_list)
+    if limit is not None:
+        wanted = wanted.orderBy(F.desc("published_at"), F.desc("updated_at"), F.desc("arxiv_id")).limit(limit)
+    return in_categories(wanted, categories, include_cross_list)
 
 
 @register("preprints")

@@ -7,7 +7,7 @@ import tarfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lectern.functions.text import clean_latex
 from lectern.operators.retrieval_pick import bm25_pick, bm25_scores
@@ -18,35 +18,43 @@ DEMO_NAMES = ("example", "sample", "template")
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str, max_bytes: int) -> DataFrame:
-    """Files with their content; oversized ones are dropped before their content is read."""
+    """Every file with a ``status``: read, or too_large without its content, which is then not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.where(F.col("length") <= max_bytes)
+    small = files.where(F.col("length") <= max_bytes).withColumn("status", F.lit("read"))
+    large = files.where(F.col("length") > max_bytes).drop("content").select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("status")
+    )
+    return small.unionByName(large)
 
 
 def checked_pdfs(files: DataFrame) -> DataFrame:
-    """Add the content address and whether the bytes start like a PDF."""
+    """Add the content address and whether the bytes start like a PDF; files that were not read keep their row."""
     return files.select(
-        "path", "length", "content",
+        "path", "length", "content", "status",
         F.sha2("content", 256).alias("sha256"),
         (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"),
     )
 
 
 def pdf_pages(files: DataFrame, inspect: Callable[[bytes], list[dict]]) -> DataFrame:
-    """Page rows from a PDF library of the caller's choice; a file it rejects gives no pages."""
+    """Page rows from a PDF library of the caller's choice.
+
+    A file without content or that the library rejects gives one row whose ``failure``
+    says why and whose page columns are null.
+    """
+    schema = T.StructType([*PAGE_ROW.fields, T.StructField("failure", T.StringType())])
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows = inspect(bytes(content))
-                except ValueError:
-                    rows = []
-                yield pd.DataFrame(
-                    [{"path": path, **row} for row in rows], columns=[f.name for f in PAGE_ROW]
-                )
+                    rows = [{"failure": "not_read"}] if content is None else inspect(bytes(content))
+                except ValueError as error:
+                    rows = [{"failure": str(error) or "corrupt"}]
+                frame = pd.DataFrame([{"path": path, **row} for row in rows], columns=schema.fieldNames())
+                yield frame.astype(object).where(frame.notna(), None)
 
-    return files.select("path", "content").mapInPandas(pages, PAGE_ROW)
+    return files.select("path", "content").mapInPandas(pages, schema)
 
 
 def per_file(files: DataFrame, read: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
@@ -69,18 +77,18 @@ def archive_members(files: DataFrame) -> DataFrame:
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = []
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(bytes(content))) as archive:
-                        for place, member in enumerate(archive):
-                            if member.isfile() and member.name.endswith((".tex", ".bbl")):
-                                text = archive.extractfile(member).read().decode("utf-8", errors="ignore")
-                                rows.append((path, place, member.name, text))
+                    archive = tarfile.open(fileobj=io.BytesIO(bytes(content)))
                 except tarfile.ReadError:
-                    rows = []
-                yield pd.DataFrame(rows, columns=["path", "place", "name", "content"])
-
-    return files.select("path", "content").mapInPandas(
+                    continue
+                # One member at a time, however large the archive is when unpacked.
+                with archive:
+                    for place, member in enumerate(archive):
+                        if member.isfile() and member.name.endswith((".tex", ".bbl")):
+                            text = archive.extractfile(member).read().decode("utf-8", errors="ignore")
+                            yield pd.DataFrame([(path, place, member.name, text)], columns=["path", "place", "name", "content"])
+
+    return files.where("content IS NOT NULL").select("path", "content").mapInPandas(
         members, "path string, place long, name string, content string"
     )
 

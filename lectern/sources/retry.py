@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -35,16 +36,16 @@ def requested_wait(header: str | None, now: datetime, limit: float) -> float | N
             seconds = (parsedate_to_datetime(header) - now).total_seconds()
         except (TypeError, ValueError):
             return None
-    return min(max(seconds, 0.0), limit)
+    return min(max(seconds, 0.0), limit) if math.isfinite(seconds) else None
 
 
-def backoff(attempt: int, base: float, limit: float) -> float:
-    return min(base * 2 ** (attempt - 1), limit)
+def backoff(attempt: int, base: float, limit: float, linear: bool = False) -> float:
+    return min(base * attempt if linear else base * 2 ** (attempt - 1), limit)
 
 
 def with_retries(
     call: Callable[[], T], attempts: int = 3, base: float = 1.0, limit: float = 30.0,
-    sleep: Callable[[float], None] = time.sleep,
+    sleep: Callable[[float], None] = time.sleep, linear: bool = False,
 ) -> T:
     for attempt in range(1, attempts + 1):
         try:
@@ -53,5 +54,5 @@ def with_retries(
             if attempt == attempts or not is_transient(error):
                 raise
             asked = requested_wait(getattr(error, "retry_after", None), datetime.now(timezone.utc), limit)
-            sleep(backoff(attempt, base, limit) if asked is None else asked)
+            sleep(backoff(attempt, base, limit, linear) if asked is None else asked)
     raise ValueError("attempts must be positive")

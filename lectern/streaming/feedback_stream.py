@@ -8,6 +8,9 @@ map side before anything is shuffled.
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -101,28 +104,53 @@ def current_state(
     return full.join(newest.select("paper_id"), "paper_id", "left_anti").unionByName(newest)
 
 
+def newest_version(spark: SparkSession, folder: str) -> int:
+    """The newest version written to a folder, -1 if it holds none."""
+    newest = -1
+    for kind in ("full", "changes"):
+        try:
+            found = spark.read.option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}").agg(F.max("version")).first()[0]
+        except AnalysisException:
+            found = None
+        newest = max(newest, -1 if found is None else int(found))
+    return newest
+
+
+def _first_version(spark: SparkSession, folder: str, checkpoint: str) -> int:
+    """The version of a checkpoint's batch 0: the next one in the folder when the checkpoint is first used."""
+    note = f"{folder}/streams/{hashlib.sha256(checkpoint.encode()).hexdigest()[:32]}"
+    try:
+        return spark.read.schema("first long").parquet(note).first()[0]
+    except AnalysisException:
+        first = newest_version(spark, folder) + 1
+        spark.range(first, first + 1).select(F.col("id").alias("first")).write.parquet(note)
+        return first
+
+
 def start(
     commands: DataFrame, folder: str, checkpoint: str, available_now: bool = True, compact_every: int = COMPACT_EVERY
 ) -> StreamingQuery:
     """Import a command stream, writing only the papers a batch touches and now and then a full snapshot.
 
-    What a batch writes depends on its number alone, so a repeated batch replaces
-    its own output and nothing else.
+    Versions go on from the newest in the folder, whatever checkpoint wrote it.  Which
+    version a batch writes depends on its checkpoint and number alone, so a repeated batch
+    replaces its own output and nothing else.
     """
+    offset = _first_version(commands.sparkSession, folder, checkpoint)
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            previous = empty_state(batch)
-        else:
-            previous = current_state(spark, folder, batch_id - 1, compact_every)
+        spark, version = batch.sparkSession, offset + batch_id
+        # A batch is read for its papers, its fresh commands and the merge.
+        batch = batch.persist()
+        previous = current_state(spark, folder, version - 1, compact_every) if version else empty_state(batch)
         touched = batch.select("paper_id").distinct()
         merged = merge(previous.join(touched, "paper_id", "left_semi"), batch)
-        if batch_id % compact_every:
-            merged.write.mode("overwrite").parquet(_version(folder, "changes", batch_id))
+        if version % compact_every:
+            merged.write.mode("overwrite").parquet(_version(folder, "changes", version))
         else:
             untouched = previous.join(touched, "paper_id", "left_anti")
-            untouched.unionByName(merged).write.mode("overwrite").parquet(_version(folder, "full", batch_id))
+            untouched.unionByName(merged).write.mode("overwrite").parquet(_version(folder, "full", version))
+        batch.unpersist()
 
     writer = commands.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -129,6 +129,19 @@ def test_run_writes_every_stage(spark, tables, tmp_path):
     decisions = {r.paper_id[-1]: r.decision for r in spark.read.parquet(str(tmp_path / "out/decisions")).collect()}
     assert decisions == {"1": "full", "2": "excluded"}
 
+    def all_valid(packets):
+        return answer(packets).withColumn("answer", F.replace("answer", F.lit("nowhere"), F.lit("x"))).join(
+            packets.groupBy(F.col("doc_id").alias("paper_id")).agg(F.first("evidence_id").alias("e")), "paper_id"
+        ).select("paper_id", F.replace("answer", F.lit('"x"'), F.concat(F.lit('"'), "e", F.lit('"'))).alias("answer"))
+
+    row = daily.run(inputs, _embed(tables), all_valid, SETTINGS, str(tmp_path / "out")).first()
+    # One chosen paper has no document, which makes the run partial and nothing more.
+    assert (row.run_status, row.failure) == ("partial", None)
+    # The rerun replaced the issues of the first run by none.
+    assert spark.read.parquet(f"{tmp_path}/out/issues/run_id={SETTINGS.run_id}").count() == 0
+    row = daily.run({**inputs, "entries": _entries(tables).limit(0)}, _embed(tables), answer, SETTINGS, str(tmp_path / "out")).first()
+    assert (row.run_status, row.failure, row.output_count) == ("empty", None, 0)
+
     def broken(packets):
         raise RuntimeError("model is down")
 

@@ -97,7 +97,9 @@ def test_two_columns_equal_the_pairwise_check(spark):
         boxes = []
         for _ in range(rng.randrange(1, 7)):
             left, top = rng.randrange(0, 500), rng.randrange(0, 700)
-            boxes.append((float(left), float(top), float(left + rng.randrange(20, 400)), float(top + rng.randrange(1, 60))))
+            if page % 2:  # boxes as parsers give them, with fractions of a unit
+                left, top = left + rng.random(), top + rng.random()
+            boxes.append((float(left), float(top), float(left + rng.randrange(20, 400)), top + rng.choice([0.3, 0.6, 1.0, 7.5, 30.0, 60.0])))
         rows += [(page // 4, page % 4 + 1, 600.0, box) for box in boxes]
         if _two_columns(boxes, 600.0):
             expected.add((page // 4, page % 4 + 1))
@@ -106,6 +108,28 @@ def test_two_columns_equal_the_pairwise_check(spark):
     assert got == expected and 0 < len(expected) < 120
 
 
+def test_narrow_overlaps_make_two_columns(spark):
+    rows = [
+        (1, 1, 600.0, (50.0, 100.2, 250.0, 100.8)), (1, 1, 600.0, (300.0, 100.2, 500.0, 100.8)),
+        (2, 1, 600.0, (50.0, 100.0, 250.0, 110.95)), (2, 1, 600.0, (300.0, 110.05, 500.0, 120.0)),
+        (3, 1, 600.0, (50.0, 100.0, 250.0, 110.0)), (3, 1, 600.0, (300.0, 110.0, 500.0, 120.0)),
+        (4, 1, 9e6, (50.0, 5e6, 250.0, 5e6 + 1)), (4, 1, 9e6, (1e6, 5e6, 1.1e6, 5e6 + 1)),
+    ]
+    got = outline.two_column_pages(spark.createDataFrame(rows, BOX)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 4]
+
+
+def test_headings_off_the_page_open_nothing_and_levels_have_no_maximum(spark):
+    items = spark.createDataFrame(
+        [(1, 0, "Real", "section_header", 1, 10.0), (1, 1, "Ghost", "section_header", 1, 990.0), (1, 2, "Text", "text", None, 30.0),
+         (1, 3, "Deep", "section_header", 12, 40.0), (1, 4, "More", "text", None, 50.0)],
+        "doc_id long, pos long, text string, label string, level int, raw_top double",
+    ).selectExpr("*", "bigint(1) AS pdf_page", "raw_top + 5 AS raw_bottom", "double(5) AS raw_left", "double(90) AS raw_right", "'top_left' AS origin")
+    pages = spark.createDataFrame([(1, 1, 100.0, 200.0)], "doc_id long, pdf_page long, width double, height double")
+    rows = outline.outline(outline.place_boxes(items, pages)).orderBy("pos").collect()
+    assert [r.section_path for r in rows] == [["Real"], ["Real"], ["Real"], ["Real", "Deep"], ["Real", "Deep"]]
+
+
 def test_boxes_are_flipped_and_checked(spark):
     items = spark.createDataFrame(
         [(1, 0, "text", 1, 10.0, 90.0, 20.0, 80.0, "bottom_left"), (1, 1, "text", 1, 10.0, 5.0, 20.0, 15.0, "top_left"),

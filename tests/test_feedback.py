@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import feedback
@@ -167,8 +168,43 @@ def test_each_delivery_is_sent_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).json(source)
         delivery.start(stream, "key", ["at"], ledger, log, send).awaitTermination()
     assert sorted(sent) == ["a", "b", "c"]
-    claimed = spark.read.parquet(ledger)
-    assert claimed.count() == 3 and claimed.select(F.countDistinct("key")).first()[0] == 3
+    for state in (delivery.CLAIMED, delivery.CONFIRMED):
+        rows = spark.read.parquet(f"{ledger}/{state}")
+        assert rows.count() == 3 and rows.select(F.countDistinct("key")).first()[0] == 3
+
+
+def test_a_failed_send_is_repeated_under_its_key(spark, tmp_path):
+    sent, source, ledger, log = [], *(str(tmp_path / n) for n in ("in", "ledger", "log"))
+    schema = "key string, at long"
+    spark.createDataFrame([("a", 1), ("b", 1)], schema).coalesce(1).write.json(source)
+
+    def failing(df):
+        sent.append({r.key: r.idempotency_key for r in df.collect()})
+        raise RuntimeError("no answer")
+
+    def working(df):
+        sent.append({r.key: r.idempotency_key for r in df.collect()})
+
+    with pytest.raises(Exception, match="no answer"):
+        delivery.start(spark.readStream.schema(schema).json(source), "key", ["at"], ledger, log, failing).awaitTermination()
+    delivery.start(spark.readStream.schema(schema).json(source), "key", ["at"], ledger, log, working).awaitTermination()
+    assert len(sent) == 2 and sent[0] == sent[1] and set(sent[0]) == {"a", "b"}
+    assert spark.read.parquet(f"{ledger}/{delivery.CLAIMED}").count() == 2
+    delivery.start(spark.readStream.schema(schema).json(source), "key", ["at"], ledger, log + "2", working).awaitTermination()
+    assert sent[2:] in ([], [{}])
+
+
+def test_a_new_checkpoint_goes_on_from_the_state(spark, tmp_path):
+    rows = sorted(_log(80), key=_key)
+    model, folder = Model(), str(tmp_path / "state")
+    for number, bundle in enumerate((rows[:40], rows[40:])):
+        model.load(bundle)
+        source = str(tmp_path / f"in{number}")
+        spark.createDataFrame(bundle, SCHEMA).coalesce(1).write.json(source)
+        stream = spark.readStream.schema(SCHEMA).json(source)
+        feedback_stream.start(stream, folder, str(tmp_path / f"log{number}"), compact_every=3).awaitTermination()
+    newest = feedback_stream.newest_version(spark, folder)
+    assert newest == 1 and _flags(feedback_stream.current_state(spark, folder, newest, compact_every=3)) == model.flags()
 
 
 def test_exactly_once_by_id(spark, tmp_path):

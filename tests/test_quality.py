@@ -19,7 +19,7 @@ def test_ranking_quality_refuses_short_and_gapped_input(spark):
     with pytest.raises(Exception, match="fifteen"):
         quality.ranking_quality(_rankings(spark, {1}, 14), ["run"]).collect()
     gapped = _rankings(spark, {1}).where("rank <> 7")
-    with pytest.raises(Exception, match="consecutive"):
+    with pytest.raises(Exception, match="every rank"):
         quality.ranking_quality(gapped, ["run"]).collect()
     with pytest.raises(Exception, match="denominator"):
         quality.ranking_quality(_rankings(spark, set()), ["run"]).collect()
@@ -114,6 +114,20 @@ def test_cache_computes_each_missing_key_once(spark):
     got = {r.id: (r.value, r.cache_hit) for r in results.collect()}
     assert got == {0: (7, True), 1: (9, False), 2: (9, False), 3: (9, False), 4: (9, False)}
     assert entries.count() == 2
+    twice = cache.unionByName(cache)
+    assert caching.with_cache(inputs, twice, "key", lambda m: m.withColumn("value", F.lit(9)), "value")[0].count() == 5
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(missing):
+        def work(batches):
+            for batch in batches:
+                calls.add(len(batch))
+                yield batch[["key"]].assign(value=9)
+
+        return missing.mapInPandas(work, "key string, value int")
+
+    results, entries = caching.with_cache(inputs, cache, "key", counted, "value")
+    assert (results.count(), entries.count(), calls.value) == (5, 2, 2)
     other = inputs.withColumn("key", caching.cache_key(F.col("text"), "m2"))
     assert other.join(cache, "key").count() == 0
 

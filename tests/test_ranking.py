@@ -84,9 +84,9 @@ def test_bonus_is_clamped_twice(spark):
 def test_zero_vectors_and_empty_corpus_fail(spark):
     _, _, i, c = _frames(spark)
     zero = spark.createDataFrame([("z", [0.0] * 5)], "paper_id string, embedding array<double>")
-    with pytest.raises(Exception, match="zero-length"):
+    with pytest.raises(Exception, match="no finite length"):
         ranking.recency_scores(zero, i, "added_at", "paper_id", "embedding").collect()
-    with pytest.raises(Exception, match="corpus must not be empty"):
+    with pytest.raises(Exception, match="no interest"):
         ranking.recency_scores(c, i.limit(0), "added_at", "paper_id", "embedding").collect()
 
 

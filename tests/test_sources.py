@@ -36,7 +36,7 @@ def test_atom_entries(spark, tmp_path):
     assert rejected.count() == 2
     assert {r.title for r in feeds.latest_entries(entries).collect()} == {"A title here", "T"}
     assert feeds.announced(entries, False).count() == 2 and feeds.announced(entries, True).count() == 3
-    merged = feeds.category_feeds([entries, entries], ["cs.LG"], False).collect()
+    merged = feeds.category_feeds([entries, entries], ["cs.LG"], False, None).collect()
     assert [r.arxiv_id for r in merged] == ["2401.00001"]
 
 
@@ -112,7 +112,9 @@ def test_pdf_checks_and_pages(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"<html>")
     (tmp_path / "c.pdf").write_bytes(b"%PDF-" + b"x" * 1000)
     found = files.checked_pdfs(files.read_files(spark, str(tmp_path), "*.pdf", 500))
-    assert {r.path[-5:]: r.is_pdf for r in found.collect()} == {"a.pdf": True, "b.pdf": False}
+    assert {r.path[-5:]: (r.is_pdf, r.status) for r in found.collect()} == {
+        "a.pdf": (True, "read"), "b.pdf": (False, "read"), "c.pdf": (None, "too_large")
+    }
 
     def inspect(content):
         if not content.startswith(b"%PDF-"):
@@ -120,7 +122,9 @@ def test_pdf_checks_and_pages(spark, tmp_path):
         return [{"pdf_page": 1, "width": 1.0, "height": 2.0, "text_chars": len(content), "image_count": 0}]
 
     pages = files.pdf_pages(found, inspect).collect()
-    assert [(r.path[-5:], r.text_chars) for r in pages] == [("a.pdf", 11)]
+    assert sorted((r.path[-5:], r.text_chars, r.failure) for r in pages) == [
+        ("a.pdf", 11, None), ("b.pdf", None, "not a PDF"), ("c.pdf", None, "not_read")
+    ]
 
 
 def test_batches_replace_only_their_run(spark, tmp_path):
@@ -129,6 +133,8 @@ def test_batches_replace_only_their_run(spark, tmp_path):
     sinks.write_batch(spark.range(4), path, "r2")
     sinks.write_batch(spark.range(1), path, "r1")
     assert sinks.read_batch(spark, path, "r1").count() == 1 and sinks.read_batch(spark, path, "r2").count() == 4
+    sinks.write_batch(spark.range(0), path, "r2")
+    assert sinks.read_batch(spark, path, "r2").columns == ["id", "run_id"] and sinks.read_batch(spark, path, "r2").count() == 0
     metrics = str(tmp_path / "metrics")
     sinks.write_metrics(spark.range(1), metrics, "r1", "h1")
     sinks.write_metrics(spark.range(2), metrics, "r1", "h1")
@@ -168,4 +174,6 @@ def test_retries():
         retry.with_retries(lambda: (_ for _ in ()).throw(retry.HttpFailure(404)), sleep=waits.append)
     now = datetime(2024, 1, 1, tzinfo=timezone.utc)
     assert retry.requested_wait("Mon, 01 Jan 2024 00:00:20 GMT", now, 15.0) == 15.0
+    assert retry.requested_wait("nan", now, 15.0) is None and retry.requested_wait("inf", now, 15.0) is None
+    assert retry.backoff(3, 2.0, 30.0) == 8.0 and retry.backoff(3, 2.0, 30.0, linear=True) == 6.0
     assert retry.requested_wait("soon", now, 15.0) is None and retry.requested_wait("-3", now, 15.0) == 0.0
