@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,6 +23,16 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps.
+
+    It removes them when the driver's objects for them are collected, and a driver with
+    little to do may not collect for long while executors keep the files.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of ``rows`` with one row of ``groups`` per ``key``, safe for huge groups.
 

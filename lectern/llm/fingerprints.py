@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.llm.common import shared_path, whole_text
+from lectern.llm.common import release, shared_path, whole_text
 from lectern.operators.scan import Running, ordered_scan
 from lectern.session import materialize
 
@@ -151,47 +151,59 @@ def likeness(own: Column, other: Column, differing: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each row with its number of characters, its edited text and the digests of the next document."""
+    """Each distinct (doc_id, text) as ``row``, with its edited text and the digests of the next document."""
     keyed = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id_key"),
         F.unhex(F.sha2(whole_text(), 256)).alias("sha"),
         whole_text().alias("text"),
     )
-    narrow = keyed.groupBy("id_key", "sha").agg(F.first("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n_chars"))
+    narrow = keyed.groupBy("id_key", "sha").agg(F.max(F.length("text")).alias("n_chars"), F.count("*").alias("copies"))
     ranked = materialize(
         ordered_scan(
-            narrow,
+            narrow.withColumn("doc_id", F.col("id_key").try_cast("bigint")),
             [],
             [F.col("doc_id").desc_nulls_last(), F.col("sha").desc()],
-            {"seq": Running("sum", F.lit(1).cast("bigint"), before=True)},
+            {"row": Running("sum", F.lit(1).cast("bigint"), before=True)},
         )
     )
     last = F.lit(ranked.count() - 1)
-    follows = F.when(F.col("seq") == last, F.lit(0)).otherwise(F.col("seq") + 1)
+    follows = F.when(F.col("row") == last, F.lit(0)).otherwise(F.col("row") + 1)
     before = ranked.select(
-        follows.alias("seq"), F.col("id_key").alias("to_id"), F.col("sha").alias("to_sha"), F.floor(F.col("n_chars") / 3).alias("wanted")
+        follows.alias("row"), F.col("id_key").alias("to_id"), F.col("sha").alias("to_sha"), F.floor(F.col("n_chars") / 3).alias("wanted")
     )
-    places = ranked.join(before, "seq").select("id_key", "sha", "to_id", "to_sha", "wanted")
-    # Both sides below read this one shuffle of the texts.
-    matched = keyed.join(places, ["id_key", "sha"])
-    sent = (
-        matched.select(
-            F.col("to_id").alias("id_key"),
-            F.col("to_sha").alias("sha"),
-            F.substring(F.col("text"), F.lit(1), F.col("wanted").cast("int")).alias("lent"),
-            digests(F.col("text")).alias("next_keys"),
-        )
-        .groupBy("id_key", "sha")
-        .agg(F.first("lent").alias("lent"), F.first("next_keys").alias("next_keys"))
+    places = materialize(ranked.join(before, "row"))
+    # Both sides below read this one shuffle of the texts; repeated rows end in it.
+    texts = keyed.groupBy("id_key", "sha").agg(F.first("text").alias("text")).join(places, ["id_key", "sha"])
+    sent = texts.select(
+        F.col("to_id").alias("id_key"),
+        F.col("to_sha").alias("sha"),
+        F.substring(F.col("text"), F.lit(1), F.col("wanted").cast("int")).alias("lent"),
+        digests(F.col("text")).alias("next_keys"),
     )
     n_chars = F.length("text").cast("long")
     kept = F.substring(F.col("text"), F.lit(1), (n_chars - F.floor(n_chars / 3)).cast("int"))
-    return matched.join(sent, ["id_key", "sha"]).select(
-        "doc_id", "text", n_chars.alias("n_chars"), F.concat(kept, "lent").alias("edited"), "next_keys"
+    return texts.join(sent, ["id_key", "sha"]).select(
+        "row", "doc_id", "copies", "text", n_chars.alias("n_chars"), F.concat(kept, "lent").alias("edited"), "next_keys"
     )
 
 
+def _bucketed(docs: DataFrame) -> DataFrame:
+    """Digests of each row and its edit as a table bucketed by row."""
+    spark = docs.sparkSession
+    rows = with_next(docs).select(
+        "row", "doc_id", "copies", "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        digests(F.col("text")).alias("keys"),
+        digests(F.col("edited")).alias("edited_keys"),
+        "next_keys",
+    )
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, "digests")
+    name = "compared_" + path.rsplit("-", 1)[-1]
+    rows.repartition(buckets, "row").write.format("parquet").bucketBy(buckets, "row").sortBy("row").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint every text of ``docs`` and its edited text, and compare.
 
@@ -204,29 +216,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next, n_digests, edited_differs (digests in one of the text and its edit only).
     """
-    spark = docs.sparkSession
-    rows = with_next(docs).select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id", "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("keys"),
-        digests(F.col("edited")).alias("edited_keys"),
-        "next_keys",
-    )
     # Bucketed by row: everything below groups and joins by row without moving the digests.
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = shared_path(spark, "digests")
-    name = "compared_" + path.rsplit("-", 1)[-1]
-    materialize(rows).repartition(buckets, "row").write.format("parquet").bucketBy(buckets, "row").sortBy("row").option("path", path).saveAsTable(name)
-    compared = spark.table(name)
+    compared = _bucketed(docs)
+    release(docs.sparkSession)
     sized = compared.select(
-        "row", "doc_id", "n_chars", "edited_sha256",
+        "row", "doc_id", "copies", "n_chars", "edited_sha256",
         F.size("keys").alias("own"), F.size("edited_keys").alias("edited"), F.size("next_keys").alias("next"),
     )
     joined = sized.join(printed(compared), "row", "left").join(differences(compared), "row", "left")
     text = lambda size, cells: F.concat(F.col(size).cast("string"), F.lit(":"), F.coalesce(cells, F.lit("")))
     to_edited, to_next = F.coalesce("to_edited", F.lit(0)), F.coalesce("to_next", F.lit(0))
-    return joined.select(
+    each = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))
+    return joined.withColumn("_copy", each).select(
         "doc_id", "n_chars", "edited_sha256",
         text("own", "cells").alias("fingerprint"),
         text("edited", "edited_cells").alias("edited_fingerprint"),
