@@ -48,6 +48,16 @@ def distinct_by_id(df: DataFrame, key: str) -> DataFrame:
     ).select(key, "_row.*", "conflict", "copies")
 
 
+def retrieval_counts(entries: DataFrame, keys: Sequence[str], invalid: Column) -> DataFrame:
+    """One row: rows retrieved, distinct keys among them, and invalid rows."""
+    per_key = entries.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(invalid).alias("bad"))
+    return per_key.agg(
+        F.sum("n").alias("retrieved_count"),
+        F.count("*").alias("deduplicated_count"),
+        F.sum("bad").alias("invalid_count"),
+    )
+
+
 def canonical(values: Column) -> Column:
     return F.array_sort(F.array_distinct(values))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as t
 from lectern.operators import constraints, dedup, feedback, hierarchy
 from lectern.plans import bindings as b
+from lectern.sources import feeds
 
 VERSION_ORDER = ["l_quantity", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 _LATEST_SQL = """
@@ -35,28 +36,25 @@ def newest_feed_entries(spark, folder):
 
 
 def retrieval_counts(spark, folder):
-    entries = b.table(spark, folder, "lineitem")
-    per_key = entries.groupBy("l_orderkey", "l_linenumber").agg(
-        F.count("*").alias("n"), F.count_if(F.col("l_quantity") < 2).alias("bad")
-    )
-    return per_key.agg(
-        F.sum("n").alias("retrieved_count"),
-        F.count("*").alias("deduplicated_count"),
-        F.sum("bad").alias("invalid_count"),
+    return dedup.retrieval_counts(
+        b.table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_quantity") < 2
     )
 
 
 def category_filter(spark, folder):
     """Orders as entries: the primary category must be allowed unless cross-lists are included."""
-    orders = b.table(spark, folder, "orders")
-    cross_list = F.col("o_orderkey") % 2 == 0
-    kept = orders.where(cross_list | F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    entries = b.table(spark, folder, "orders").withColumn("primary_category", F.col("o_orderpriority"))
+    wanted = ["1-URGENT", "2-HIGH"]
+    cross_list = feeds.in_categories(entries.where("o_orderkey % 2 = 0"), wanted, True)
+    kept = cross_list.unionByName(feeds.in_categories(entries.where("o_orderkey % 2 <> 0"), wanted, False))
     return kept.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
 def announced_entries(spark, folder):
-    events = b.table(spark, folder, "events")
-    kept = events.where(F.col("event_type").isin("view", "click"))
+    """Views as new entries, clicks as cross-listed ones."""
+    kind = F.when(F.col("event_type") == "view", "new").when(F.col("event_type") == "click", "cross").otherwise("replace")
+    entries = b.table(spark, folder, "events").withColumn("announce_type", kind)
+    kept = feeds.announced(entries, include_cross_list=True)
     return kept.select("event_id", "event_type", F.col("user_id"))
 
 
