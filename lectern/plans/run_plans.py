@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lectern.functions.fixedpoint import int_div
+from lectern import sinks
 from lectern.operators import caching, constraints, feedback, quality, scan
 from lectern.plans import bindings as b
 from lectern.session import shared_folder
@@ -82,6 +83,18 @@ def percentiles(spark, folder):
     return scan.nearest_rank_percentiles(lines, ["l_returnflag"], "l_extendedprice", [25, 50, 75, 95])
 
 
+def batch_rewrite(spark, folder):
+    """A run written twice holds the second batch only, and a run of no rows reads as no rows."""
+    orders = b.table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    path = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    sinks.write_batch(orders, path, "first")
+    sinks.write_batch(orders.where("o_orderstatus <> 'F'"), path, "first")
+    sinks.write_batch(orders, path, "second")
+    sinks.write_batch(orders.where("o_orderkey < 0"), path, "second")
+    kept = sinks.read_batch(spark, path, "first").unionByName(sinks.read_batch(spark, path, "second"))
+    return kept.groupBy("run_id", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
 def paired_comparison(spark, folder):
     """Each line is a pair: its price, and its price after the discount."""
     price = F.round(F.col("l_extendedprice") * 100).cast("bigint")
@@ -323,6 +336,10 @@ SELECT command_id, device_id FROM m WHERE prior > place""",
   percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS p50, percentile_disc(0.75) WITHIN GROUP (ORDER BY l_extendedprice) AS p75,
   percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice) AS p95 FROM lineitem GROUP BY 1""",
     ),
+    "batch_rewrite": (
+        batch_rewrite,
+        "SELECT 'first' AS run_id, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 2",
+    ),
     "paired_comparison": (
         paired_comparison,
         """WITH l AS (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, 100 - CAST(round(l_discount * 100) AS BIGINT) AS kept FROM lineitem),
