@@ -32,7 +32,7 @@ from lectern.llm.words import mixed
 from lectern.session import materialize
 
 #: UTF-8 bytes of a block of documents, and of text per shard of the name space.
-BLOCK_BYTES, SHARD_BYTES = 3 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 3 << 19, 8 << 20
 ROW = "block long, doc_ids binary, lengths binary, texts binary"
 NAMES = "block long, kind int, shard long, keys binary, values binary, flags binary"
 #: Kinds of names: representatives, whole runs, runs of a representative, windows.
@@ -89,8 +89,12 @@ def paired(names: np.ndarray, offset: int) -> np.ndarray:
     """Names of the strings that a name and the one ``offset`` further on cover together."""
     n = max(0, len(names) - offset)
     out = names[:n] * _A
-    out ^= names[offset : offset + n] * _B + _C
-    return mixed(out)
+    other = names[offset : offset + n] * _B
+    out += other
+    np.right_shift(out, np.uint64(29), out=other)
+    out ^= other
+    out *= _C
+    return out
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -153,8 +157,11 @@ class Repeats:
         run_start = np.flatnonzero(first)
         run = np.cumsum(first) - 1
         place = np.arange(len(at)) - run_start[run] if len(at) else np.empty(0, np.int64)
-        weights = mixed((2 * place + 1).astype(np.uint64) * _A) | np.uint64(1)
-        run_name = mixed(np.add.reduceat(name * weights, run_start)) if len(at) else name
+        if len(at):
+            weights = mixed(np.arange(1, place.max() + 2, dtype=np.uint64) * _A) | np.uint64(1)
+            run_name = mixed(np.add.reduceat(name * weights[place], run_start))
+        else:
+            run_name = name
         return Analysis(self, doc_ids[order], texts, starts, at, owner, name, run, seed[run_start], run_name, doc_ids[order][owner[run_start]])
 
 
