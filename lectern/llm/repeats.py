@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.common import shared_path, whole_text
+from lectern.llm.common import release, shared_path, whole_text
 from lectern.llm.words import mixed
 from lectern.session import materialize
 
@@ -81,6 +81,7 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
         .write.format("parquet").bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
     )
     table = spark.table(name)
+    release(spark)
     total = table.agg(F.sum(F.length("texts"))).first()[0]
     return table, 1 << max(0, (3 * (total or 0) // SHARD_BYTES).bit_length())
 
@@ -335,6 +336,7 @@ def repeated_units(docs: DataFrame, kind: Repeats, finish: Callable[[Analysis, n
 
         asked = table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(later, NAMES)
         replies = replies.unionByName(materialize(asked.groupBy("kind", "shard").applyInArrow(_answer, NAMES)))
+        release(docs.sparkSession)
 
     def end(own: pa.Table, known: pa.Table) -> pa.Table:
         found = kind.analyse(own.to_pylist())
