@@ -40,9 +40,9 @@ SEEDS, RUNS, OPEN, WINDOWS = range(4)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+def blocks(docs: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """Documents packed into compressed blocks, bucketed by block, and the number of shards."""
-    spark = docs.sparkSession
+    spark, most = docs.sparkSession, block_bytes or BLOCK_BYTES
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), whole_text().alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,7 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
                 ids.append(doc_id)
                 held.append(text.encode())
                 size += len(held[-1])
-                if size >= BLOCK_BYTES:
+                if size >= most:
                     close()
                     size = 0
             close()
