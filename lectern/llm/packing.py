@@ -28,7 +28,7 @@ END_ID = 1
 GROUP_PIECES = 20_000
 #: Words whose ids a worker remembers before it starts afresh.
 MEMO_WORDS = 700_000
-#: Marks that the tokenizer always separates from a word before them.
+#: Marks that are split off a word; after an ASCII letter or digit the tokenizer separates them too.
 TAIL = b".,;:!?%&*#$"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group_key long"
@@ -46,8 +46,10 @@ class WordEncoder:
     """Token ids of texts through a memo of words.
 
     The tokenizer drops white space before its merges, so no token crosses it, and the
-    ids of a text are those of its words one after another.  Marks after a word are
-    split off, and what is then only letters goes straight to the merges.
+    ids of a text are those of its words one after another.  Marks after an ASCII letter
+    or digit at the end of a word are split off, and what is then only letters goes
+    straight to the merges.  After anything else the tokenizer may join them: a run of
+    marks is one piece, and letters such as U+0130 end in a combining mark once normalised.
     """
 
     def __init__(self, path: str):
@@ -71,6 +73,8 @@ class WordEncoder:
 
     def _learn(self, word: bytes) -> bytes:
         core = word.rstrip(TAIL)
+        if not core[-1:].isalnum():
+            core = word
         known = self.memo.get(core)
         if known is None:
             known = self.memo[core] = self._ids(core)

@@ -18,6 +18,7 @@ TEXTS = [
     "<|endoftext|> in text",
     "word%%% " * 3000,
     "12 3.4.5 a@b.c +1 (2) 33",
+    "(word). word), said\". dogs'. x--. 1). foo\u2026! \"### \"!! ). \u0130. e\u0301, \u0958. \u00e9. x\u00b2. \u00bb.",
     "Plain words, with marks... and MORE of them!!",
 ]
 
