@@ -5,33 +5,47 @@ A source is cut into blocks of equal length in characters.  With weight ``w`` it
 earliest deadline among those released is placed in each slot, so that after every slot
 each source is less than one block away from its share.
 
-With integer weights of sum ``W`` this schedule repeats after ``W`` slots.  Only that one
-period is worked out ahead, from the weights alone; every document then finds its slot by
-arithmetic on its own block number, so nothing sequential is left for the data.
-When a source runs out, the rest goes on in a new phase with its own period.
+Weights are taken exactly, as ratios of whole numbers.  The driver goes through the slots
+once, keeps only the state of the sources, and writes the slot of every block in chunks;
+documents are joined with the slots of their blocks.  When a source runs out, the rest
+goes on in a new phase, and the deviation is counted from the start of the phase.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
+import itertools
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import whole_text
+from lectern.llm.common import shared_path, whole_text
 from lectern.operators.scan import Running, ordered_scan
 from lectern.session import materialize
 
 #: Characters of a source block.
 BLOCK_CHARS = 1 << 16
-#: The sum of integer weights, and so the largest number of sources.
-RESOLUTION = 1024
+#: Slots written at a time.
+CHUNK = 1 << 18
+LAST = (1 << 63) - 1
 
-PHASES = "array<struct<source_key:string, phases:array<struct<phase:long, first:long, offset:long, period:long, slots:array<long>>>>>"
+SLOTS = pa.schema([("source_key", pa.string()), *((n, pa.int64()) for n in ("block", "phase", "slot", "release", "deadline"))])
 
 
-def integer_weights(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
+def exact_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of ``weights``."""
+    if not all(0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive")
+    ratios = {s: Fraction(w) for s, w in weights.items()}
+    common = math.lcm(*(r.denominator for r in ratios.values()))
+    return {s: int(r * common) for s, r in ratios.items()}
+
+
+def integer_weights(weights: dict[str, float], resolution: int = 1024) -> dict[str, int]:
     """Whole parts of ``resolution`` in proportion to ``weights``, at least one each (largest remainder)."""
     if not weights:
         return {}
@@ -102,6 +116,68 @@ def phases(blocks: dict[str, int], parts: dict[str, int]) -> list[Phase]:
     return result
 
 
+def placements(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, slot, release, deadline) of every block, slot by slot.
+
+    Sources of which nothing was placed in a phase yet all have their first block
+    released, and among them the largest weight is due first.  So they wait in a chain
+    by weight, and a new phase costs nothing for sources that it does not reach.
+    """
+    names = sorted(blocks, key=lambda s: (-parts[s], s))
+    n, weight, last = len(names), [parts[s] for s in names], [blocks[s] for s in names]
+    after, before = [*range(1, n + 1), 0], [n, *range(n)]  # a ring: place n closes it and leads to its head
+    placed, begun, total, offset = [0] * n, [0] * n, sum(weight), 0
+    for phase in itertools.count():
+        fresh, t = after[n], 0
+        if fresh == n:
+            return
+        waiting: list[tuple[int, int]] = []  # by release
+        ready: list[tuple[int, int]] = []  # by deadline
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(placed[k] - begun[k] + 1) * total // weight[k]), k))
+            first = (-(-total // weight[fresh]), fresh) if fresh < n else None
+            if first and (not ready or first < ready[0]):
+                due, k = first
+                begun[k], fresh = placed[k], after[fresh]
+            else:
+                due, k = heapq.heappop(ready)
+            i = placed[k] - begun[k]
+            yield names[k], placed[k], phase, offset + t, offset + i * total // weight[k], min(offset + due, LAST)
+            placed[k] += 1
+            t += 1
+            if placed[k] == last[k]:
+                break
+            heapq.heappush(waiting, ((i + 1) * total // weight[k], k))
+        after[before[k]], before[after[k]] = after[k], before[k]
+        total -= weight[k]
+        offset += t
+
+
+def _periodic(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """What :func:`placements` gives, from periods of small whole weights; equal deadlines go by name."""
+    plan = phases(blocks, parts)
+    for p, following in zip(plan, [*plan[1:], None]):
+        for s, own in p.slots.items():
+            for b in range(p.first[s], following.first.get(s, blocks[s]) if following else blocks[s]):
+                i, n = b - p.first[s], len(own)
+                yield s, b, p.number, p.offset + p.slot(s, i), p.offset + i * p.length // n, p.offset - (-(i + 1) * p.length // n)
+
+
+def _written(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
+    """``rows`` of ``SLOTS`` as a table in the shared folder; the driver holds one chunk at a time."""
+    path = shared_path(spark, "slots")
+    chunk = list(itertools.islice(rows, CHUNK))
+    while True:
+        columns = list(zip(*chunk)) or [[]] * len(SLOTS)
+        table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SLOTS)], schema=SLOTS)
+        frame = spark.createDataFrame(table)
+        frame.write.mode("append").parquet(path)
+        if not (chunk := list(itertools.islice(rows, CHUNK))):
+            return spark.read.schema(frame.schema).parquet(path)
+
+
 def _source_key() -> Column:
     return F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
 
@@ -115,13 +191,14 @@ def schedule(
     weights: dict[str | None, float] | None = None,
     exponent: float = 0.5,
     block_chars: int = BLOCK_CHARS,
-    resolution: int = RESOLUTION,
+    resolution: int | None = None,
 ) -> DataFrame:
     """The place of every document in the mixture.
 
     Needs doc_id, text, source; other columns are ignored.  ``weights`` gives the target
     weight of each source, and a source without one is an error; by default the weight is
-    the source's characters to the power of ``exponent``, which lifts small sources.  A
+    the source's characters to the power of ``exponent``, which lifts small sources.
+    Weights are exact unless a ``resolution`` asks to round them to so many parts.  A
     null source is a source of its own.  Within a source the order is a hash of the id.
     A null text has no characters; a text longer than a block takes up the following
     slots too.  Rows that repeat source and id travel together as one row with their
@@ -148,7 +225,7 @@ def schedule(
         )
     )
     totals = placed.groupBy("source_key").agg(F.max("block").alias("last"), F.sum("chars").alias("chars"))
-    found = totals.limit(resolution + 1).collect()  # one row per source, never more than this
+    found = totals.collect()  # one row per source
     blocks = {r.source_key: r["last"] + 1 for r in found}
     if weights is None:
         wanted = {r.source_key: max(r.chars, 1) ** exponent for r in found}
@@ -157,31 +234,11 @@ def schedule(
         if missing := sorted(set(blocks) - set(given)):
             raise ValueError(f"no weight for the sources {missing}")
         wanted = {s: given[s] for s in blocks}
-    table = [
-        {
-            "source_key": s,
-            "phases": [
-                {"phase": p.number, "first": p.first[s], "offset": p.offset, "period": p.length, "slots": p.slots[s]}
-                for p in plan
-                if s in p.slots
-            ],
-        }
-        for plan in [phases(blocks, integer_weights(wanted, resolution))]
-        for s in blocks
-    ]
-    # At most `resolution` sources and as many phases and slots for each: bounded by a parameter.
-    periods = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), PHASES)))
-    joined = placed.join(F.broadcast(periods), "source_key").withColumn(
-        "p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("block")), -1)
-    )
-    i, parts, length, offset = F.col("i"), F.size("p.slots"), F.col("p.period"), F.col("p.offset")
-    slotted = joined.withColumn("i", F.col("block") - F.col("p.first")).select(
-        "source_key", "id_key", "doc_id", "source", "copies", "block", "mixed",
-        F.col("p.phase").alias("phase"),
-        (offset + length * F.floor(i / parts) + F.element_at("p.slots", (i % parts + 1).cast("int"))).alias("slot"),
-        (offset + F.floor(i * length / parts)).alias("release"),
-        (offset + F.ceil((i + 1) * length / parts)).alias("deadline"),
-    )
+    if resolution is None:
+        rows = placements(blocks, exact_weights(wanted))
+    else:
+        rows = _periodic(blocks, integer_weights(wanted, resolution))
+    slotted = placed.join(_written(spark, rows), ["source_key", "block"])
     ranked = ordered_scan(
         slotted,
         [],

@@ -115,3 +115,48 @@ def test_no_documents_and_missing_weight(spark):
 def test_main_path_is_native(spark):
     plan = mixing.schedule(docs(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def far_from_target(rows, weights):
+    """The largest deviation in blocks from the unrounded weights, counted from the start of each phase."""
+    exact, blocks = {s: Fraction(w) for s, w in weights.items()}, {}
+    for s, b, *_ in rows:
+        blocks[s] = max(blocks.get(s, 0), b + 1)
+    worst, done, phase, seen, t = Fraction(0), dict.fromkeys(blocks, 0), None, {}, 0
+    for s, b, p, *_ in rows:
+        if p != phase:
+            active = [x for x in blocks if done[x] < blocks[x]]
+            phase, seen, t, total = p, dict.fromkeys(active, 0), 0, sum(exact[x] for x in active)
+        assert b == done[s]
+        done[s], seen[s], t = b + 1, seen[s] + 1, t + 1
+        worst = max(worst, *(abs(n - exact[x] * t / total) for x, n in seen.items()))
+    return worst
+
+
+def test_deviation_from_unrounded_weights():
+    chars = {f"s{k:02}": 10_000_000 + 1_234_567 * k for k in range(19)} | {"third": 200_000_000}
+    weights = {s: n**0.5 for s, n in chars.items()}
+    blocks = {s: n // 65_536 for s, n in chars.items()}
+    rows = list(mixing.placements(blocks, mixing.exact_weights(weights)))
+    assert [r[3] for r in rows] == list(range(sum(blocks.values())))
+    assert all(release <= slot < deadline for *_, slot, release, deadline in rows)
+    assert far_from_target(rows, weights) < 1
+    assert far_from_target([r for r in rows if r[2] == 0][:600], weights) < 1
+
+
+def test_small_weights_are_not_lifted():
+    weights = {"a": 1.0, "b": 1e-5}
+    rows = list(mixing.placements({"a": 30_000, "b": 3}, mixing.exact_weights(weights)))
+    assert sum(s == "b" for s, *_ in rows[:29_000]) <= 1
+    with pytest.raises(ValueError):
+        mixing.exact_weights({"a": float("nan")})
+
+
+def test_more_sources_than_a_resolution(spark):
+    weights = {f"s{k}": 1.0 + k % 7 / 3 for k in range(1500)}
+    rows = list(mixing.placements({s: 1 + k % 2 for k, s in enumerate(weights)}, mixing.exact_weights(weights)))
+    assert len(rows) == 2250 and all(r[4] <= r[3] < r[5] for r in rows)
+    frame = docs(spark, [(k, "x" * (k % 25), f"s{k % 1100}", "", None) for k in range(2200)])
+    got = sorted(mixing.schedule(frame, block_chars=10).collect(), key=lambda r: r.position)
+    assert len(got) == 2200 and [r.slot for r in got] == sorted(r.slot for r in got)
+    assert all(r.release <= r.slot < r.deadline for r in got)
