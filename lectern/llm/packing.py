@@ -9,6 +9,8 @@ window for each rest, longest first.
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import struct
 import unicodedata
 import zlib
@@ -178,17 +180,33 @@ def pieces(docs: DataFrame, tokenizer_path: str, group: Column | None = None, wi
     return chosen.mapInArrow(cut, PIECES)
 
 
-def stored_order(docs: DataFrame, rows: int = 4096) -> Column | None:
-    """A group key for runs of ``rows`` consecutive rows of the files that ``docs`` reads, None if it reads none.
+def stored_runs(docs: DataFrame, rows: int = 4096) -> DataFrame | None:
+    """doc_id, text and the number of the ``run`` of ``rows`` consecutive rows of the files that ``docs`` reads.
 
-    Packed by these groups, sequences follow the order in which the rows were written.
+    Runs are numbered in the order of files and rows: files by their part number, then by
+    name.  Packed by these numbers, sequence ids grow in the order in which the rows were
+    written.  None if ``docs`` does not read files.
     """
     try:
-        docs.select("_metadata.file_name", "_metadata.row_index")
+        placed = docs.select(
+            "doc_id", "text", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")
+        )
     except AnalysisException:
         return None
-    run = F.xxhash64(F.col("_metadata.file_name"), F.floor(F.col("_metadata.row_index") / rows))
-    return F.pmod(run, F.lit((1 << 31) - 1))
+
+    def order(path: str) -> tuple[int, str, str]:
+        name = path.rsplit("/", 1)[-1]
+        part = re.match(r"part-(\d+)", name)
+        return int(part[1]) if part else -1, name, path
+
+    last = {r.path: r.last for r in placed.groupBy("path").agg(F.max("row").alias("last")).collect()}  # one row per file
+    paths = sorted(last, key=order)
+    firsts = [0, *itertools.accumulate(last[p] // rows + 1 for p in paths)]
+    files = docs.sparkSession.createDataFrame(
+        pa.table({"path": pa.array(paths, pa.string()), "first": pa.array(firsts[:-1], pa.int64())})
+    )
+    run = F.col("first") + F.floor(F.col("row") / rows)
+    return placed.join(F.broadcast(files), "path").select("doc_id", "text", run.alias("run"))
 
 
 def pack_pieces(cut: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -224,3 +242,11 @@ def pack_documents(
         groups = max(1, -(-cut.count() // GROUP_PIECES))
         cut = cut.withColumn("group_key", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     return pack_pieces(cut, window)
+
+
+def pack_stored(docs: DataFrame, tokenizer_path: str, rows: int = 4096) -> DataFrame:
+    """Pack the rows of written files, each run of ``rows`` on its own, with sequence ids in the order of the runs."""
+    runs = stored_runs(docs, rows)
+    if runs is None:
+        return pack_documents(docs, tokenizer_path)
+    return pack_documents(runs, tokenizer_path, group=F.col("run"))

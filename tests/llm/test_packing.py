@@ -89,3 +89,40 @@ def test_a_group_packs_on_its_own(spark):
     assert {r.sequence_id: {x.doc_id % 2 for x in rows if x.sequence_id == r.sequence_id} for r in rows} == {
         0: {0}, 1 << 32: {1}
     }
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    from lectern.llm import mixing
+
+    sizes = {"a": 600, "b": 300, "c": 100}
+    rows, at = [], 0
+    for source, n in sizes.items():
+        rows += [(at + i, f"{source} " * 30, source) for i in range(n)]
+        at += n
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = {r.doc_id: r for r in mixing.schedule(frame, {"a": 3, "b": 2, "c": 1}, block_chars=60).collect()}
+    positions = spark.createDataFrame([(d, r.position) for d, r in places.items()], "doc_id long, position long")
+    # Five files in the order of the mixture.
+    ordered = frame.join(positions, "doc_id").repartitionByRange(5, "position").sortWithinPartitions("position")
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    ordered.drop("position").write.parquet(str(tmp_path / "mixed"))
+    spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+    stored = spark.read.parquet(str(tmp_path / "mixed"))
+    assert len(list((tmp_path / "mixed").glob("part-*.parquet"))) == 5
+    got = packing.pack_stored(stored, PATH, rows=50).collect()
+    assert len(got) == len(rows)
+    runs = {}
+    for r in got:
+        runs.setdefault(r.sequence_id >> 32, []).append(places[r.doc_id].position)
+    assert sorted(runs) == list(range(len(runs))) and len(runs) >= 20
+    in_order = [p for run in sorted(runs) for p in sorted(runs[run])]
+    assert in_order == list(range(len(rows)))
+    # Over the first sequences the scheduled shares hold: 3, 2 and 1 sixths, to one block of two documents.
+    first = sorted((r.sequence_id for r in got if r.sequence_id >> 32 < 6))
+    seen = {s: 0 for s in sizes}
+    for r in got:
+        if r.sequence_id <= first[-1]:
+            seen[places[r.doc_id].source] += 1
+    total = sum(seen.values())
+    assert all(abs(seen[s] - total * w / 6) <= 4 for s, w in {"a": 3, "b": 2, "c": 1}.items())
