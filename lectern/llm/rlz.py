@@ -1,11 +1,10 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing against indexed blocks.
+"""Removal of repeated passages by looking up their windows in indexed blocks.
 
 Every block of documents is a reference.  Its index holds the names of its passages and is
-spread over shards by name, so a document is factored against all blocks at once.  Parsing
-is greedy from left to right: at the first window of words that an earlier document has,
-a factor begins; it grows by a word as long as the window that ends there is known as
-well, and ends with the last word of the last known window.  A factor is thus at least a
-window long and both its boundaries are checked against the index itself.
+spread over shards by name, so a document is looked up against all blocks at once.  A word
+goes if a window of ``FACTOR`` words around it stands in an earlier document.  There is no
+left-to-right Lempel-Ziv parse: what is returned as a factor is a run of covered words,
+which may join matches from several documents.
 """
 
 from __future__ import annotations
