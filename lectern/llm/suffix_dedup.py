@@ -1,11 +1,11 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by prefix doubling within blocks.
 
 Every byte position is named by the string that starts there.  Names of 1, 2, 4, 8, 16, 24,
-48 and 50 bytes each come from the pair of shorter names at two offsets; between lengths
-the positions whose string stands in one document only drop out, after Spark has sorted
-the names by shard.  Names are 64-bit hashes of name pairs rather than dense ranks, so that
-a position can be named without a table of all ranks, and only one representative of
-neighbouring positions (the least inner name of a window) takes part in the first sort.
+48 and 50 bytes each come from the pair of shorter names at two offsets, inside one block
+and without Spark.  Only names of 24 and 50 bytes are exchanged between blocks: of
+neighbouring positions the one with the least inner name of a window is looked up first,
+then what is still open.  Names are 64-bit hashes of name pairs rather than dense ranks, so
+that a position can be named without a table of all ranks.
 """
 
 from __future__ import annotations
