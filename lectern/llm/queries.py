@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, fingerprints, jaccard_join, mixing, mixing_lm, packing, pii, rlz, suffix_dedup, toxicity
+from lectern.llm import chat_queries, exact_dedup, fingerprints, jaccard_join, mixing, mixing_lm, packing, pii, rlz, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,5 @@ PLANS = {
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_mixing": (op10_mixing, None),
+    **chat_queries.PLANS,
 }
