@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chat_queries, divergence_queries, exact_dedup, fingerprints, jaccard_join, mixing, mixing_lm, packing, pii, rlz, suffix_dedup, toxicity
+from lectern.llm import chat_queries, divergence_queries, exact_dedup, fingerprints, jaccard_join, mixing, mixing_lm, packing, pii, rlz, search_queries, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,7 @@ PLANS = {
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_mixing": (op10_mixing, None),
+    **search_queries.PLANS,
     **divergence_queries.PLANS,
     **chat_queries.PLANS,
 }
