@@ -33,6 +33,8 @@ SCALE = 1_000_000_000
 BLOCK_TERMS, BLOCK_SOURCES = 4096, 512
 #: Counts a task gathers before it passes them on.
 HELD_COUNTS = 500_000
+#: Rows of a source after which its skyband is found, to go on with it alone.
+HELD_ROWS = 20_000
 #: Parts in which the skybands of a source are merged first.
 MERGE_PARTS = 16
 
@@ -154,27 +156,31 @@ def skyband(counts: np.ndarray, totals: np.ndarray, names: list[bytes], k: int)
 
 
 def _skybands(k: int):
-    """Keep the skyband of every (lang, source) over all batches of a task, in memory of the skybands' size."""
+    """Keep the skyband of every (lang, source); rows come sorted by them, and one source is held at a time."""
+
+    def thin(rows: pa.Table) -> pa.Table:
+        term = rows["term"].cast(pa.binary()).to_pylist()
+        return rows.take(pa.array(np.sort(skyband(rows["count"].to_numpy(), rows["total"].to_numpy(), term, k))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        names = None
+        held, key, limit = [], None, HELD_ROWS
         for batch in batches:
-            names = batch.schema
-            table = pa.Table.from_batches([batch])
-            merged = table if held is None else pa.concat_tables([held, table])
-            members: dict[tuple[str, str], list[int]] = defaultdict(list)
-            for i, key in enumerate(zip(merged["lang"].to_pylist(), merged["source"].to_pylist())):
-                members[key].append(i)
-            count, total = merged["count"].to_numpy(), merged["total"].to_numpy()
-            term = merged["term"].cast(pa.binary()).to_pylist()
-            stay: list[int] = []
-            for rows in members.values():
-                at = np.array(rows)
-                stay += at[skyband(count[at], total[at], [term[i] for i in rows], k)].tolist()
-            held = merged.take(pa.array(stay, pa.int64())).combine_chunks()
-        if held is not None:
-            yield from (b.cast(names) for b in held.to_batches())
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+            start = 0
+            for end in ends if keys else ():
+                if held and keys[start] != key:
+                    yield from thin(pa.Table.from_batches(held)).to_batches()
+                    held, limit = [], HELD_ROWS
+                key = keys[start]
+                held.append(batch.slice(start, end - start))
+                start = end
+                if sum(map(len, held)) > limit:
+                    held = thin(pa.Table.from_batches(held)).combine_chunks().to_batches()
+                    # Twice what is left, so that every row is compared a bounded number of times.
+                    limit = max(HELD_ROWS, 2 * sum(map(len, held)))
+        if held:
+            yield from thin(pa.Table.from_batches(held)).to_batches()
 
     return keep
 
@@ -184,9 +190,9 @@ def telling_terms(kept: DataFrame, groups: DataFrame, top: int = TOP_TERMS) -> D
     shape = "lang string, source string, term string, count long, total long"
     spread = kept.where("term IS NOT NULL").select("lang", "term", "total", F.explode("sources").alias("at"))
     rows = spread.select("lang", "at.source", "term", "at.count", "total").where("count > 0")
-    local = rows.mapInArrow(_skybands(top), shape)
+    local = rows.sortWithinPartitions("lang", "source").mapInArrow(_skybands(top), shape)
     dealt = local.repartition("lang", "source", F.pmod(F.xxhash64("term"), F.lit(MERGE_PARTS)))
-    merged = dealt.mapInArrow(_skybands(top), shape)
+    merged = dealt.sortWithinPartitions("lang", "source").mapInArrow(_skybands(top), shape)
     p = _probability(F.col("count"), F.col("n"), F.col("v"))
     q = _probability(F.col("total"), F.col("lang_n"), F.col("v"))
     valued = (
