@@ -28,7 +28,9 @@ from lectern.session import materialize
 
 #: Labelled documents the model is fitted on, at most; which ones is decided by a hash of the id.
 SAMPLE_ROWS = 8192
-#: Features the model may hold.
+#: Stretches with features that the chain is trained on, at most, chosen by a hash; the others count by length.
+SAMPLE_CHUNKS = 32_768
+#: Features the model may hold, those that go with the label most.
 MAX_FEATURES = 4096
 #: Lengths of the word beginnings that serve as features beside the whole word.
 BEGINNINGS = range(4, 9)
@@ -113,73 +115,84 @@ def document_features(marginals: list[float]) -> tuple[float, float, float]:
     return 1.0, max(marginals, default=0.0), math.log1p(sum(marginals))
 
 
-def _ratio(a: int, b: int, positives: int, negatives: int) -> float:
-    """Log-likelihood ratio of a feature's presence in toxic documents, signed by direction."""
-    share = positives / (positives + negatives)
-    expected_a, expected_b = (a + b) * share, (a + b) * (1 - share)
-    value = 2 * sum(o * math.log(o / e) for o, e in ((a, expected_a), (b, expected_b)) if o)
-    return value if a > expected_a else -value
+def _ratio(a: Column, b: Column, share: float) -> Column:
+    """Log-likelihood ratio of a feature's presence in toxic documents, 0 unless these hold more than their share."""
+    part = lambda n, of: F.when(n > 0, n * F.log(n / ((a + b) * of))).otherwise(0.0)
+    return F.when(a > (a + b) * share, 2 * (part(a, share) + part(b, 1 - share))).otherwise(0.0)
 
 
-def train_chain(
-    documents: list[tuple[int, int, list[tuple[int, list[int]]]]], n_features: int, rounds: int = 60, penalty: float = 1e-3
-) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum conditional likelihood by Adam over forward-backward gradients.
+@dataclass
+class Chunks:
+    """Stretches of at most ``CHUNK`` tokens, as arrays.
 
-    A document is (label, number of tokens, [(place, features)]).  Tokens with features in
-    documents of label 1 are the toxic ones.
+    Stretch ``i`` has ``length[i]`` tokens, counts ``weight[i]`` times and is of a toxic
+    document if ``toxic[i]``; entry ``j`` says that token ``place[j]`` of stretch ``of[j]``
+    (ascending) has the feature ``feature[j]``.
     """
-    chunks, cells, feats, truth_at = [], [], [], []
-    for label, length, active in documents:
-        base = len(chunks)
-        chunks += [min(CHUNK, length - s) for s in range(0, length, CHUNK)]
-        for place, ids in active:
-            cell = (base + place // CHUNK) * CHUNK + place % CHUNK
-            cells += [cell] * len(ids)
-            feats += ids
-            if label:
-                truth_at.append(cell)
-    n = len(chunks)
-    cells_, feats_ = np.array(cells, np.int64), np.array(feats, np.int64)
-    valid = np.arange(CHUNK)[None, :] < np.array(chunks)[:, None]
+
+    length: np.ndarray
+    weight: np.ndarray
+    toxic: np.ndarray
+    of: np.ndarray
+    place: np.ndarray
+    feature: np.ndarray
+
+    def blocks(self, size: int = 2048) -> Iterator[Chunks]:
+        for low in range(0, len(self.length), size):
+            start, end = np.searchsorted(self.of, [low, low + size])
+            part = slice(low, low + size)
+            yield Chunks(self.length[part], self.weight[part], self.toxic[part], self.of[start:end] - low, self.place[start:end], self.feature[start:end])
+
+
+def _expectations(block: Chunks, w: np.ndarray, bias: float, t: np.ndarray) -> np.ndarray:
+    """Observed less expected counts of features, toxic tokens and steps in a block."""
+    n, weight = len(block.length), block.weight.astype(float)
+    cells = block.of * CHUNK + block.place
     truth = np.zeros(n * CHUNK, bool)
-    truth[truth_at] = True
+    truth[cells[block.toxic[block.of]]] = True
     truth = truth.reshape(n, CHUNK)
-    total = valid.sum()
+    valid = np.arange(CHUNK)[None, :] < block.length[:, None]
     pair_valid = valid[:, 1:] & valid[:, :-1]
     y = truth.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][pair_valid], y[:, 1:][pair_valid]), 1)
+    steps = np.zeros((2, 2))
+    np.add.at(steps, (y[:, :-1][pair_valid], y[:, 1:][pair_valid]), np.broadcast_to(weight[:, None], pair_valid.shape)[pair_valid])
+    score = np.bincount(cells, weights=w[block.feature], minlength=n * CHUNK).reshape(n, CHUNK) + bias
+    local = np.where(valid, np.exp(np.clip(score, -50, 50)), 1.0)
+    alpha, beta = np.empty((CHUNK, n, 2)), np.empty((CHUNK, n, 2))
+    alpha[0] = np.stack([np.ones(n), local[:, 0]], 1)
+    alpha[0] /= alpha[0].sum(1, keepdims=True)
+    for i in range(1, CHUNK):
+        a = alpha[i - 1] @ t
+        a[:, 1] *= local[:, i]
+        alpha[i] = np.where(valid[:, i, None], a / a.sum(1, keepdims=True), alpha[i - 1])
+    beta[-1] = 1.0
+    for i in range(CHUNK - 2, -1, -1):
+        ahead = beta[i + 1].copy()
+        ahead[:, 1] *= local[:, i + 1]
+        back = ahead @ t.T
+        beta[i] = np.where(valid[:, i + 1, None], back / back.sum(1, keepdims=True), beta[i + 1])
+        joint = alpha[i][:, :, None] * t[None] * ahead[:, None, :]
+        joint *= (weight / joint.sum((1, 2)))[:, None, None]
+        steps -= joint[pair_valid[:, i]].sum(0)
+    p = alpha * beta
+    p = (p[:, :, 1] / p.sum(2)).T
+    residual = np.where(valid, truth - p, 0.0) * weight[:, None]
+    return np.concatenate(
+        [np.bincount(block.feature, weights=residual.reshape(-1)[cells], minlength=len(w)), [residual.sum()], steps.reshape(-1)]
+    )
+
+
+def train_chain(chunks: Chunks, n_features: int, rounds: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Maximum conditional likelihood by Adam over forward-backward gradients, summed block by block.
+
+    Tokens with features in toxic documents are the toxic ones.
+    """
+    total = float((chunks.length * chunks.weight).sum())
     parameters = np.concatenate([np.zeros(n_features), [-3.0], np.zeros(4)])
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     for r in range(1, rounds + 1):
         w, b, t = parameters[:n_features], parameters[n_features], np.exp(parameters[n_features + 1 :]).reshape(2, 2)
-        score = np.bincount(cells_, weights=w[feats_], minlength=n * CHUNK).reshape(n, CHUNK) + b
-        local = np.where(valid, np.exp(np.clip(score, -50, 50)), 1.0)
-        alpha = np.empty((CHUNK, n, 2))
-        beta = np.empty((CHUNK, n, 2))
-        alpha[0] = np.stack([np.ones(n), local[:, 0]], 1)
-        alpha[0] /= alpha[0].sum(1, keepdims=True)
-        for i in range(1, CHUNK):
-            a = alpha[i - 1] @ t
-            a[:, 1] *= local[:, i]
-            alpha[i] = np.where(valid[:, i, None], a / a.sum(1, keepdims=True), alpha[i - 1])
-        beta[-1] = 1.0
-        expected = np.zeros((2, 2))
-        for i in range(CHUNK - 2, -1, -1):
-            ahead = beta[i + 1].copy()
-            ahead[:, 1] *= local[:, i + 1]
-            back = ahead @ t.T
-            beta[i] = np.where(valid[:, i + 1, None], back / back.sum(1, keepdims=True), beta[i + 1])
-            joint = alpha[i][:, :, None] * t[None] * ahead[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            expected += joint[pair_valid[:, i]].sum(0)
-        p = alpha * beta
-        p = (p[:, :, 1] / p.sum(2)).T
-        residual = np.where(valid, truth - p, 0.0)
-        gradient = np.concatenate(
-            [np.bincount(feats_, weights=residual.reshape(-1)[cells_], minlength=n_features), [residual.sum()], (seen - expected).reshape(-1)]
-        )
+        gradient = sum(_expectations(block, w, b, t) for block in chunks.blocks())
         gradient = gradient / total * 1000 - penalty * parameters
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         parameters = parameters + 0.3 * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.99**r)) + 1e-8)
@@ -246,57 +259,72 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 names=["feature", "a", "b"],
             )
 
-    counts = (
-        sample.select("text", "toxic")
+    share = positives / (positives + negatives)
+    names = [
+        r.feature
+        for r in sample.select("text", "toxic")
         .mapInArrow(count, "feature string, a long, b long")
         .groupBy("feature")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where((F.col("a") >= MIN_DOCUMENTS) & (F.col("a") >= MIN_SHARE * (F.col("a") + F.col("b"))))
-        .orderBy(F.desc("a"), "b", "feature")
-        .limit(4 * MAX_FEATURES)
+        .withColumn("ratio", _ratio(F.col("a"), F.col("b"), share))
+        .where(F.col("ratio") >= MIN_RATIO)
+        .orderBy(F.desc("ratio"), F.desc("feature"))
+        .limit(MAX_FEATURES)
         .collect()
-    )
-    rated = sorted(((_ratio(r.a, r.b, positives, negatives), r.feature) for r in counts), reverse=True)
-    names = [f for ratio, f in rated[:MAX_FEATURES] if ratio >= MIN_RATIO]
+    ]
     if not names:
         return blank
     index = {f: i for i, f in enumerate(names)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            neutral: Counter = Counter()
+            rows: list[tuple[int, int, bool, list[int], list[int]]] = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = text.split()
-                active = [(i, [index[f] for f in word_features(w) if f in index]) for i, w in enumerate(words)]
-                active = [(i, ids) for i, ids in active if ids]
-                out.append((int(toxic > 0), len(words), [i for i, ids in active for _ in ids], [f for _, ids in active for f in ids]))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("toxic", "length", "places", "features"), o)) for o in out],
-                schema=pa.schema([("toxic", pa.int32()), ("length", pa.int64()), ("places", pa.list_(pa.int64())), ("features", pa.list_(pa.int64()))]),
-            )
-
-    # Only places of tokens with features reach the driver, of at most `sample_rows` documents.
-    rows = (
-        sample.select("text", "toxic")
-        .mapInArrow(encode, "toxic int, length long, places array<long>, features array<long>")
-        .collect()
+                for low in range(0, len(words), CHUNK):
+                    chunk = words[low : low + CHUNK]
+                    active = [(i, index[f]) for i, w in enumerate(chunk) for f in word_features(w) if f in index]
+                    if active:
+                        rows.append((len(chunk), 1, toxic > 0, [i for i, _ in active], [f for _, f in active]))
+                    else:
+                        neutral[len(chunk)] += 1
+            rows += [(length, times, False, [], []) for length, times in neutral.items()]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["length", "weight", "toxic", "places", "features"])
+
+    encoded = materialize(
+        sample.select("text", "toxic").mapInArrow(encode, "length int, weight long, toxic boolean, places array<int>, features array<int>")
     )
-    documents = []
-    for r in rows:
-        by: dict[int, list[int]] = {}
-        for place, feature in zip(r.places, r.features):
-            by.setdefault(place, []).append(feature)
-        documents.append((r.toxic, r.length, sorted(by.items())))
-    weights, bias, transition = train_chain([d for d in documents if d[1]], len(names))
+    # Stretches without features are alike but for their length; of the others a bounded number is taken.
+    plain = encoded.where(F.size("places") == 0).groupBy("length").agg(F.sum("weight").alias("weight"))
+    plain = plain.select("length", "weight", F.lit(False).alias("toxic"), F.array().cast("array<int>").alias("places"), F.array().cast("array<int>").alias("features"))
+    active = encoded.where(F.size("places") > 0).orderBy(F.xxhash64("toxic", "places", "features"), "length").limit(SAMPLE_CHUNKS)
+    table = plain.orderBy("length").unionByName(active).toArrow()
+    lists = table["places"].combine_chunks(), table["features"].combine_chunks()
+    chunks = Chunks(
+        table["length"].to_numpy().astype(np.int64), table["weight"].to_numpy(), table["toxic"].to_numpy(),
+        np.repeat(np.arange(len(table)), table["places"].combine_chunks().value_lengths().to_numpy()),
+        *(column.flatten().to_numpy().astype(np.int64) for column in lists),
+    )
+    weights, bias, transition = train_chain(chunks, len(names))
     model = Model(dict(zip(names, map(float, weights))), bias, tuple(map(float, transition)))
-    chain = model.chain()
-    seen = [
-        document_features(
-            chain.marginals(length, [p for p, _ in active], [sum(weights[f] for f in ids) for _, ids in active])
-        )
-        for _, length, active in documents
-    ]
-    model.calibration = calibrate(np.array(seen), np.array([d[0] for d in documents], float))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            found = [document_features(scorer.marginals(text.split())[1]) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), batch.column(1)],
+                names=["most", "mass", "toxic"],
+            )
+
+    # Three numbers for each of at most `sample_rows` documents.
+    seen = sample.where("text <> ''").select("text", "toxic").mapInArrow(describe, "most double, mass double, toxic int").toArrow()
+    given = np.stack([np.ones(len(seen)), seen["most"].to_numpy(), seen["mass"].to_numpy()], 1)
+    model.calibration = calibrate(given, (seen["toxic"].to_numpy() > 0).astype(float))
     return model
 
 
@@ -307,10 +335,9 @@ class Scorer:
         self.model, self.chain = model, model.chain()
         self.memo: dict[str, float | None] = {}
 
-    def __call__(self, text: str) -> tuple[float, float, str]:
-        """The document's score, its expected toxic tokens and the offending spans."""
+    def marginals(self, words: list[str]) -> tuple[list[int], list[float]]:
+        """Places of the tokens with features and their marginals."""
         weights, memo = self.model.weights, self.memo
-        words = text.split()
         distinct = set(words)
         if len(memo) > MEMO_WORDS:
             memo.clear()
@@ -319,9 +346,13 @@ class Scorer:
                 own = [weights[f] for f in word_features(word) if f in weights]
                 memo[word] = sum(own) if own else None
         if not any(memo[w] is not None for w in distinct):
-            return self.model.score([]), 0.0, ""
+            return [], []
         places = [i for i, w in enumerate(words) if memo[w] is not None]
-        found = self.chain.marginals(len(words), places, [memo[words[i]] for i in places])
+        return places, self.chain.marginals(len(words), places, [memo[words[i]] for i in places])
+
+    def __call__(self, text: str) -> tuple[float, float, str]:
+        """The document's score, its expected toxic tokens and the offending spans."""
+        places, found = self.marginals(text.split())
         marked = {i: p for i, p in zip(places, found) if p >= SPAN_MARGINAL}
         spans = [
             f"{m.start()}:{m.end()}:{marked[i]:.3f}" for i, m in enumerate(re.finditer(r"\S+", text)) if i in marked
