@@ -30,6 +30,8 @@ OUTSIDE = 0
 SAMPLE_ROWS, SAMPLE_REGIONS = 4096, 1500
 #: Characters around a digit or at-sign that are segmented with it, and tokens of the longest span.
 AROUND, MAX_TOKENS = 48, 40
+#: Tokens of a region that are decoded at once.
+WINDOW = 4096
 EPOCHS, STEP, PENALTY = 5, 0.3, 1e-3
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -141,9 +143,10 @@ def candidates(text: str) -> tuple[list[int], list[Segment]]:
                         break
                     found += _numbers(text, i, j + 1, start, tokens[j][1], digits, groups, marks)
                 elif part in " .()-" or part == "+" and j == i:
-                    marks += part
-                    if len(marks) > 1 and marks[-2:] in ("  ", "..", "--", "((", "))"):
+                    # A mark may come again later, but not twice in a row.
+                    if j > i and text[tokens[j][0] - 1] == part:
                         break
+                    marks += part
                 else:
                     break
     return starts, found
@@ -173,6 +176,8 @@ class Field:
     """Weights of span features and of the steps between labels; a token outside scores 0."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    #: Training examples whose span was no candidate and which were left out.
+    unseen: int = 0
 
     def _scored(self, segments: list[Segment], length: int) -> list[list[tuple[Segment, float]]]:
         ending: list[list[tuple[Segment, float]]] = [[] for _ in range(length + 1)]
@@ -251,7 +256,7 @@ class Field:
 
 
 def regions(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Stretches around digits and at-signs, without the spans already ``taken``, cut at white space where possible."""
+    """Stretches around digits and at-signs, without the spans already ``taken``."""
     blocked = sorted(taken)
     found: list[list[int]] = []
     k = 0
@@ -270,16 +275,32 @@ def regions(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in found]
 
 
+def decoded(text: str, model: Field, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(start, end, label) of the field's spans in a region, window by window.
+
+    A window holds ``window`` tokens and a margin on both sides, twice as long as the longest
+    span, so that memory does not grow with the region; spans that begin between the margins count.
+    """
+    cuts = [m.start() for m in TOKEN.finditer(text)] + [len(text)]
+    length, margin, found, free = len(cuts) - 1, 2 * MAX_TOKENS, [], 0
+    for core in range(0, length, window):
+        low, high = max(0, core - margin), min(length, core + window + margin)
+        starts, segments = candidates(text[cuts[low] : cuts[high]])
+        for s in model.decode(len(starts) - 1, segments) if segments else ():
+            if core <= low + s.first < core + window and low + s.first >= free:
+                free = low + s.last
+                found.append((cuts[low + s.first], cuts[free], s.label))
+    return found
+
+
 def added_spans(text: str, base: list[list[tuple[int, int]]], model: Field) -> list[list[tuple[int, int]]]:
     """Further spans of each kind that touch no base span."""
     result: list[list[tuple[int, int]]] = [[] for _ in KINDS]
     if not model.weights or not SIGNAL.search(text):
         return result
     for start, end in regions(text, [s for own in base for s in own]):
-        starts, segments = candidates(text[start:end])
-        if segments:
-            for s in model.decode(len(starts) - 1, segments):
-                result[s.label - 1].append((start + starts[s.first], start + starts[s.last]))
+        for first, last, label in decoded(text[start:end], model):
+            result[label - 1].append((start + first, start + last))
     return result
 
 
@@ -344,14 +365,16 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_regions: int = S
         .distinct().orderBy(F.xxhash64("stretch", "start", "end"), "stretch").limit(sample_regions)
         .collect()
     )
-    prepared = []
+    model, prepared = Field(), []
     for r in rows:
         starts, segments = candidates(r.stretch)
         at = {s: i for i, s in enumerate(starts)}
         gold = {(at[r.start], at[r.end], r.label)} if r.label and r.start in at and r.end in at else set()
         if gold <= {(s.first, s.last, s.label) for s in segments} and segments:
             prepared.append((len(starts) - 1, segments, gold))
-    model, sums = Field(), {}
+        elif gold:
+            model.unseen += 1
+    sums: dict[str, float] = {}
     for _ in range(EPOCHS):
         for length, segments, gold in prepared:
             model.learn(length, segments, gold, sums)

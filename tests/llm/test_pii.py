@@ -51,6 +51,54 @@ def test_decoding_equals_enumeration():
         assert value(tuple(model.decode(len(starts) - 1, segments))) >= best - 1e-9
 
 
+@pytest.mark.parametrize("span", ["jane.roe@mail.example.com", "10.20.3.4", "4111111111111111", "4111 1111 1111 1111", "+1 (911) 555-1477"])
+def test_every_writing_is_a_candidate(span):
+    kind = next(k for k, own in enumerate(pii.base_spans(span)) if (0, len(span)) in own)
+    for writing, is_span in [(span, True), *pii.rewritten(kind, span)]:
+        text = f"see {writing} there"
+        starts, segments = pii.candidates(text)
+        found = {(starts[s.first], starts[s.last], s.label) for s in segments}
+        assert not is_span or (4, 4 + len(writing), kind + 1) in found, writing
+
+
+def test_number_candidates_equal_enumeration():
+    """Every stretch from token to token that reads as a number of some kind, and no other."""
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choices(["12", "7", "555", "0147", ".", "-", " ", "(", ")", "+", "x", "é"], k=rng.randint(1, 14)))
+        starts, segments = pii.candidates(text)
+        wanted = set()
+        for a, b in itertools.combinations(starts, 2):
+            part = text[a:b]
+            groups, marks = re.findall("[0-9]+", part), re.sub("[0-9]", "", part)
+            n = sum(map(len, groups))
+            if not re.fullmatch(r"[+(]?[0-9 .()-]*[0-9]", part) or part[0] in " .)-" or re.search(r"([ .()-])\1", part):
+                continue
+            wanted |= {(a, b, 2)} if len(groups) == 4 and marks == "..." and n <= 19 else set()
+            wanted |= {(a, b, 3)} if 12 <= n <= 19 else set()
+            wanted |= {(a, b, 4)} if 7 <= n <= 15 else set()
+        assert {(starts[s.first], starts[s.last], s.label) for s in segments if s.label > 1} == wanted, text
+
+
+def test_memory_does_not_grow_with_a_table_of_numbers(model):
+    import tracemalloc
+
+    peaks = []
+    for times in (1000, 2000):
+        text = "1234 55.7 1.2 " * times
+        tracemalloc.start()
+        pii.added_spans(text, pii.base_spans(text), model)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
+
+
+def test_windows_decode_as_one(model):
+    text = "ring (212) 555-0147 now, jane[at]site.org, 4111.1111.1111.1111; " * 20
+    whole = pii.decoded(text, model)
+    assert len(whole) == 60 and pii.decoded(text, model, window=50) == whole
+
+
 def _disjoint(chosen):
     ordered = sorted(chosen, key=lambda s: s.first)
     return all(a.last <= b.first for a, b in zip(ordered, ordered[1:]))
@@ -112,7 +160,8 @@ def test_rows(spark, model):
     assert len(got) == 5
     first = next(r for r in got if r.n_ip)
     base = pii.joined(plain(rows[0][1]))
-    assert (first.n_email, first.n_ip, first.n_card, first.n_phone, first.n_added) == (1, 1, 0, 1, 1)
+    # One match of 21 digits, dropped without retry: its two phones are for the field to find.
+    assert (first.n_email, first.n_ip, first.n_card, first.n_phone, first.n_added) == (1, 1, 0, 0, 2)
     assert first.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
     assert set(base.split(",")) < set(first.spans.split(","))
     empty = next(r for r in got if r.doc_id == 2)
