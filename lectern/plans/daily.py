@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import text as t
 from lectern.operators import answers, evidence, feedback, hierarchy, outline, quality, ranking, validation
+from lectern.operators.caching import cache_key
 from lectern.operators.dedup import set_fingerprint
+from lectern.operators.result_store import ResultStore, reuse
 from lectern.session import materialize
 from lectern.sinks import read_batch, write_batch, write_manifest
 from lectern.sources.feeds import in_categories, latest_entries
@@ -32,6 +35,68 @@ class RunSettings:
     allow_partial: bool = False
 
 
+@dataclass(frozen=True)
+class Stores:
+    """Results of earlier runs and what they depend on beside their inputs.
+
+    ``embeddings`` holds ``array<double>``, ``answers`` and ``reports`` hold strings.  The
+    identities name models, prompts and rules with their versions and settings.
+    """
+
+    embeddings: ResultStore
+    answers: ResultStore
+    reports: ResultStore
+    now: datetime
+    embedding_identity: str
+    answer_identity: str
+    rules_identity: str
+    ttl_days: float | None = 7
+
+    def embed(self, embed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        def stored(rows: DataFrame) -> DataFrame:
+            keyed = rows.withColumn("_key", cache_key(F.col("text"), self.embedding_identity))
+            found = reuse(keyed, "_key", self.embeddings, embed, "embedding", self.now, self.ttl_days)
+            return found.select(*rows.columns, "embedding")
+
+        return stored
+
+    def answer(self, answer: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        def stored(packets: DataFrame) -> DataFrame:
+            shown = evidence.packet_fingerprints(packets).select(
+                F.col("doc_id").alias("paper_id"), cache_key(F.concat_ws("\x1f", "doc_id", "packet_fingerprint"), self.answer_identity).alias("_key")
+            )
+
+            def ask(missing: DataFrame) -> DataFrame:
+                wanted = packets.join(missing.select(F.col("paper_id").alias("doc_id")), "doc_id", "left_semi")
+                return answer(wanted).join(missing.select("paper_id", "_key"), "paper_id")
+
+            found = reuse(shown, "_key", self.answers, ask, "answer", self.now, self.ttl_days)
+            return found.where("answer IS NOT NULL").select("paper_id", "answer")
+
+        return stored
+
+    def validate(self, answers_df: DataFrame, packet: DataFrame, packets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """:func:`validated` for papers whose answer, packet or rules are new."""
+        report_like, issue_like = validated(answers_df, packet)
+        shape = f"struct<report: {report_like.schema.simpleString()}, issues: array<{issue_like.schema.simpleString()}>>"
+        prints = evidence.packet_fingerprints(packets).select(F.col("doc_id").alias("paper_id"), "packet_fingerprint")
+        given = answers_df.join(prints, "paper_id", "left").withColumn(
+            "_key",
+            cache_key(F.concat_ws("\x1f", "paper_id", F.coalesce("packet_fingerprint", F.lit("")), "answer"), self.rules_identity),
+        )
+
+        def check(missing: DataFrame) -> DataFrame:
+            reports, issues = validated(missing.select("paper_id", "answer"), packet)
+            listed = issues.groupBy("paper_id").agg(F.collect_list(F.struct(*issues.columns)).alias("issues"))
+            whole = reports.select("paper_id", F.struct(*reports.columns).alias("report")).join(listed, "paper_id", "left")
+            kept = whole.select("paper_id", F.to_json(F.struct("report", F.coalesce("issues", F.array()).alias("issues"))).alias("checked"))
+            return kept.join(missing.select("paper_id", "_key"), "paper_id")
+
+        found = reuse(given, "_key", self.reports, check, "checked", self.now, self.ttl_days)
+        read = found.select(F.from_json("checked", shape).alias("r"))
+        return read.select("r.report.*"), read.select(F.explode("r.issues").alias("i")).select("i.*")
+
+
 def interest_corpus(collections: DataFrame, items: DataFrame, settings: RunSettings) -> DataFrame:
     """Library items with their paths and a verdict: eligible, excluded or invalid."""
     paths = hierarchy.ancestor_paths(collections, "key", "parent_key", "name")
@@ -106,8 +171,8 @@ def ordered_selection(batch: DataFrame, ids: list[str]) -> DataFrame:
     return joined.withColumn("pos", checked).drop("_known").orderBy("pos")
 
 
-def evidence_packets(items: DataFrame, pages: DataFrame, limits: evidence.PacketLimits) -> DataFrame:
-    """Packets of documents given as parsed items and page sizes."""
+def packet_sources(items: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Text blocks and captioned visuals of documents given as parsed items and page sizes."""
     placed = materialize(outline.outline(outline.place_boxes(items, pages)))
     blocks = placed.where("mapped").withColumn("block_type", outline.block_type(F.col("label")))
     visuals = placed.where(F.col("box").isNotNull() & outline.is_visual(F.col("label"))).withColumn(
@@ -115,7 +180,12 @@ def evidence_packets(items: DataFrame, pages: DataFrame, limits: evidence.Packet
     )
     captions = outline.visual_captions(visuals, placed)
     with_caption = visuals.join(captions.select("doc_id", "pos", "caption"), ["doc_id", "pos"], "left")
-    return evidence.packets(blocks, with_caption, limits)
+    return blocks, with_caption
+
+
+def evidence_packets(items: DataFrame, pages: DataFrame, limits: evidence.PacketLimits) -> DataFrame:
+    """Packets of documents given as parsed items and page sizes."""
+    return evidence.packets(*packet_sources(items, pages), limits)
 
 
 def validated(answers_df: DataFrame, packet: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,15 +218,20 @@ def run(
     answer: Callable[[DataFrame], DataFrame],
     settings: RunSettings,
     output: str,
-    limits: evidence.PacketLimits = evidence.PacketLimits(),
+    limits: evidence.PacketLimits,
+    stores: Stores | None = None,
 ) -> DataFrame:
     """Run every stage, write each result under ``output`` and return the manifest row.
 
     ``tables`` holds collections, items, entries, document_items and document_pages
     (keyed by paper in ``doc_id``) and optionally commands.  ``answer`` turns packets
     into rows (paper_id, answer).  A stage that raises is failed and the later ones
-    are skipped; a paper that fails only makes its stage partial.
+    are skipped; a paper that fails only makes its stage partial.  What ``limits`` cut is
+    written beside the packets.  With ``stores``, embeddings, answers and reports of earlier
+    runs are used where nothing they depend on has changed, and new ones are added.
     """
+    if stores is not None:
+        embed, answer = stores.embed(embed), stores.answer(answer)
     spark = tables["items"].sparkSession
     run_id = settings.run_id
     done: list[tuple] = []
@@ -178,8 +253,10 @@ def run(
 
     def documents() -> tuple[int, int]:
         items = selected(tables["document_items"], results["candidates"], "doc_id").drop("rank")
-        packet = evidence_packets(items, tables["document_pages"], limits)
-        return selection(), papers(keep("packets", packet), "doc_id")
+        blocks, visuals = packet_sources(items, tables["document_pages"])
+        packet = keep("packets", evidence.packets(blocks, visuals, limits))
+        keep("packet_cuts", evidence.packet_cuts(blocks, visuals, packet))
+        return selection(), papers(packet, "doc_id")
 
     def analysis() -> tuple[int, int]:
         given = keep("answers", answer(results["packets"]))
@@ -190,7 +267,8 @@ def run(
         packet = results["packets"].select(
             F.col("doc_id").alias("paper_id"), "evidence_id", "kind", "abstract_only", F.col("place").alias("pos")
         )
-        reports, issues = validated(results["answers"].select("paper_id", "answer"), packet)
+        given = results["answers"].select("paper_id", "answer")
+        reports, issues = validated(given, packet) if stores is None else stores.validate(given, packet, results["packets"])
         keep("issues", issues)
         kept = keep("reports", reports)
         return kept.count(), kept.where("result_status = 'validated'").count()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from datetime import datetime
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions.fixedpoint import int_div
 from lectern import sinks
 from lectern.operators import caching, constraints, feedback, quality, scan
+from lectern.operators.result_store import ResultStore, reuse
 from lectern.plans import bindings as b
-from lectern.session import shared_folder
+from lectern.session import materialize, shared_folder
 from lectern.streaming import feedback_stream as feedback_import
 
 
@@ -277,6 +280,24 @@ def cache_new_entries(spark, folder):
     return entries.select("key", "value")
 
 
+_RUNS = ((datetime(2024, 1, 1), "lang IN ('de', 'fr')"), (datetime(2024, 1, 4), "lang <> 'es'"), (datetime(2024, 1, 9), "true"))
+
+
+def incremental_run(spark, folder):
+    """Three runs against one store, each over more languages; the first run's results expire before the third."""
+    store = ResultStore(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}", "bigint")
+    docs = b.table(spark, folder, "documents").select(
+        "doc_id", "lang", caching.cache_key(F.col("text"), "model-a").alias("key"), "text"
+    )
+    runs = []
+    for number, (now, arrived) in enumerate(_RUNS, 1):
+        compute = lambda missing: missing.select("key", F.octet_length("text").cast("bigint").alias("n_bytes"))
+        found = reuse(docs.where(arrived), "key", store, compute, "n_bytes", now, ttl_days=7)
+        runs.append(materialize(found.select(F.lit(number).alias("run"), "doc_id", "n_bytes", "cache_hit")))
+        store.compact(now)
+    return functools.reduce(DataFrame.unionByName, runs)
+
+
 def ledger_anti_join(spark, folder):
     events = b.table(spark, folder, "events")
     ledger = events.where("event_type = 'error' AND event_id % 5 = 0").select(
@@ -443,6 +464,14 @@ SELECT doc_id, octet_length(encode(text)) AS value, coalesce(d % 10 <> 0, false)
         """WITH h AS (SELECT sha256('model-a' || chr(31) || text) AS key, min(doc_id) AS d FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1),
 a AS (SELECT DISTINCT sha256('model-a' || chr(31) || text) AS key, octet_length(encode(text)) AS value FROM documents)
 SELECT key, value FROM a WHERE key NOT IN (SELECT key FROM h WHERE d % 10 <> 0)""",
+    ),
+    "incremental_run": (
+        incremental_run,
+        """WITH texts AS (SELECT text, bool_or(lang IN ('de', 'fr')) AS one, bool_or(lang <> 'es') AS two FROM documents GROUP BY text),
+d AS (SELECT doc_id, lang, octet_length(encode(text)) AS n_bytes, one, two FROM documents JOIN texts USING (text))
+SELECT 1 AS run, doc_id, n_bytes, false AS cache_hit FROM d WHERE lang IN ('de', 'fr')
+UNION ALL SELECT 2, doc_id, n_bytes, one FROM d WHERE lang <> 'es'
+UNION ALL SELECT 3, doc_id, n_bytes, two AND NOT one FROM d""",
     ),
     "ledger_anti_join": (
         ledger_anti_join,

@@ -1,10 +1,12 @@
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import models
 from lectern.operators import evidence, feedback
+from lectern.operators.result_store import ResultStore
 from lectern.plans import daily
 from lectern.sources import feeds
 
@@ -106,7 +108,7 @@ def test_manifest(spark):
     assert (row.run_id, row.run_status, row.input_count, row.output_count, row.partial_failure_count) == ("r1", "partial", 18, 9, 5)
 
 
-def test_run_writes_every_stage(spark, tables, tmp_path):
+def _documents(spark):
     items = spark.createDataFrame(
         [(f"arxiv:2401.0000{k}", 0, "1 Introduction", "section_header", 1, 1) for k in (1, 2)]
         + [(f"arxiv:2401.0000{k}", 1, "Proof.", "text", 1, 1) for k in (1, 2)],
@@ -114,15 +116,64 @@ def test_run_writes_every_stage(spark, tables, tmp_path):
     ).selectExpr("*", "double(10) AS raw_left", "double(10 + 20 * pos) AS raw_top", "double(90) AS raw_right",
                  "double(20 + 20 * pos) AS raw_bottom", "'top_left' AS origin", "array(bigint(99)) AS caption_refs")
     pages = items.selectExpr("doc_id", "bigint(1) AS pdf_page", "double(100) AS width", "double(100) AS height").distinct()
+    return items, pages
+
+
+def _answer(packets):
+    claim = ("named_struct('claim_id', 'c', 'kind', 'insight', 'text', 't', 'source_type', 'paper_text', 'inferred', false, "
+             "'evidence_ids', array(if(doc_id LIKE '%1', evidence_id, 'nowhere')))")
+    return packets.selectExpr("doc_id AS paper_id", f"to_json(named_struct('paper_id', doc_id, 'english_title', 'T', 'insights', array({claim}))) AS answer")
+
+
+def test_run_reuses_what_has_not_changed(spark, tables, tmp_path):
+    items, pages = _documents(spark)
+    inputs = {"collections": tables["collections"], "items": tables["items"], "entries": _entries(tables), "document_items": items, "document_pages": pages}
+    asked = {"embed": 0, "answer": 0}
+
+    def embed(df):
+        asked["embed"] += df.count()
+        return _embed(tables)(df)
 
     def answer(packets):
-        claim = ("named_struct('claim_id', 'c', 'kind', 'insight', 'text', 't', 'source_type', 'paper_text', 'inferred', false, "
-                 "'evidence_ids', array(if(doc_id LIKE '%1', evidence_id, 'nowhere')))")
-        return packets.selectExpr("doc_id AS paper_id", f"to_json(named_struct('paper_id', doc_id, 'english_title', 'T', 'insights', array({claim}))) AS answer")
+        asked["answer"] += packets.select("doc_id").distinct().count()
+        return _answer(packets)
+
+    def go(name, day, **changed):
+        kinds = {"embeddings": "array<double>", "answers": "string", "reports": "string"}
+        stores = daily.Stores(**{k: ResultStore(spark, f"{tmp_path}/store/{k}", v, 4) for k, v in kinds.items()},
+                              now=datetime(2024, 1, 3) + timedelta(days=day), embedding_identity="e1", answer_identity="a1", rules_identity="r1")
+        asked.update(embed=0, answer=0)
+        row = daily.run({**inputs, **changed}, embed, answer, SETTINGS, f"{tmp_path}/{name}", evidence.PacketLimits(), stores).first()
+        assert row.failure is None
+        read = lambda kind: {tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}/{kind}").select(*columns[kind]).collect()}
+        return row.run_status, {kind: read(kind) for kind in columns}, dict(asked), stores
+
+    columns = {"candidates": ["paper_id", "rank", "final_score"], "reports": ["paper_id", "result_status", "error_count"], "issues": ["paper_id", "code", "field_path"]}
+    plain = daily.run(inputs, _embed(tables), _answer, SETTINGS, f"{tmp_path}/plain", evidence.PacketLimits()).first()
+    status, first, counted, stores = go("first", 0)
+    assert counted == {"embed": 4, "answer": 2} and status == plain.run_status
+    for kind, rows in first.items():
+        assert rows == {tuple(r) for r in spark.read.parquet(f"{tmp_path}/plain/{kind}").select(*columns[kind]).collect()}
+    assert spark.read.parquet(f"{tmp_path}/first/packet_cuts").count() == 2
+    again = go("again", 1)
+    assert again[1] == first and again[2] == {"embed": 0, "answer": 0}
+    # A changed document is answered anew, alone.
+    edited = items.withColumn("text", F.when(F.col("doc_id").like("%2") & (F.col("pos") == 1), "New proof.").otherwise(F.col("text")))
+    assert go("edited", 2, document_items=edited)[2] == {"embed": 0, "answer": 1}
+    # After a week all of the first day is computed again.
+    assert go("expired", 7)[2] == {"embed": 4, "answer": 2}
+    before = stores.embeddings.usable(stores.now + timedelta(days=7)).collect()
+    stores.embeddings.compact(stores.now + timedelta(days=7))
+    assert len(stores.embeddings.generations()) == 1
+    assert sorted(stores.embeddings.usable(stores.now + timedelta(days=7)).collect()) == sorted(before) and len(before) == 4
 
+
+def test_run_writes_every_stage(spark, tables, tmp_path):
+    items, pages = _documents(spark)
+    answer = _answer
     inputs = {"collections": tables["collections"], "items": tables["items"], "entries": _entries(tables),
               "document_items": items, "document_pages": pages}
-    row = daily.run(inputs, _embed(tables), answer, SETTINGS, str(tmp_path / "out")).first()
+    row = daily.run(inputs, _embed(tables), answer, SETTINGS, str(tmp_path / "out"), evidence.PacketLimits()).first()
     assert row.run_status == "partial" and row.failure is None
     reports = {r.paper_id[-1]: r.result_status for r in spark.read.parquet(str(tmp_path / "out/reports")).collect()}
     assert reports == {"1": "validated", "2": "invalid"}
@@ -134,17 +185,17 @@ def test_run_writes_every_stage(spark, tables, tmp_path):
             packets.groupBy(F.col("doc_id").alias("paper_id")).agg(F.first("evidence_id").alias("e")), "paper_id"
         ).select("paper_id", F.replace("answer", F.lit('"x"'), F.concat(F.lit('"'), "e", F.lit('"'))).alias("answer"))
 
-    row = daily.run(inputs, _embed(tables), all_valid, SETTINGS, str(tmp_path / "out")).first()
+    row = daily.run(inputs, _embed(tables), all_valid, SETTINGS, str(tmp_path / "out"), evidence.PacketLimits()).first()
     # One chosen paper has no document, which makes the run partial and nothing more.
     assert (row.run_status, row.failure) == ("partial", None)
     # The rerun replaced the issues of the first run by none.
     assert spark.read.parquet(f"{tmp_path}/out/issues/run_id={SETTINGS.run_id}").count() == 0
-    row = daily.run({**inputs, "entries": _entries(tables).limit(0)}, _embed(tables), answer, SETTINGS, str(tmp_path / "out")).first()
+    row = daily.run({**inputs, "entries": _entries(tables).limit(0)}, _embed(tables), answer, SETTINGS, str(tmp_path / "out"), evidence.PacketLimits()).first()
     assert (row.run_status, row.failure, row.output_count) == ("empty", None, 0)
 
     def broken(packets):
         raise RuntimeError("model is down")
 
-    row = daily.run(inputs, _embed(tables), broken, SETTINGS, str(tmp_path / "failed")).first()
+    row = daily.run(inputs, _embed(tables), broken, SETTINGS, str(tmp_path / "failed"), evidence.PacketLimits()).first()
     assert (row.run_status, row.failure) == ("failed", "RuntimeError")
     assert spark.read.json(str(tmp_path / "failed/manifest")).first().run_status == "failed"
