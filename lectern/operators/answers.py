@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.text import unfenced
 from lectern.schemas import ANALYSIS
+from lectern.session import materialize
 
 # Optional single claims and the claim kind each field must hold.
 SINGLE_CLAIMS = (
@@ -111,3 +112,45 @@ def numbered_sections(names: Column, present: Column) -> Column:
             ),
         ),
     )
+
+
+#: The members that make an object a claim.
+CLAIM_MEMBERS = ("claim_id", "kind", "evidence_ids")
+
+
+def harvest_claims(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """Claims at any depth of a JSON ``payload``, with the path they stand at.
+
+    An object that has all :data:`CLAIM_MEMBERS`, null or not, is a claim; claims may hold
+    claims.  The tree is walked level by level as VARIANT until no branch is left: every
+    node moves on to its children where it is, so nothing is shuffled and a deep payload
+    costs more levels, not more memory.  Text that is no JSON has no claims.
+
+    Returns ``key``, path (``$.member[position]``), claim_id, kind, evidence_ids.
+    """
+    spark = rows.sparkSession
+    level = rows.select(F.col(key).alias("_key"), F.lit("$").alias("path"), F.try_parse_json(payload).alias("node")).where("node IS NOT NULL")
+    found = None
+    while True:
+        level = materialize(level)
+        if level.isEmpty():
+            break
+        has_all = F.lit(True)
+        for member in CLAIM_MEMBERS:
+            has_all &= F.try_variant_get("node", f"$.{member}", "variant").isNotNull()
+        claims = level.where(has_all).select(
+            F.col("_key").alias(key), "path",
+            F.try_variant_get("node", "$.claim_id", "string").alias("claim_id"),
+            F.try_variant_get("node", "$.kind", "string").alias("kind"),
+            F.try_variant_get("node", "$.evidence_ids", "array<string>").alias("evidence_ids"),
+        )
+        found = claims if found is None else found.unionByName(claims)
+        level = spark.sql(
+            "SELECT t._key, concat(t.path, coalesce('.' || e.key, '[' || e.pos || ']')) AS path, e.value AS node "
+            "FROM {level} t, LATERAL variant_explode(t.node) e",
+            level=level,
+        )
+    return rows.limit(0).select(key, *[F.lit(None).cast(k).alias(n) for n, k in CLAIM_ROW.items()]) if found is None else found
+
+
+CLAIM_ROW = {"path": "string", "claim_id": "string", "kind": "string", "evidence_ids": "array<string>"}

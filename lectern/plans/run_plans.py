@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions.fixedpoint import int_div
 from lectern import sinks
-from lectern.operators import caching, constraints, feedback, quality, scan
+from lectern.operators import caching, constraints, feedback, quality, scan, usage
 from lectern.operators.result_store import ResultStore, reuse
 from lectern.plans import bindings as b
 from lectern.session import materialize, shared_folder
@@ -298,6 +298,18 @@ def incremental_run(spark, folder):
     return functools.reduce(DataFrame.unionByName, runs)
 
 
+def usage_observation(spark, folder):
+    """A model stage over all conversations: user turns are prompts, the next turn is the answer, others fail."""
+    turns = b.table(spark, folder, "conversations")
+    after = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    asked = turns.where("role = 'user'").join(after, ["conv_id", "turn"], "left")
+    tries = F.col("turn") % 3 + 1
+    metrics = usage.model_metrics(F.col("text"), F.col("answer"), tries, tries * 125)
+    folder_of_run = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    seen = usage.observed_write(asked, metrics, lambda rows: rows.write.mode("overwrite").parquet(folder_of_run))
+    return spark.createDataFrame([tuple(seen[m] for m in metrics)], ", ".join(f"{m} bigint" for m in metrics))
+
+
 def ledger_anti_join(spark, folder):
     events = b.table(spark, folder, "events")
     ledger = events.where("event_type = 'error' AND event_id % 5 = 0").select(
@@ -472,6 +484,14 @@ d AS (SELECT doc_id, lang, octet_length(encode(text)) AS n_bytes, one, two FROM
 SELECT 1 AS run, doc_id, n_bytes, false AS cache_hit FROM d WHERE lang IN ('de', 'fr')
 UNION ALL SELECT 2, doc_id, n_bytes, one FROM d WHERE lang <> 'es'
 UNION ALL SELECT 3, doc_id, n_bytes, two AND NOT one FROM d""",
+    ),
+    "usage_observation": (
+        usage_observation,
+        """WITH a AS (SELECT u.text, n.text AS answer, u.turn % 3 + 1 AS tries FROM conversations u
+  LEFT JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1 AND n.role = 'assistant' WHERE u.role = 'user')
+SELECT CAST(sum(tries) AS BIGINT) AS attempt_count, CAST(sum(tries - 1) AS BIGINT) AS retry_count, count(*) FILTER (WHERE answer IS NULL) AS failed_count,
+  CAST(sum(tries * ((octet_length(encode(text)) + 3) // 4)) AS BIGINT) AS input_tokens,
+  CAST(sum((octet_length(encode(coalesce(answer, ''))) + 3) // 4) AS BIGINT) AS output_tokens, CAST(sum(tries * 125) AS BIGINT) AS cost_micro_usd FROM a""",
     ),
     "ledger_anti_join": (
         ledger_anti_join,

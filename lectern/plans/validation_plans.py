@@ -310,6 +310,26 @@ def answer_claims(spark, folder):
     )
 
 
+def claim_harvest(spark, folder):
+    """Conversations as threads, each turn within the one before it; what the assistant says are claims."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    quoted = lambda c: F.to_json(F.struct(c.alias("text")))
+
+    def around(inner, turn):
+        claim = F.concat(
+            F.lit('{"claim_id":"c'), turn["turn"].cast("string"), F.lit('","kind":"reply","evidence_ids":["'), turn["turn"].cast("string"),
+            F.lit('"],"said":'), quoted(turn["text"]), F.lit(',"replies":['), inner, F.lit("]}"),
+        )
+        other = F.concat(F.lit('{"said":'), quoted(turn["text"]), F.lit(',"reply":'), inner, F.lit("}"))
+        return F.when(turn["role"] == "assistant", claim).otherwise(other)
+
+    threads = b.table(spark, folder, "conversations").groupBy("conv_id").agg(said.alias("turns")).select(
+        "conv_id", F.aggregate(F.reverse("turns"), F.lit("null"), around).alias("thread")
+    )
+    claims = answers.harvest_claims(threads, "conv_id", "thread")
+    return claims.select("conv_id", "path", "claim_id", "kind", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
 def answer_failures(spark, folder):
     parsed = answers.parse(_answers(spark, folder), "answer")
     return parsed.groupBy(F.coalesce("failure", F.lit("none")).alias("failure")).agg(F.count("*").alias("n"))
@@ -460,6 +480,12 @@ SELECT code, count(*) AS n FROM i GROUP BY 1""",
         answer_claims,
         f"""WITH {_ANSWER_SQL} SELECT doc_id, expected_kind, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS kind_mismatches
 FROM claims GROUP BY 1, 2""",
+    ),
+    "claim_harvest": (
+        claim_harvest,
+        """WITH steps AS (SELECT conv_id, turn, role, coalesce(string_agg(CASE WHEN role = 'assistant' THEN '.replies[0]' ELSE '.reply' END, '')
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS way FROM conversations)
+SELECT conv_id, '$' || way AS path, 'c' || turn AS claim_id, 'reply' AS kind, CAST(turn AS VARCHAR) AS evidence_ids FROM steps WHERE role = 'assistant'""",
     ),
     "answer_failures": (
         answer_failures,
