@@ -14,7 +14,7 @@ from lectern.operators import caching, constraints, feedback, quality, scan, usa
 from lectern.operators.result_store import ResultStore, reuse
 from lectern.plans import bindings as b
 from lectern.session import materialize, shared_folder
-from lectern.streaming import feedback_stream as feedback_import
+from lectern.streaming import bundle_import as bundles, feedback_stream as feedback_import
 
 
 def feedback_state(spark, folder):
@@ -39,6 +39,25 @@ def feedback_stream(spark, folder):
     )
 
 
+def bundle_import(spark, folder):
+    """Each device's commands of a week as a bundle; after the import all bundles of the first week come again."""
+    names = [c.split()[0] for c in bundles.COMMAND.split(", ")]
+    command = F.struct(*[F.col(n).cast("string").alias(n) if n.endswith("_id") else F.col(n) for n in names])
+    week = F.date_trunc("week", "occurred_at")
+    grouped = b.commands(spark, folder).withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).groupBy("device_id", week.alias("week")).agg(
+        F.max("occurred_at").alias("generated_at"), F.collect_list(command).alias("commands")
+    )
+    identity = F.concat_ws("-", F.col("device_id"), F.date_format("week", "yyyyMMdd"))
+    run = f"{shared_folder(spark)}/bundles-{uuid.uuid4().hex}"
+    made = materialize(grouped.select("week", identity.alias("bundle_id"), "generated_at", "commands"))
+    first_week = made.agg(F.min("week")).scalar()
+    for some in (made, made.where(F.col("week") == first_week)):
+        some.drop("week").write.mode("append").parquet(f"{run}/in")
+        stream = spark.readStream.schema(made.drop("week").schema).parquet(f"{run}/in")
+        bundles.start(stream, f"{run}/out", f"{run}/log").awaitTermination()
+    return bundles.counters(spark.read.parquet(f"{run}/out"))
+
+
 def feedback_projection(spark, folder):
     return feedback.projection(feedback.replay(b.commands(spark, folder)))
 
@@ -476,6 +495,26 @@ SELECT doc_id, octet_length(encode(text)) AS value, coalesce(d % 10 <> 0, false)
         """WITH h AS (SELECT sha256('model-a' || chr(31) || text) AS key, min(doc_id) AS d FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1),
 a AS (SELECT DISTINCT sha256('model-a' || chr(31) || text) AS key, octet_length(encode(text)) AS value FROM documents)
 SELECT key, value FROM a WHERE key NOT IN (SELECT key FROM h WHERE d % 10 <> 0)""",
+    ),
+    "bundle_import": (
+        bundle_import,
+        f"""WITH {b.COMMANDS_SQL},
+c AS (SELECT *, device_id || '-' || strftime(date_trunc('week', occurred_at), '%Y%m%d') AS bundle_id,
+  row_number() OVER (ORDER BY occurred_at, CAST(device_id AS VARCHAR), sequence, CAST(command_id AS VARCHAR)) AS pos, action = 'set_read' AS reads FROM commands),
+g AS (SELECT *, max(occurred_at) OVER (PARTITION BY bundle_id) AS generated_at FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY generated_at, bundle_id, pos) AS nth FROM g),
+m AS (SELECT *, coalesce(pos <= max(pos) OVER (PARTITION BY paper_id, reads ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM o),
+a AS (SELECT *, CASE WHEN action = 'set_favorite' THEN value WHEN action = 'set_irrelevant' AND value THEN false END AS fav,
+  CASE WHEN action = 'set_irrelevant' THEN value WHEN action = 'set_favorite' AND value THEN false END AS irr FROM m WHERE NOT stale),
+w AS (SELECT *, coalesce(last_value(CASE WHEN reads THEN value END IGNORE NULLS) OVER before, false) AS was_read,
+  coalesce(last_value(fav IGNORE NULLS) OVER before, false) AS was_fav, coalesce(last_value(irr IGNORE NULLS) OVER before, false) AS was_irr
+  FROM a WINDOW before AS (PARTITION BY paper_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT bundle_id, CASE WHEN reads THEN was_read <> value ELSE coalesce(fav, was_fav) <> was_fav OR coalesce(irr, was_irr) <> was_irr END AS changed,
+  NOT reads AND value AND CASE WHEN action = 'set_favorite' THEN was_irr ELSE was_fav END AS conflict FROM w)
+SELECT bundle_id, CAST(sum(applied) AS BIGINT) AS applied_count, CAST(sum(changed) AS BIGINT) AS changed_count, CAST(0 AS BIGINT) AS duplicate_count,
+  CAST(sum(stale) AS BIGINT) AS stale_count, CAST(sum(conflict) AS BIGINT) AS conflict_count
+FROM (SELECT bundle_id, 1 AS applied, CAST(changed AS INT) AS changed, 0 AS stale, CAST(conflict AS INT) AS conflict FROM e
+  UNION ALL SELECT bundle_id, 0, 0, 1, 0 FROM m WHERE stale) GROUP BY bundle_id""",
     ),
     "incremental_run": (
         incremental_run,
