@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, functions as F
 
 # Patterns and word lists that decide results.
-SECTION_NUMBER = r"^\s*(?:(?:[A-Za-z]\.\d+(?:\.\d+)*|\d+(?:\.\d+)*)(?:[.):])?|[A-Za-z][.):])\s+"
+SECTION_NUMBER = r"(?i)^\s*(?:(?:[A-Z]\.\d+(?:\.\d+)*|\d+(?:\.\d+)*)(?:[.):])?|[A-Z][.):])\s+"
 VISUAL_LABEL = r"(?i)^\s*(?:fig(?:ure)?\.?|table)\s+([A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*)"
 PAPER_ID = r"(?i)^(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v[1-9]\d*)?$"
 PAPER_ID_IN_URL = r"(?i)((?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5}))(?:v(\d+))?$"

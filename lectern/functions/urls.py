@@ -107,10 +107,12 @@ def artifact_verdict(relative: Column, tokens: Column, declared: Column) -> Colu
 
 def cache_payload_allowed(payload: Column) -> Column:
     """True where a JSON value has only allow-listed keys at every depth; case, blanks around and dashes do not matter."""
-    # Strings are taken one after another, so a colon only ever follows a key.
-    strings = F.regexp_extract_all(payload, F.lit(r'("(?:[^"\\\\]|\\\\.)*"\s*:?)'), F.lit(1))
+    # What a backslash escapes becomes a mark that no listed key holds; then a quote always ends
+    # a string, strings are taken one after another, and a colon only ever follows a key.
+    plain = F.regexp_replace(payload, r"(?s)\\.", "\x01")
+    strings = F.regexp_extract_all(plain, F.lit(r'("[^"]*"\s*:?)'), F.lit(1))
     keys = F.transform(
         F.filter(strings, lambda s: s.endswith(":")),
-        lambda s: F.translate(F.lower(F.trim(F.regexp_extract(s, r'^"(.*)"\s*:$', 1))), "-", "_"),
+        lambda s: F.translate(F.lower(F.trim(F.regexp_extract(s, r'(?s)^"(.*)"\s*:$', 1))), "-", "_"),
     )
     return F.forall(keys, lambda k: k.isin(*CACHE_PAYLOAD_KEYS))

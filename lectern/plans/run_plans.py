@@ -29,9 +29,8 @@ def feedback_stream(spark, folder):
         .parquet(folder)
     )
     run = f"{shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
-    query = feedback_import.start(b.as_commands(events), f"{run}/state", f"{run}/log")
-    query.awaitTermination()
-    state = feedback_import.current_state(spark, f"{run}/state", query.lastProgress["batchId"])
+    feedback_import.start(b.as_commands(events), f"{run}/state", f"{run}/log").awaitTermination()
+    state = feedback_import.current_state(spark, f"{run}/state", feedback_import.newest_version(spark, f"{run}/state"))
     return state.select(
         "paper_id", "read", "favorite", "irrelevant",
         F.col("read_watermark.occurred_at").alias("read_watermark"),

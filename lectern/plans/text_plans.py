@@ -214,9 +214,10 @@ def run_ids(spark, folder):
 
 
 def payload_keys(spark, folder):
-    payload = F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(
-        F.to_json(F.struct(F.col("event_type").alias("status"), F.col("event_id").alias("byte_count")))
-    )
+    # Every third payload carries other keys, in turn plain, nested, and behind an escaped backslash.
+    inner = F.to_json(F.struct(F.concat("event_type", F.lit("\\")).alias("status"), F.col("event_id").alias("byte_count")))
+    hidden = F.concat(F.lit('{"status":"\\\\","byte_count":[{"status":'), F.col("props"), F.lit("}]}"))
+    payload = F.when(F.col("event_id") % 6 == 0, F.col("props")).when(F.col("event_id") % 3 == 0, hidden).otherwise(inner)
     checked = b.table(spark, folder, "events").select(
         "event_type", urls.cache_payload_allowed(payload).alias("allowed")
     )
@@ -297,7 +298,7 @@ def profile_exclusion(spark, folder):
     return rows.groupBy(code.alias("exclusion_code")).agg(F.count("*").alias("n"))
 
 
-_TITLE = r"trim(regexp_replace(lower(regexp_replace({x}, '^\s*(?:(?:[A-Za-z]\.\d+(?:\.\d+)*|\d+(?:\.\d+)*)(?:[.):])?|[A-Za-z][.):])\s+', '')), '[^a-z]+', ' ', 'g'))"
+_TITLE = "trim(regexp_replace(lower(regexp_replace({x}, '" + t.SECTION_NUMBER + "', '')), '[^a-z]+', ' ', 'g'))"
 
 
 def _main_text_sql(html: str) -> str:

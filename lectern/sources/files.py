@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,26 +73,35 @@ def per_file(files: DataFrame, read: Callable[[bytes], pd.DataFrame], schema: st
     return files.select("path", "content").mapInPandas(rows, schema)
 
 
+MEMBER = "path string, place long, name string, content string, failure string"
+
+
 def archive_members(files: DataFrame) -> DataFrame:
-    """TeX and bibliography members of tar archives, in archive order."""
+    """TeX and bibliography members of tar archives, in archive order.
+
+    What is no archive gives one row with a ``failure`` and nothing else; so does an archive
+    that breaks off, after the members before the break.
+    """
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        place = 0
+        try:
+            # One member at a time, however large the archive is when unpacked.
+            with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                for place, member in enumerate(archive):
+                    if member.isfile() and member.name.endswith((".tex", ".bbl")):
+                        text = archive.extractfile(member).read().decode("utf-8", errors="ignore")
+                        yield path, place, member.name, text, None
+        except (tarfile.TarError, EOFError, OSError, zlib.error, lzma.LZMAError) as error:
+            yield path, place + 1, None, None, "unreadable_archive" if isinstance(error, tarfile.ReadError) and not place else "truncated_archive"
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    archive = tarfile.open(fileobj=io.BytesIO(bytes(content)))
-                except tarfile.ReadError:
-                    continue
-                # One member at a time, however large the archive is when unpacked.
-                with archive:
-                    for place, member in enumerate(archive):
-                        if member.isfile() and member.name.endswith((".tex", ".bbl")):
-                            text = archive.extractfile(member).read().decode("utf-8", errors="ignore")
-                            yield pd.DataFrame([(path, place, member.name, text)], columns=["path", "place", "name", "content"])
-
-    return files.where("content IS NOT NULL").select("path", "content").mapInPandas(
-        members, "path string, place long, name string, content string"
-    )
+                for row in rows(path, bytes(content)):
+                    yield pd.DataFrame([row], columns=["path", "place", "name", "content", "failure"])
+
+    return files.where("content IS NOT NULL").select("path", "content").mapInPandas(members, MEMBER)
 
 
 def _opens_document(content: Column, name: Column) -> Column:

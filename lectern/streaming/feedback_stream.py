@@ -86,18 +86,33 @@ def _version(folder: str, kind: str, version: int) -> str:
     return f"{folder}/{kind}/version={version:012d}"
 
 
-def current_state(
-    spark: SparkSession, folder: str, last_batch: int, compact_every: int = COMPACT_EVERY
-) -> DataFrame:
-    """The state after a batch: the last full snapshot and the papers changed since."""
-    base = last_batch - last_batch % compact_every
-    full = spark.read.parquet(_version(folder, "full", base))
-    changes = [_version(folder, "changes", v) for v in range(base + 1, last_batch + 1)]
-    if not changes:
+def _versions(spark: SparkSession, folder: str, kind: str) -> DataFrame | None:
+    """All versions of a kind with their version number, None if there are none."""
+    try:
+        return spark.read.option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}")
+    except AnalysisException:
+        return None
+
+
+def _newest(rows: DataFrame | None) -> int:
+    found = None if rows is None else rows.agg(F.max("version")).first()[0]
+    return -1 if found is None else int(found)
+
+
+def current_state(spark: SparkSession, folder: str, last_version: int) -> DataFrame:
+    """The state after a version: the last full snapshot and the papers changed since.
+
+    Versions that were claimed and never written are passed over.
+    """
+    snapshots = _versions(spark, folder, "full")
+    base = _newest(snapshots.where(F.col("version") <= last_version))
+    full = snapshots.where(F.col("version") == base).drop("version")
+    changes = _versions(spark, folder, "changes")
+    if changes is None:
         return full
-    changed = spark.read.option("basePath", f"{folder}/changes").parquet(*changes)
     newest = (
-        changed.groupBy("paper_id")
+        changes.where((F.col("version") > base) & (F.col("version") <= last_version))
+        .groupBy("paper_id")
         .agg(F.max_by(F.struct(*[c for c in full.columns if c != "paper_id"]), "version").alias("_s"))
         .select("paper_id", "_s.*")
     )
@@ -106,25 +121,27 @@ def current_state(
 
 def newest_version(spark: SparkSession, folder: str) -> int:
     """The newest version written to a folder, -1 if it holds none."""
-    newest = -1
-    for kind in ("full", "changes"):
-        try:
-            found = spark.read.option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}").agg(F.max("version")).first()[0]
-        except AnalysisException:
-            found = None
-        newest = max(newest, -1 if found is None else int(found))
-    return newest
+    return max(_newest(_versions(spark, folder, kind)) for kind in ("full", "changes"))
 
 
-def _first_version(spark: SparkSession, folder: str, checkpoint: str) -> int:
-    """The version of a checkpoint's batch 0: the next one in the folder when the checkpoint is first used."""
-    note = f"{folder}/streams/{hashlib.sha256(checkpoint.encode()).hexdigest()[:32]}"
-    try:
-        return spark.read.schema("first long").parquet(note).first()[0]
-    except AnalysisException:
-        first = newest_version(spark, folder) + 1
-        spark.range(first, first + 1).select(F.col("id").alias("first")).write.parquet(note)
-        return first
+def _claim(spark: SparkSession, folder: str, checkpoint: str, batch_id: int) -> int:
+    """The version that a batch of a checkpoint writes: its own from an earlier try, else the next free one.
+
+    A version is claimed by creating its folder, which fails where another stream was first.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:32]
+    claims = _versions(spark, folder, "claims")
+    mine = -1 if claims is None else _newest(claims.where((F.col("stream") == stream) & (F.col("batch") == batch_id)))
+    if mine >= 0:
+        return mine
+    version = max(_newest(claims), newest_version(spark, folder)) + 1
+    while True:
+        try:
+            claim = spark.range(1).select(F.lit(stream).alias("stream"), F.lit(batch_id).cast("bigint").alias("batch"))
+            claim.write.mode("error").parquet(_version(folder, "claims", version))
+            return version
+        except AnalysisException:
+            version += 1
 
 
 def start(
@@ -132,25 +149,30 @@ def start(
 ) -> StreamingQuery:
     """Import a command stream, writing only the papers a batch touches and now and then a full snapshot.
 
-    Versions go on from the newest in the folder, whatever checkpoint wrote it.  Which
-    version a batch writes depends on its checkpoint and number alone, so a repeated batch
-    replaces its own output and nothing else.
+    Every batch of every checkpoint claims a version of its own, so checkpoints may be used
+    in turn, and a repeated batch replaces its own output and nothing else.
     """
-    offset = _first_version(commands.sparkSession, folder, checkpoint)
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
-        spark, version = batch.sparkSession, offset + batch_id
+        spark = batch.sparkSession
+        version = _claim(spark, folder, checkpoint, batch_id)
         # A batch is read for its papers, its fresh commands and the merge.
         batch = batch.persist()
-        previous = current_state(spark, folder, version - 1, compact_every) if version else empty_state(batch)
-        touched = batch.select("paper_id").distinct()
-        merged = merge(previous.join(touched, "paper_id", "left_semi"), batch)
-        if version % compact_every:
-            merged.write.mode("overwrite").parquet(_version(folder, "changes", version))
-        else:
-            untouched = previous.join(touched, "paper_id", "left_anti")
-            untouched.unionByName(merged).write.mode("overwrite").parquet(_version(folder, "full", version))
-        batch.unpersist()
+        try:
+            snapshots = _versions(spark, folder, "full")
+            if snapshots is not None:
+                snapshots = snapshots.where(F.col("version") < version)
+            base = _newest(snapshots)
+            previous = empty_state(batch) if base < 0 else current_state(spark, folder, version - 1)
+            touched = batch.select("paper_id").distinct()
+            merged = merge(previous.join(touched, "paper_id", "left_semi"), batch)
+            if base >= 0 and version - base < compact_every:
+                merged.write.mode("overwrite").parquet(_version(folder, "changes", version))
+            else:
+                untouched = previous.join(touched, "paper_id", "left_anti")
+                untouched.unionByName(merged).write.mode("overwrite").parquet(_version(folder, "full", version))
+        finally:
+            batch.unpersist()
 
     writer = commands.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

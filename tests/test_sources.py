@@ -1,3 +1,4 @@
+import gzip
 import io
 import json
 import tarfile
@@ -107,6 +108,20 @@ def test_tex_archives(spark, tmp_path):
     }
 
 
+def test_broken_archives_are_rows(spark, tmp_path):
+    whole = _tar([("a.tex", "x" * 5000), ("b.tex", "".join(chr(33 + i * i % 90) for i in range(60_000)))])
+    plain = io.BytesIO(gzip.decompress(whole))
+    (tmp_path / "gzip.tar").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "plain.tar").write_bytes(plain.getvalue()[:20_000])
+    (tmp_path / "whole.tar").write_bytes(whole)
+    (tmp_path / "none.tar").write_bytes(b"no archive")
+    got = {}
+    for r in files.archive_members(files.read_files(spark, str(tmp_path), "*.tar", 10**6)).orderBy("place").collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(r.name or r.failure)
+    assert got["whole.tar"] == ["a.tex", "b.tex"] and got["none.tar"] == ["unreadable_archive"]
+    assert got["gzip.tar"][-1] == got["plain.tar"][-1] == "truncated_archive"
+
+
 def test_pdf_checks_and_pages(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 xx")
     (tmp_path / "b.pdf").write_bytes(b"<html>")

@@ -121,3 +121,14 @@ def test_bm25_pick(spark):
     scores = retrieval_pick.bm25_scores(queries, texts, "grp", "k", "body", "q")
     got = {r.grp: r.k for r in retrieval_pick.bm25_pick(scores, "grp", "k").collect()}
     assert got == {"g": 2, "h": 3, "i": 0}
+
+
+def test_payload_keys_at_any_depth_and_behind_escapes(spark):
+    cases = [
+        ('{"status":"a\\\\","evil":1}', False), ('{"status":"a\\\\"}', True), ('{"status":"say \\"evil\\": 1"}', True),
+        ('{"status":{"byte_count":[{"status":1},{"evil":2}]}}', False), ('{"status":{"byte-count":[{" STATUS ":1}]}}', True),
+        ('{"ev\\"il":1}', False), ('{"status":"' + "x\\\\" * 20_000 + '"}', True), ("[]", True),
+    ]
+    frame = spark.createDataFrame(cases, "payload string, wanted boolean")
+    got = frame.select("payload", "wanted", urls.cache_payload_allowed(F.col("payload")).alias("allowed")).collect()
+    assert [r.payload[:60] for r in got if r.allowed != r.wanted] == []
