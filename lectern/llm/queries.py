@@ -12,7 +12,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(documents(spark, sf_dir)).drop("times")
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
 OP1_SQL = """

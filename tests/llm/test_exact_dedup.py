@@ -17,8 +17,9 @@ def frame(spark, rows):
 
 
 def test_groups(spark):
-    got = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_duplicates(frame(spark, ROWS)).collect()}
-    assert len(got) == len(set(ROWS)) == 12
+    rows = exact_dedup.exact_duplicates(frame(spark, ROWS)).collect()
+    got = {(r.doc_id, r.text_sha256): r for r in rows}
+    assert len(rows) == len(ROWS) and len(got) == len(set(ROWS)) == 12
     for doc_id, text, _ in ROWS:
         same = [d for d, t, _ in ROWS if (t or "") == (text or "")]
         keep = max((d for d in same if d is not None), default=None)
@@ -46,6 +47,44 @@ def test_index_over_batches(spark):
     assert later.table().count() == 2
 
 
+def test_a_repeated_batch_gets_the_same_answer(spark):
+    path = shared_path(spark, "digests")
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    index.admit(frame(spark, [(1, "a", "")]), "monday").collect()
+    rows = [(7, "a", ""), (8, "new", ""), (9, "new", "")]
+    first = sorted(index.admit(frame(spark, rows), "tuesday").collect())
+    assert [r.kept for r in first] == [False, False, True]
+    assert sorted(exact_dedup.DigestIndex(spark, path, 4).admit(frame(spark, rows), "tuesday").collect()) == first
+    spark.sql(f"DROP TABLE {index.name}")  # a new session has no table, only the folder
+    later = exact_dedup.DigestIndex(spark, path, 4)
+    assert sorted(later.admit(frame(spark, rows), "tuesday").collect()) == first
+    assert later.table().count() == 2
+    assert [r.kept for r in later.admit(frame(spark, rows[1:]), "it's {wednesday}").collect()] == [False, False]
+
+
+def test_a_batch_that_dies_after_its_digests_were_added(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, shared_path(spark, "digests"), 4)
+    rows = [(1, "a", ""), (2, "b", "")]
+
+    def dies(*_):
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(exact_dedup, "join_groups", dies)
+        try:
+            index.admit(frame(spark, rows), "monday")
+        except RuntimeError:
+            pass
+    assert index.table().count() == 2
+    assert [r.kept for r in index.admit(frame(spark, rows), "monday").collect()] == [True, True]
+
+
+def test_folders_of_one_name(spark):
+    one, two = (exact_dedup.DigestIndex(spark, f"{shared_path(spark, 'digests')}/same", 4) for _ in range(2))
+    for index in (one, two):
+        assert index.admit(frame(spark, [(1, "a", "")])).first().kept
+
+
 def test_anti_join_reads_the_index_in_place(spark):
     index = exact_dedup.DigestIndex(spark, shared_path(spark, "digests"), 4)
     index.admit(frame(spark, ROWS)).collect()
