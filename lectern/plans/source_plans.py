@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from lectern.plans import bindings as b
-from lectern.sources import lookups
+from lectern.sources import lookups, snapshots
 
 SERVICE = "lectern.sources.table_service"
 EVENT_TYPES = ["view", "signup", "click", "error", "purchase"]
@@ -31,6 +33,19 @@ def cursor_listing(spark, folder):
     return reader.option("listings", json.dumps(EVENT_TYPES)).load()
 
 
+def metadata_legs(spark, folder):
+    """Returned lines as snapshots of their supplier's listing, the other lines as requests for it."""
+    lines = b.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag"
+    )
+    kind = F.col("l_linenumber") % 4
+    api = F.when(kind == 0, "answered").when(kind == 1, "refused").otherwise("unavailable")
+    requests = lines.where("l_returnflag <> 'R'").withColumn("asked_at", F.col("l_shipdate") + F.expr("INTERVAL 9 HOUR"))
+    taken = lines.where("l_returnflag = 'R'")
+    legs = snapshots.chosen_legs(requests, taken, "l_suppkey", "asked_at", "l_shipdate", api, F.col("l_quantity") < 10)
+    return legs.select("l_orderkey", "l_linenumber", "l_suppkey", "asked_at", "l_quantity", "leg", "snapshot_at")
+
+
 PLANS = {
     "batched_lookup": (
         batched_lookup,
@@ -42,4 +57,15 @@ SELECT doc_id, lang, source, batch FROM batches JOIN documents USING (doc_id)"""
         cursor_listing,
         "SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('view', 'signup', 'click', 'error', 'purchase')",
     ),
+    "metadata_legs": (
+        metadata_legs,
+        """WITH taken AS (SELECT DISTINCT l_suppkey, l_shipdate AS newest FROM lineitem WHERE l_returnflag = 'R'),
+asked AS (SELECT *, l_shipdate + INTERVAL 9 HOUR AS asked_at FROM lineitem WHERE l_returnflag <> 'R'),
+found AS (SELECT a.*, t.newest FROM asked a ASOF LEFT JOIN taken t ON a.l_suppkey = t.l_suppkey AND a.asked_at >= t.newest),
+legs AS (SELECT *, CASE WHEN newest::DATE = asked_at::DATE THEN 'same_day' WHEN l_linenumber % 4 = 0 THEN 'api'
+   WHEN l_linenumber % 4 = 1 THEN 'failed' WHEN l_quantity < 10 THEN 'feeds'
+   WHEN newest >= asked_at - INTERVAL 7 DAY THEN 'stale' ELSE 'failed' END AS leg FROM found)
+SELECT l_orderkey, l_linenumber, l_suppkey, asked_at, l_quantity, leg,
+  CASE WHEN leg IN ('same_day', 'stale') THEN newest END AS snapshot_at FROM legs""",
+    ),
 }
