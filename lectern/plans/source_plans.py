@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lectern.plans import bindings as b
-from lectern.sources import lookups, snapshots
+from lectern.sources import downloads, lookups, snapshots
 
 SERVICE = "lectern.sources.table_service"
 EVENT_TYPES = ["view", "signup", "click", "error", "purchase"]
@@ -46,6 +46,62 @@ def metadata_legs(spark, folder):
     return legs.select("l_orderkey", "l_linenumber", "l_suppkey", "asked_at", "l_quantity", "leg", "snapshot_at")
 
 
+POLICY = downloads.DownloadPolicy(("papers.example.org",), max_redirects=3, max_bytes=8_000, max_pages=2)
+
+
+def _paper_downloads(spark, folder):
+    """Web pages as answers of one host, of which some redirect, fail or are no PDF; half the papers ask without https."""
+    n = F.col("page_id")
+    name = F.concat(F.lit("://papers.example.org/a/"), n, F.lit(".pdf"))
+    pages = b.table(spark, folder, "pages").where(n.isNotNull())
+    urls = pages.select(F.concat(F.split("url", ":")[0], name).alias("source_url"))
+    size = F.octet_length("html").cast("bigint")
+    responses = pages.where(n % 31 != 9).select(
+        F.concat(F.lit("https"), name).alias("url"),
+        F.when((n % 7).isin(1, 3, 4, 5, 6), 302).when(n % 23 == 5, 503).when(n % 23 == 6, 404).otherwise(200).alias("status_code"),
+        F.when(n % 37 != 4, F.concat(n + 1, F.lit(".pdf"))).alias("location"),
+        F.when(n % 11 == 4, "text/html; charset=utf-8").otherwise("Application/PDF").alias("content_type"),
+        F.when(n % 19 == 7, "gzip").alias("content_encoding"),
+        F.when(n % 29 == 8, size + 1).otherwise(size).alias("declared_size"),
+        size.alias("byte_size"),
+        F.encode(F.when(n % 17 == 3, F.col("html")).otherwise(F.concat(F.lit("%PDF-"), "html")), "utf-8").alias("head"),
+    )
+    return downloads.download_status(urls, responses, POLICY)
+
+
+def download_status(spark, folder):
+    return _paper_downloads(spark, folder)
+
+
+def paper_status(spark, folder):
+    """Downloads with the pages of the document of the same number as what was found inside."""
+    n = F.col("doc_id")
+    url = F.concat(F.lit("https://papers.example.org/a/"), n, F.lit(".pdf")).alias("url")
+    pages = b.document_pages(spark, folder).select(url, "text_chars", "image_count")
+    line_count = F.size(F.split("text", "\n"))
+    inspections = b.table(spark, folder, "documents").select(
+        url, (n % 13 != 5).alias("opened"), (n % 13 == 6).alias("needs_password"), F.ceil(line_count / 30).alias("page_count")
+    )
+    return downloads.paper_status(_paper_downloads(spark, folder), inspections, pages, POLICY)
+
+
+_DOWNLOADS_SQL = """
+answers AS (SELECT page_id AS n, 'https://papers.example.org/a/' || page_id || '.pdf' AS url,
+   CASE WHEN page_id % 7 IN (1, 3, 4, 5, 6) THEN 302 WHEN page_id % 23 = 5 THEN 503 WHEN page_id % 23 = 6 THEN 404 ELSE 200 END AS code,
+   CAST(octet_length(encode(html)) AS BIGINT) AS size, html FROM pages WHERE page_id % 31 <> 9),
+starts AS (SELECT DISTINCT split_part(url, ':', 1) || '://papers.example.org/a/' || page_id || '.pdf' AS source_url FROM pages),
+hops AS (SELECT source_url, source_url AS url, 0 AS hops FROM starts
+  UNION ALL SELECT h.source_url, 'https://papers.example.org/a/' || (a.n + 1) || '.pdf', h.hops + 1
+  FROM hops h JOIN answers a ON a.url = h.url WHERE a.code = 302 AND a.n % 37 <> 4 AND h.hops < 3),
+ends AS (SELECT source_url, arg_max(url, hops) AS url, max(hops) AS hops FROM hops GROUP BY 1),
+downloads AS (SELECT e.source_url, e.url, e.hops,
+   CASE WHEN NOT starts_with(e.url, 'https://') THEN 'unsafe_pdf_url' WHEN code = 302 THEN 'download_redirect_error'
+        WHEN code IS NULL THEN 'no_response' WHEN code = 503 THEN 'download_retryable_http_error' WHEN code = 404 THEN 'download_http_error'
+        WHEN n % 11 = 4 THEN 'invalid_content_type' WHEN n % 19 = 7 THEN 'unsupported_content_encoding'
+        WHEN size > 8000 OR n % 29 = 8 AND size + 1 > 8000 THEN 'size_limit_exceeded' WHEN n % 29 = 8 THEN 'truncated_response'
+        WHEN n % 17 = 3 AND NOT starts_with(html, '%PDF-') THEN 'invalid_pdf_signature' ELSE 'downloaded' END AS status
+ FROM ends e LEFT JOIN answers a ON a.url = e.url)"""
+
 PLANS = {
     "batched_lookup": (
         batched_lookup,
@@ -68,4 +124,23 @@ legs AS (SELECT *, CASE WHEN newest::DATE = asked_at::DATE THEN 'same_day' WHEN
 SELECT l_orderkey, l_linenumber, l_suppkey, asked_at, l_quantity, leg,
   CASE WHEN leg IN ('same_day', 'stale') THEN newest END AS snapshot_at FROM legs""",
     ),
+    "download_status": (
+        download_status,
+        f"WITH RECURSIVE {_DOWNLOADS_SQL} SELECT * FROM downloads",
+    ),
+    "paper_status": (
+        paper_status,
+        f"""WITH RECURSIVE {b.ITEMS_SQL}, {_DOWNLOADS_SQL},
+sheets AS (SELECT doc_id, pdf_page, sum(CASE WHEN label = 'section_header' THEN 0 ELSE n END) AS chars,
+  count(*) FILTER (WHERE label IN ('table', 'picture')) AS images FROM items GROUP BY 1, 2),
+layers AS (SELECT doc_id, count(*) AS sheets, count(*) FILTER (WHERE chars = 0) AS bare, bool_or(images > 0) AS images FROM sheets GROUP BY 1),
+found AS (SELECT d.source_url, d.url, d.hops, l.sheets, l.bare,
+   CASE WHEN status <> 'downloaded' THEN status WHEN l.doc_id IS NULL OR l.doc_id % 13 = 5 THEN 'corrupt'
+        WHEN l.doc_id % 13 = 6 THEN 'encrypted' WHEN l.sheets > 2 THEN 'page_limit_exceeded'
+        WHEN l.bare = l.sheets AND l.images THEN 'scanned' WHEN l.bare = l.sheets THEN 'no_text' ELSE 'ready' END AS status
+ FROM downloads d LEFT JOIN layers l ON d.url = 'https://papers.example.org/a/' || l.doc_id || '.pdf')
+SELECT source_url, url, hops, status,
+  CASE WHEN status IN ('ready', 'scanned', 'no_text') THEN sheets END AS inspected_pages,
+  CASE WHEN status IN ('ready', 'scanned', 'no_text') THEN bare END AS pages_without_text FROM found""",
+    ),
 }
