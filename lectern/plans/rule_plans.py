@@ -1,10 +1,10 @@
-"""The rules of document graphs over the lines of all documents."""
+"""The rules of document graphs and of text evidence over the lines of all documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import document_rules
+from lectern.operators import document_rules, provenance
 from lectern.plans import bindings as b
 from lectern.session import materialize
 
@@ -73,6 +73,44 @@ def document_issues(spark, folder):
     return document_rules.named(document_rules.graph_masks(document_graph(spark, folder))).select("doc_id", "kind", "element", "code")
 
 
+def provenance_terms(spark, folder):
+    """Every line as a block and as evidence of it, in which the position decides the one thing that was altered."""
+    pos, kind = F.col("pos"), F.col("pos") % 20
+    lines = b.lines(spark, folder).where("doc_id IS NOT NULL").select("doc_id", "pos", "line")
+    page, own = F.floor(pos / 30) + 1, F.floor(pos / 10)
+    sure = (pos % 4 + 1) / 4
+    box = F.struct(*[(F.lit(k) + F.length("line") % 7).cast("double").alias(side) for k, side in enumerate(("left", "top", "right", "bottom"))])
+    source = F.struct(page.alias("pdf_page"), box.alias("box"), sure.alias("confidence"))
+    blocks = lines.select(
+        "doc_id", pos.alias("block_id"), F.when(pos % 23 == 2, "heading").otherwise("text").alias("block_type"), F.col("line").alias("text"),
+        page.alias("pdf_page"), box.alias("box"), own.alias("section_id"), source.alias("source"),
+    )
+    title = F.when(F.col("section_id") % 3 == 0, "Abstract").otherwise("2. Methods")
+    sections = lines.select("doc_id", own.alias("section_id")).distinct().select("*", title.alias("title"), F.array(title).alias("section_path"))
+
+    def altered(at, wrong, right):
+        return F.when(kind == at, wrong).otherwise(right)
+
+    stated = F.when(own % 3 == 0, "Abstract").otherwise("2. Methods")
+    region = F.struct(
+        altered(8, page + 1, page).alias("pdf_page"), F.when(kind != 9, box).alias("box"), F.when(kind == 10, "crop.png").alias("image_path"),
+        F.when(kind != 11, source).alias("source"), altered(12, F.lit(2.0), sure).alias("confidence"),
+    )
+    evidence = lines.select(
+        "doc_id", pos.alias("evidence_id"),
+        F.when(kind == 18, F.array(-pos)).when(kind == 19, F.array(pos, pos)).otherwise(F.array(pos)).alias("block_ids"),
+        F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("~"), "line")).otherwise(F.col("line")).alias("evidence_text"),
+        altered(2, page + 1, page).alias("pdf_page"), altered(3, own + 1, own).alias("section_id"),
+        altered(13, F.lit("Title"), stated).alias("section_title"),
+        altered(14, F.array(F.lit("Title")), F.array(stated)).alias("section_path"),
+        F.when(kind == 4, pos).alias("visual_id"), F.when(kind == 5, "Figure").alias("label"), F.when(kind == 6, "Caption").alias("caption"),
+        altered(7, F.array(region, region), F.array(region)).alias("regions"), altered(15, F.lit(2.0), sure).alias("confidence"),
+        altered(16, own % 3 != 0, own % 3 == 0).alias("abstract_only"),
+    )
+    terms = provenance.text_terms(evidence, blocks, sections)
+    return terms.select("doc_id", "evidence_id", "known", F.array_join(provenance.broken_terms(F.col("mask")), ",").alias("terms"))
+
+
 PLANS = {
     "document_rules": (
         document_issues,
@@ -111,4 +149,15 @@ issues AS (
   UNION ALL SELECT doc_id, 'region', pos || '#0', 'image_outside_evidence_root' FROM v WHERE pos % 69 = 8)
 SELECT * FROM issues""",
     ),
+    "provenance_terms": (
+        provenance_terms,
+        f"""WITH {b.LINES_SQL}, l AS (SELECT doc_id, pos, line, pos % 20 AS kind FROM lines WHERE doc_id IS NOT NULL)
+SELECT doc_id, pos AS evidence_id, kind < 18 AS known, CASE WHEN kind >= 18 THEN '' ELSE concat_ws(',',
+   CASE WHEN pos % 23 = 2 THEN 'block_type' END, CASE WHEN kind = 0 OR line = '' AND kind <> 1 THEN 'evidence_text' END,
+   CASE kind WHEN 1 THEN CASE WHEN NOT starts_with(line, '~' || line) THEN 'text_start' END
+     WHEN 2 THEN 'pdf_page' WHEN 3 THEN 'section_id' WHEN 4 THEN 'visual_id' WHEN 5 THEN 'label' WHEN 6 THEN 'caption' WHEN 7 THEN 'one_region'
+     WHEN 8 THEN 'region_page' WHEN 9 THEN 'region_box' WHEN 10 THEN 'region_image' WHEN 11 THEN 'region_source'
+     WHEN 12 THEN 'region_confidence' WHEN 15 THEN 'confidence' WHEN 13 THEN 'section_title' WHEN 14 THEN 'section_path'
+     WHEN 16 THEN 'abstract_only' END) END AS terms FROM l""",
+    ),
 }
