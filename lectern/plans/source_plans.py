@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lectern.plans import bindings as b
-from lectern.sources import downloads, lookups, snapshots
+from lectern.sources import bundles, downloads, lookups, snapshots
 
 SERVICE = "lectern.sources.table_service"
 EVENT_TYPES = ["view", "signup", "click", "error", "purchase"]
@@ -46,6 +46,36 @@ def metadata_legs(spark, folder):
     return legs.select("l_orderkey", "l_linenumber", "l_suppkey", "asked_at", "l_quantity", "leg", "snapshot_at")
 
 
+def bundle_scan(spark, folder):
+    """Every hundred events as one exported bundle, some of them altered, cut, reordered or too long."""
+    n = F.floor(F.col("event_id") / 100)
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    command = F.struct(
+        F.col("event_type").alias("action"), F.concat(F.lit("c"), "event_id").alias("command_id"), F.col("user_id").cast("string").alias("device_id"),
+        at.alias("occurred_at"), F.get_json_object("props", "$.k").alias("paper_id"), F.col("event_id").alias("sequence"), (F.col("value") > 50).alias("value"),
+    )
+    events = b.table(spark, folder, "events").where("event_id IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL AND value IS NOT NULL")
+    # A bundle holds at most a hundred events, as event ids are unique.
+    grouped = events.groupBy(n.alias("n")).agg(
+        F.array_sort(F.collect_list(F.struct("ts", F.col("user_id").cast("string").alias("d"), "event_id", command.alias("c")))).alias("rows")
+    )
+    k = F.col("n") % 11
+    ordered = F.transform("rows", lambda r: r["c"])
+    commands = F.when(k == 3, F.reverse(ordered)).when(k == 4, F.concat(F.slice(ordered, 1, 1), ordered)).otherwise(ordered)
+    body = grouped.select("n", F.when(k == 7, F.lit(None)).otherwise(F.concat(F.lit("b"), "n")).alias("bundle_id"), commands.alias("commands"))
+    fixed = [F.lit("2024-12-31T00:00:00Z").alias("generated_at"), F.lit("1").alias("schema_version")]
+    digest = F.sha2(F.to_json(F.struct("bundle_id", "commands", *fixed)), 256)
+    stated = F.when(k == 1, F.reverse(digest)).otherwise(digest).alias("digest")
+    # Other order of keys: the digest must not depend on it.
+    text = F.to_json(F.struct(stated, *reversed(fixed), "commands", "bundle_id"))
+    content = F.encode(F.when(k == 2, F.substring(text, 1, 500)).when(k == 5, F.concat(text, F.repeat(F.lit(" "), 1_000_000))).otherwise(text), "utf-8")
+    large = F.octet_length("content") > 1_000_000
+    files = body.select(F.concat(F.lit("bundles/"), "n", F.lit(".json")).alias("path"), content.alias("content"))
+    listed = files.select("path", F.when(~large, F.col("content")).alias("content"), F.when(large, "too_large").otherwise("read").alias("status"))
+    found = bundles.checked_bundles(listed, max_commands=500)
+    return found.select("path", "status", F.size("bundle.commands").cast("bigint").alias("commands"))
+
+
 POLICY = downloads.DownloadPolicy(("papers.example.org",), max_redirects=3, max_bytes=8_000, max_pages=2)
 
 
@@ -143,4 +173,12 @@ SELECT source_url, url, hops, status,
   CASE WHEN status IN ('ready', 'scanned', 'no_text') THEN sheets END AS inspected_pages,
   CASE WHEN status IN ('ready', 'scanned', 'no_text') THEN bare END AS pages_without_text FROM found""",
     ),
+    "bundle_scan": (
+        bundle_scan,
+        """WITH k AS (SELECT event_id // 100 AS n, count(*) AS c, bool_or(json_extract_string(props, '$.k') IS NULL) AS gaps FROM events
+  WHERE event_id IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL AND value IS NOT NULL GROUP BY 1),
+s AS (SELECT n, c, CASE WHEN n % 11 = 5 THEN 'too_large' WHEN n % 11 = 2 THEN 'unreadable' WHEN n % 11 = 7 OR gaps THEN 'incomplete'
+   WHEN n % 11 = 1 THEN 'digest_mismatch' WHEN n % 11 = 3 AND c > 1 THEN 'not_ordered' WHEN n % 11 = 4 THEN 'repeated_command' ELSE 'accepted' END AS status FROM k)
+SELECT 'bundles/' || n || '.json' AS path, status, CASE WHEN status = 'accepted' THEN c END AS commands FROM s""",
+    ),
 }
