@@ -8,6 +8,8 @@ any point and the work is linear in both tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.vectors import dot, norm, positive
@@ -15,6 +17,25 @@ from lectern.operators.scan import global_rank
 
 SCORE_MIN, SCORE_MAX = -10.0, 10.0
 
+#: Adds ``corpus_score`` to candidates, from interests, their recency column, the key and the vector column.
+Scorer = Callable[[DataFrame, DataFrame, str, str, str], DataFrame]
+_SCORERS: dict[str, Scorer] = {}
+
+
+def register_scorer(name: str) -> Callable[[Scorer], Scorer]:
+    def keep(score: Scorer) -> Scorer:
+        _SCORERS[name] = score
+        return score
+
+    return keep
+
+
+def scorer(name: str) -> Scorer:
+    """A scorer by name; ``recency`` and ``mean`` are always there."""
+    if name not in _SCORERS:
+        raise ValueError(f"scorer {name!r} is not registered; known: {sorted(_SCORERS)}")
+    return _SCORERS[name]
+
 
 def ranking_text(title: Column, abstract: Column) -> Column:
     return F.concat(title, F.lit("\n\n"), abstract)
@@ -63,6 +84,7 @@ def cosine_to(df: DataFrame, vector: str, folded: DataFrame, name: str) -> DataF
     return prepared.withColumn(name, F.explode(F.array(cosine))).drop("_norm", "_folded")
 
 
+@register_scorer("recency")
 def recency_scores(
     candidates: DataFrame, interests: DataFrame, recency: str, key: str, vector: str
 ) -> DataFrame:
@@ -79,6 +101,13 @@ def mean_cosine(candidates: DataFrame, interests: DataFrame, vector: str) -> Dat
     return cosine_to(candidates, vector, fold_vectors(interests, vector, F.lit(1.0)), "mean_cosine")
 
 
+@register_scorer("mean")
+def mean_scores(candidates: DataFrame, interests: DataFrame, recency: str, key: str, vector: str) -> DataFrame:
+    """Add ``corpus_score``: ten times the plain mean cosine; recency and key do not matter."""
+    scored = mean_cosine(candidates, interests, vector)
+    return scored.withColumn("corpus_score", F.col("mean_cosine") * 10).drop("mean_cosine")
+
+
 def focus_blend(
     scored: DataFrame, focus: DataFrame, vector: str, weight: float, minimum_similarity: float
 ) -> DataFrame:

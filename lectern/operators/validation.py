@@ -269,10 +269,36 @@ def input_codes(
     )
     return joined.select(
         "paper_id", code.alias("code"),
-        F.when(code == "validation_input_missing", "skipped").when(code.isNotNull(), "failed").alias("status"),
+        _unavailable_status(code).alias("status"),
     )
 
 
+def batch_results(selected: DataFrame, codes: DataFrame, runs: DataFrame, reports: DataFrame) -> DataFrame:
+    """The final code of every selected paper (paper_id, batch_id), with those of :func:`input_codes`.
+
+    ``runs`` holds (batch_id, run_id), a row for each input that a batch was put together
+    from: where these differ or one has no run id, no paper of the batch is validated.  A
+    paper that nothing speaks against but that has no row in ``reports`` failed inside.
+    """
+    mixed = runs.groupBy("batch_id").agg(
+        (F.bool_or(F.col("run_id").isNull()) | differs(F.min("run_id"), F.max("run_id"))).alias("_mixed")
+    )
+    joined = (
+        selected.select("paper_id", "batch_id").join(codes.select("paper_id", F.col("code").alias("_code")), "paper_id", "left")
+        .join(mixed.where("_mixed"), "batch_id", "left")
+        .join(reports.select("paper_id", F.lit(True).alias("_report")).distinct(), "paper_id", "left")
+    )
+    code = (
+        F.when(F.col("_mixed"), "validation_run_id_mismatch").when(F.col("_code").isNotNull(), F.col("_code"))
+        .when(F.col("_report").isNull(), "validation_internal_error")
+    )
+    return joined.select("paper_id", code.alias("code")).select("*", _unavailable_status(F.col("code")).alias("status"))
+
+
+def _unavailable_status(code: Column) -> Column:
+    return F.when(code == "validation_input_missing", "skipped").when(code.isNotNull(), "failed")
+
+
 def analysis_input_codes(selected: DataFrame, candidates: DataFrame, documents: DataFrame) -> DataFrame:
     """Why a selected paper cannot be analysed; a document must come from the candidate's own address."""
     papers = candidates.select("paper_id", F.col("pdf_url").alias("_expected"))

@@ -33,6 +33,7 @@ class RunSettings:
     shortlist: int = 15
     full: int = 5
     allow_partial: bool = False
+    scorer: str = "recency"
 
 
 @dataclass(frozen=True)
@@ -142,7 +143,7 @@ def candidate_batch(
         corpus.where("verdict = 'eligible'").select("paper_id", "added_at", text)
     )
     embedded = embed(candidates.select("*", text))
-    scored = ranking.recency_scores(embedded, interests, "added_at", "paper_id", "embedding")
+    scored = ranking.scorer(settings.scorer)(embedded, interests, "added_at", "paper_id", "embedding")
     score = "corpus_score"
     if settings.focus_query is not None:
         query = corpus.sparkSession.createDataFrame([(settings.focus_query,)], "text string")
