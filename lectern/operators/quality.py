@@ -232,3 +232,27 @@ def run_status(stages: DataFrame, key: str) -> DataFrame:
         .otherwise("success")
         .alias("run_status")
     )
+
+
+def reconciled_metrics(measured: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """Measured durations beside the stage results of the same ``keys``, with ``mismatch`` where one side is missing.
+
+    A stage without a measurement is ``unmeasured``, a measurement without a stage ``unknown_stage``.
+    """
+    left = measured.select(*keys, "duration_ns", F.lit(True).alias("_measured"))
+    joined = left.join(results.withColumn("_result", F.lit(True)), keys, "full_outer")
+    mismatch = F.when(F.col("_measured").isNull(), "unmeasured").when(F.col("_result").isNull(), "unknown_stage")
+    return joined.withColumn("mismatch", mismatch).drop("_measured", "_result")
+
+
+def profile_exclusion(path: Column, function: Column, rules: dict[str, list[tuple[str, str | None]]]) -> Column:
+    """Why a profile row is no target: generated code (its name starts with ``<``), else the first rule that fits.
+
+    ``rules`` maps a code to (path, function) pairs; None for the function takes the whole file.
+    """
+    code = F.when(function.startswith("<"), "generated_wrapper")
+    for name, places in rules.items():
+        for file, only in places:
+            fits = path == file if only is None else (path == file) & (function == only)
+            code = code.when(fits, name)
+    return code

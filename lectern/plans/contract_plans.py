@@ -12,6 +12,7 @@ from lectern.plans import bindings as b
 from lectern.plans.bindings import rounded
 from lectern.plans.ranking_plans import _VECTORS
 from lectern.plans.run_plans import _STAGES_SQL, _stages
+from lectern.sources import feeds
 
 LIMITS = contracts.BatchLimits(pool=12, shortlist=10, full=4)
 STAGE_ORDER = ("candidates", "documents", "analysis", "validation", "delivery")
@@ -199,7 +200,64 @@ def validation_results(spark, folder):
     return validation.batch_results(customers, codes, runs, customers.where("c_acctbal < 9000"))
 
 
+def _library_entries(spark, folder) -> DataFrame:
+    """Documents as the library service would list them; some lack a key or a readable date, some are of other kinds."""
+    doc = F.col("doc_id")
+    kinds = F.array(*[F.lit(k) for k in (*feeds.PAPER_ITEM_TYPES, "book")])
+    added = F.when(doc % 11 == 0, "soon").otherwise(F.concat(F.lit("2024-01-"), F.lpad((doc % 28 + 1).cast("string"), 2, "0"), F.lit("T08:00:00Z")))
+    data = F.struct(
+        F.get(kinds, (doc % 4).cast("int")).alias("itemType"), F.col("source").alias("title"), F.col("text").alias("abstractNote"),
+        F.when(doc % 5 != 0, F.array("lang")).alias("collections"), added.alias("dateAdded"),
+    )
+    entry = F.to_json(F.struct(F.when(doc % 13 != 0, doc.cast("string")).alias("key"), data.alias("data")))
+    return b.documents(spark, folder).where("doc_id IS NOT NULL").select(F.when(doc % 17 == 0, F.left(entry, F.lit(20))).otherwise(entry).alias("entry"))
+
+
+def library_items(spark, folder):
+    items, _ = feeds.library_items(_library_entries(spark, folder), "entry")
+    return items.select(
+        "key", "title", F.length("abstract").cast("bigint").alias("n_chars"), F.size("collection_keys").cast("bigint").alias("n_collections"),
+        F.date_format("added_at", "yyyy-MM-dd").alias("day"),
+    )
+
+
+def library_counts(spark, folder):
+    return feeds.library_items(_library_entries(spark, folder), "entry")[1]
+
+
+def preprint_rejects(spark, folder):
+    """Documents as preprints of one server: papers by category, and why the other wanted rows make none."""
+    doc = F.col("doc_id")
+    rows = b.documents(spark, folder).where("doc_id IS NOT NULL").select(
+        F.when(doc % 7 != 0, F.col("source")).alias("title"), F.when(doc % 5 != 0, "A; B").alias("authors"), F.when(doc % 6 != 0, F.col("text")).alias("abstract"),
+        F.when(doc % 10 != 9, F.concat(F.lit("10.1/"), doc.cast("string"))).alias("doi"), F.when(doc % 12 != 11, "1").alias("version"),
+        F.when(doc % 3 == 0, "2024-05-01").otherwise("2024-05-02").alias("date"), F.col("lang").alias("category"),
+    )
+    papers, rejected = feeds.preprint_papers(rows, "server", ["EN", "de"])
+    told = papers.select(F.lit("paper").alias("outcome")).unionByName(rejected.select(F.col("reason").alias("outcome")))
+    return told.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+_LIBRARY_SQL = """WITH e AS (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'malformed' WHEN doc_id % 4 = 3 THEN 'other_kinds'
+  WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 'malformed' ELSE 'items' END AS state FROM documents)"""
+
 PLANS = {
+    "library_items": (
+        library_items,
+        f"""{_LIBRARY_SQL} SELECT CAST(doc_id AS VARCHAR) AS key, source AS title, length(text) AS n_chars,
+  CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END::BIGINT AS n_collections, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS day FROM e WHERE state = 'items'""",
+    ),
+    "library_counts": (
+        library_counts,
+        f"""{_LIBRARY_SQL} SELECT count(*) FILTER (WHERE state = 'items') AS items, count(*) FILTER (WHERE state = 'other_kinds') AS other_kinds,
+  count(*) FILTER (WHERE state = 'malformed') AS malformed FROM e""",
+    ),
+    "preprint_rejects": (
+        preprint_rejects,
+        """SELECT CASE WHEN doc_id % 7 = 0 THEN 'title_missing' WHEN doc_id % 5 = 0 THEN 'authors_missing' WHEN doc_id % 6 = 0 THEN 'abstract_missing'
+  WHEN doc_id % 10 = 9 THEN 'doi_missing' WHEN doc_id % 12 = 11 THEN 'version_missing' ELSE 'paper' END AS outcome, count(*) AS n
+FROM documents WHERE doc_id % 3 <> 0 AND lang IN ('en', 'de') GROUP BY 1""",
+    ),
     "batch_contract": (
         batch_contract,
         """WITH c AS (SELECT o_custkey AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_custkey % 50 = 7 THEN 1 ELSE 0 END AS pos,

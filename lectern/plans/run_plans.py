@@ -251,9 +251,9 @@ def metric_reconcile(spark, folder):
         F.sum("o_orderkey").alias("duration_ns")
     )
     results = quality.stage_rollup(_stages(spark, folder), ["run_id", "stage"])
-    joined = measured.join(results, ["run_id", "stage"], "full_outer")
+    joined = quality.reconciled_metrics(measured, results, ["run_id", "stage"])
     return joined.groupBy("stage").agg(
-        F.count_if(F.col("duration_ns").isNull()).alias("unmeasured"),
+        F.count_if(F.col("mismatch") == "unmeasured").alias("unmeasured"),
         F.sum("duration_ns").alias("duration_ns"), F.sum("output_count").alias("output_count"),
     )
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as t, urls
 from lectern.functions.fixedpoint import cost_micro_usd, token_estimate
-from lectern.operators import retrieval_pick
+from lectern.operators import feedback, reader, retrieval_pick
+from lectern.operators.quality import profile_exclusion as profile_exclusion_code
 from lectern.plans import bindings as b
 from lectern.plans.bindings import rounded
 
@@ -249,18 +250,13 @@ def star_buckets(spark, folder):
 
 
 def reader_search(spark, folder):
-    from lectern.operators import feedback
-
     state = feedback.replay(b.commands(spark, folder))
     cards = b.documents(spark, folder).select(
         F.col("doc_id").alias("paper_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title")
     )
-    joined = cards.join(state, "paper_id", "left")
-    blob = F.lower(F.concat_ws(" ", F.col("paper_id").cast("string"), "title"))
-    visible = (
-        ~F.coalesce("irrelevant", F.lit(False)) & ~F.coalesce("read", F.lit(False)) & blob.contains("the")
-    )
-    return joined.where(visible).select("paper_id", "title")
+    searched = F.concat_ws(" ", F.col("paper_id").cast("string"), "title")
+    shown = reader.visible(searched, "the", unread_only=True)
+    return reader.with_state(cards, state).where(shown).select("paper_id", "title")
 
 
 def full_text_fallback(spark, folder):
@@ -289,12 +285,11 @@ def profile_exclusion(spark, folder):
     name = F.when(F.col("event_type") == "error", "<lambda>").when(F.col("event_type") == "signup", "audit").otherwise("observe")
     path = F.when(F.col("user_id") % 3 == 0, "daily.py").when(F.col("user_id") % 3 == 1, "artifacts.py").otherwise("collector.py")
     rows = b.table(spark, folder, "events").select(name.alias("function_name"), path.alias("relative_path"))
-    code = (
-        F.when(F.col("function_name").startswith("<"), "generated_wrapper")
-        .when(F.col("relative_path") == "daily.py", "inclusive_wrapper")
-        .when((F.col("relative_path") == "collector.py") & (F.col("function_name") == "observe"), "inclusive_wrapper")
-        .when((F.col("relative_path") == "artifacts.py") & (F.col("function_name") == "audit"), "security_invariant")
-    )
+    rules = {
+        "inclusive_wrapper": [("daily.py", None), ("collector.py", "observe")],
+        "security_invariant": [("artifacts.py", "audit")],
+    }
+    code = profile_exclusion_code(F.col("relative_path"), F.col("function_name"), rules)
     return rows.groupBy(code.alias("exclusion_code")).agg(F.count("*").alias("n"))
 
 

@@ -12,6 +12,9 @@ from lectern.schemas import ATOM_ENTRY, COLLECTION, LIBRARY_ITEM, OFFLINE_FIXTUR
 from lectern.sources.registry import register
 
 
+_ITEM_ENTRY = "key string, data struct<itemType: string, title: string, abstractNote: string, collections: array<string>, dateAdded: string>"
+
+
 def read_library(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Collections and items of an exported interest library."""
     collections = spark.read.schema(COLLECTION).json(f"{folder}/collections")
@@ -19,6 +22,35 @@ def read_library(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return collections, items
 
 
+# The kinds of library items that count as papers.
+PAPER_ITEM_TYPES = ("conferencePaper", "journalArticle", "preprint")
+
+
+def library_items(raw: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
+    """Items of the paper kinds from JSON entries as the library service returns them, and how many were malformed.
+
+    An entry without a key, its data, a kind or a readable date of addition is malformed; the
+    second frame is one row with the counts ``items``, ``other_kinds`` and ``malformed``.
+    Missing titles and abstracts are empty, missing collections an empty list.
+    """
+    parsed = raw.select(F.from_json(payload, _ITEM_ENTRY).alias("e"))
+    data = F.col("e.data")
+    moment = F.try_to_timestamp(data["dateAdded"])
+    kind = F.coalesce(data["itemType"].isin(*PAPER_ITEM_TYPES), F.lit(False))
+    good = F.col("e.key").isNotNull() & data.isNotNull() & moment.isNotNull()
+    state = (
+        F.when(data["itemType"].isNotNull() & ~kind, "other_kinds").when(F.coalesce(good, F.lit(False)) & kind, "items").otherwise("malformed")
+    )
+    # An explode keeps the filter below from parsing every entry a second time.
+    judged = parsed.select(F.explode(F.array(F.struct(
+        state.alias("state"), F.col("e.key").alias("key"), F.coalesce(data["title"], F.lit("")).alias("title"),
+        F.coalesce(data["abstractNote"], F.lit("")).alias("abstract"),
+        F.coalesce(data["collections"], F.array().cast("array<string>")).alias("collection_keys"), moment.alias("added_at"),
+    ))).alias("i")).select("i.*")
+    counts = judged.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("items", "other_kinds", "malformed")])
+    return judged.where("state = 'items'").drop("state"), counts
+
+
 @register("atom")
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
     """Raw feed entries; an entry that does not parse keeps its text in ``_corrupt_record``."""
@@ -120,13 +152,28 @@ def read_preprints(spark: SparkSession, path: str, server: str, categories: Sequ
     """The latest day of a preprint server's listing, in the wanted categories."""
     listing = spark.read.schema(PREPRINT_RESPONSE).option("multiLine", True).json(path)
     rows = listing.select(F.explode("collection").alias("p")).select("p.*")
-    wanted = latest_date_only(rows, "date").where(F.col("category").isin(*[c.lower() for c in categories]))
+    return preprint_papers(rows, server, categories)[0]
+
+
+def preprint_papers(rows: DataFrame, server: str, categories: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Papers of the latest day in the wanted categories, and the wanted rows that make no paper with their ``reason``.
+
+    A row must name its title, authors, abstract, DOI and version; the first that is
+    missing is the reason.  Rows of other days or categories are neither.
+    """
+    latest = latest_date_only(rows, "date").where(F.col("category").isin(*[c.lower() for c in categories]))
+    needed = ("title", "authors", "abstract", "doi", "version")
+    reason = F.coalesce(*[F.when(F.col(name).isNull(), f"{name}_missing") for name in needed])
+    judged = latest.withColumn("reason", reason)
+    rejected = judged.where("reason IS NOT NULL").select(F.lit(server).alias("source"), *needed, "date", "category", "reason")
+    wanted = judged.where("reason IS NULL")
     url = F.concat(F.lit(f"https://www.{server}.org/content/"), "doi", F.lit("v"), "version", F.lit(".full.pdf"))
-    return wanted.select(
+    papers = wanted.select(
         F.lit(server).alias("source"), "title",
         F.transform(F.split("authors", ";"), lambda a: strip(a)).alias("authors"),
         "abstract", url.alias("url"), url.alias("pdf_url"), F.lit(None).cast("string").alias("full_text"),
     )
+    return papers, rejected
 
 
 def read_offline_fixture(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,35 @@ def merged_config(base: dict[str, Any], custom: dict[str, Any]) -> dict[str, Any
     return merged
 
 
+_VARIABLE = re.compile(r"\$\{oc\.env:\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:,([^{}]*))?\}")
+
+
+def with_environment(config: Any, environment: Mapping[str, str]) -> Any:
+    """``${oc.env:NAME}`` and ``${oc.env:NAME,default}`` in strings at any depth, replaced from ``environment``.
+
+    The default ``null`` alone in a value gives None.  A name that is neither set nor has
+    a default stops with an error that names it; values put in are not read again.
+    """
+    if isinstance(config, dict):
+        return {k: with_environment(v, environment) for k, v in config.items()}
+    if isinstance(config, list):
+        return [with_environment(v, environment) for v in config]
+    if not isinstance(config, str):
+        return config
+    whole = _VARIABLE.fullmatch(config)
+    if whole and whole[1] not in environment and whole[2] is not None and whole[2].strip() == "null":
+        return None
+
+    def value(found: re.Match[str]) -> str:
+        if found[1] in environment:
+            return environment[found[1]]
+        if found[2] is None:
+            raise ValueError(f"environment variable {found[1]!r} is not set and has no default")
+        return found[2].strip()
+
+    return _VARIABLE.sub(value, config)
+
+
 def without_empty(config: Any) -> Any:
     """Drop nulls, blank strings and containers that end up empty."""
     if isinstance(config, dict):

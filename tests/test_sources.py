@@ -192,3 +192,33 @@ def test_retries():
     assert retry.requested_wait("nan", now, 15.0) is None and retry.requested_wait("inf", now, 15.0) is None
     assert retry.backoff(3, 2.0, 30.0) == 8.0 and retry.backoff(3, 2.0, 30.0, linear=True) == 6.0
     assert retry.requested_wait("soon", now, 15.0) is None and retry.requested_wait("-3", now, 15.0) == 0.0
+
+
+def test_environment_values():
+    config = {"a": "${oc.env:NAME}", "b": ["x-${oc.env:NONE, y}-${oc.env:NAME}"], "c": "${oc.env:NONE,null}", "d": 3, "e": "${oc.env:EMPTY,z}"}
+    got = registry.with_environment(config, {"NAME": "${oc.env:NONE}", "EMPTY": ""})
+    assert got == {"a": "${oc.env:NONE}", "b": ["x-y-${oc.env:NONE}"], "c": None, "d": 3, "e": ""}
+    with pytest.raises(ValueError, match="'NONE' is not set"):
+        registry.with_environment({"a": {"b": "${oc.env:NONE}"}}, {})
+
+
+def test_library_entries_are_counted(spark):
+    entries = [
+        '{"key": "K", "data": {"itemType": "preprint", "title": "T", "dateAdded": "2024-01-02T03:04:05Z"}}',
+        '{"key": "K", "data": {"itemType": "preprint", "dateAdded": "then"}}', '{"data": {"itemType": "preprint", "dateAdded": "2024-01-02"}}',
+        '{"key": "K"}', "{", None, '{"key": "B", "data": {"itemType": "book"}}',
+    ]
+    items, counts = feeds.library_items(spark.createDataFrame([(e,) for e in entries], "entry string"), "entry")
+    assert [(r.key, r.title, r.abstract, r.collection_keys) for r in items.collect()] == [("K", "T", "", [])]
+    assert counts.collect() == [(1, 1, 5)]
+
+
+def test_preprints_without_a_field_are_rejected(spark):
+    rows = spark.createDataFrame(
+        [("t", "a", "x", "d", "1", "2024-01-02", "bio"), (None, "a", "x", None, "1", "2024-01-02", "bio"), ("t", "a", "x", None, "1", "2024-01-02", "bio"),
+         (None, "a", "x", "d", "1", "2024-01-01", "bio"), (None, "a", "x", "d", "1", "2024-01-02", "other")],
+        "title string, authors string, abstract string, doi string, version string, date string, category string",
+    )
+    papers, rejected = feeds.preprint_papers(rows, "server", ["Bio"])
+    assert [r.title for r in papers.collect()] == ["t"]
+    assert sorted(r.reason for r in rejected.collect()) == ["doi_missing", "title_missing"]
