@@ -18,6 +18,7 @@ one entry per block to a shard.  No step looks at pairs of documents.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,6 +34,8 @@ from lectern.session import materialize
 
 #: UTF-8 bytes of a block of documents, and of text per shard of the name space.
 BLOCK_BYTES, SHARD_BYTES = 3 << 19, 8 << 20
+#: Windows that are named at a time.
+STRETCH = 1 << 14
 ROW = "block long, doc_ids binary, lengths binary, texts binary"
 NAMES = "block long, kind int, shard long, keys binary, values binary, flags binary"
 #: Kinds of names: representatives, whole runs, runs of a representative, windows.
@@ -116,17 +119,31 @@ class Repeats:
     inner: int
     units: Callable[[list[bytes]], list[np.ndarray]]
 
-    def names(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names of ``inner`` and of ``window`` units by doubling."""
-        length, inner = 1, units
-        while length < self.window:
-            if length == self.inner:
-                inner = units
-            longest = self.inner if length < self.inner else self.window
-            step = min(length, longest - length)
-            units = paired(units, step)
+    def grown(self, names: np.ndarray, length: int, wanted: int) -> np.ndarray:
+        """Names of ``wanted`` units from names of ``length`` units by doubling."""
+        while length < wanted:
+            step = min(length, wanted - length)
+            names = paired(names, step)
             length += step
-        return inner, units
+        return names
+
+    def names(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of ``inner`` and of ``window`` units."""
+        inner = self.grown(units, 1, self.inner)
+        return inner, self.grown(inner, self.inner, self.window)
+
+    def windows(self, units: np.ndarray, name: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """``name`` of all windows, worked out in stretches that stay in a core's cache."""
+        n = max(0, len(units) - self.window + 1)
+        out = np.empty(n, np.uint64)
+        for a in range(0, n, STRETCH):
+            b = min(a + STRETCH, n)
+            out[a:b] = name(units[a : b + self.window - 1])
+        return out
+
+    def representatives(self, units: np.ndarray) -> np.ndarray:
+        """The least inner name in each window."""
+        return sliding_least(self.grown(units, 1, self.inner), self.window - self.inner + 1)
 
     def analyse(self, rows: list[dict]) -> "Analysis":
         ids, texts = [], []
@@ -143,27 +160,20 @@ class Repeats:
         lengths = np.array([len(u) for u in own], np.int64)
         units = np.concatenate(own) if own else np.empty(0, np.uint64)
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        inner, full = self.names(units)
-        least = sliding_least(inner, self.window - self.inner + 1)
+        least = self.windows(units, self.representatives)
         # Starts of windows that stay within their document.
-        inside = np.zeros(len(units) + 1, np.int32)
-        usable = lengths >= self.window
-        np.add.at(inside, starts[:-1][usable], 1)
-        np.add.at(inside, starts[:-1][usable] + lengths[usable] - self.window + 1, -1)
-        at = np.flatnonzero(np.cumsum(inside[: len(full)]))
-        owner = np.searchsorted(starts, at, side="right") - 1
-        seed, name = least[at], full[at]
+        usable = np.flatnonzero(lengths >= self.window)
+        windows = lengths[usable] - self.window + 1
+        owner = np.repeat(usable, windows)
+        ahead = np.concatenate([[0], np.cumsum(windows)[:-1]]) if len(usable) else windows
+        at = np.arange(len(owner)) + np.repeat(starts[usable] - ahead, windows)
+        seed = least[at]
         first = np.ones(len(at), bool)
         first[1:] = (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])
         run_start = np.flatnonzero(first)
         run = np.cumsum(first) - 1
-        place = np.arange(len(at)) - run_start[run] if len(at) else np.empty(0, np.int64)
-        if len(at):
-            weights = mixed(np.arange(1, place.max() + 2, dtype=np.uint64) * _A) | np.uint64(1)
-            run_name = mixed(np.add.reduceat(name * weights[place], run_start))
-        else:
-            run_name = name
-        return Analysis(self, doc_ids[order], texts, starts, at, owner, name, run, seed[run_start], run_name, doc_ids[order][owner[run_start]])
+        doc_ids = doc_ids[order]
+        return Analysis(self, doc_ids, texts, starts, at, owner, units, run, run_start, seed[run_start], doc_ids[owner[run_start]])
 
 
 def per_name(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +189,7 @@ def per_name(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Analysis:
-    """A block's windows (place, document, name, run) and runs (representative, name, document)."""
+    """A block's windows (place, document, run) and runs (first window, representative, document)."""
 
     kind: Repeats
     doc_ids: np.ndarray
@@ -187,23 +197,42 @@ class Analysis:
     starts: np.ndarray
     at: np.ndarray
     owner: np.ndarray
-    name: np.ndarray
+    units: np.ndarray
     run: np.ndarray
+    run_start: np.ndarray
     run_seed: np.ndarray
-    run_name: np.ndarray
     run_doc: np.ndarray
 
-    def repeated(self, replies: dict[int, "Reply"]) -> np.ndarray:
-        """Runs whose representative occurs in several documents."""
-        return replies[SEEDS].has(self.run_seed)
-
-    def settled(self, replies: dict[int, "Reply"]) -> np.ndarray:
-        """Runs that an earlier document has as a whole."""
-        return self.repeated(replies) & (replies[RUNS].least(self.run_name, self.run_doc) < self.run_doc)
+    @functools.cached_property
+    def name(self) -> np.ndarray:
+        """The name of each window; the first step does without."""
+        return self.kind.windows(self.units, lambda part: self.kind.names(part)[1])[self.at]
+
+    def run_names(self, chosen: np.ndarray) -> np.ndarray:
+        """Names of the chosen runs, from the names and places of their windows."""
+        if not len(chosen):
+            return np.empty(0, np.uint64)
+        lengths = np.diff(np.append(self.run_start, len(self.at)))[chosen]
+        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        place = np.arange(lengths.sum()) - np.repeat(begins, lengths)
+        weights = mixed(np.arange(1, lengths.max() + 1, dtype=np.uint64) * _A) | np.uint64(1)
+        names = self.name[place + np.repeat(self.run_start[chosen], lengths)]
+        return mixed(np.add.reduceat(names * weights[place], begins))
 
-    def open_windows(self, replies: dict[int, "Reply"]) -> np.ndarray:
-        open_runs = self.repeated(replies) & ~self.settled(replies) & replies[OPEN].has(self.run_seed)
-        return open_runs[self.run]
+    def repeated(self, replies: dict[int, "Reply"]) -> np.ndarray:
+        """Numbers of the runs whose representative occurs in several documents."""
+        return np.flatnonzero(replies[SEEDS].has(self.run_seed))
+
+    def settled(self, replies: dict[int, "Reply"]) -> tuple[np.ndarray, np.ndarray]:
+        """Masks of the runs that an earlier document has as a whole, and of those whose windows are to be asked for."""
+        whole, open_runs = np.zeros(len(self.run_seed), bool), np.zeros(len(self.run_seed), bool)
+        chosen = self.repeated(replies)
+        doc = self.run_doc[chosen]
+        earlier = replies[RUNS].least(self.run_names(chosen), doc) < doc
+        whole[chosen[earlier]] = True
+        rest = chosen[~earlier]
+        open_runs[rest] = replies[OPEN].has(self.run_seed[rest])
+        return whole, open_runs
 
     def requests(self, step: int, replies: dict[int, "Reply"]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(kind, keys, values, flags) to ask for in ``step``; a flag says that the block alone has several values."""
@@ -212,20 +241,23 @@ class Analysis:
             return [(SEEDS, keys, np.empty(0, np.int64), several)]
         if step == 1:
             chosen = self.repeated(replies)
-            seed, name, doc = self.run_seed[chosen], self.run_name[chosen], self.run_doc[chosen]
+            seed, name, doc = self.run_seed[chosen], self.run_names(chosen), self.run_doc[chosen]
             return [(RUNS, *per_name(name, doc)), (OPEN, *per_name(seed, name.view(np.int64)))]
-        chosen = self.open_windows(replies)
+        chosen = np.flatnonzero(self.settled(replies)[1][self.run])
         return [(WINDOWS, *per_name(self.name[chosen], self.doc_ids[self.owner[chosen]]))]
 
     def covered(self, replies: dict[int, "Reply"]) -> np.ndarray:
         """Whether each unit is in a window that also starts in an earlier document."""
-        doc = self.doc_ids[self.owner]
-        hit = self.settled(replies)[self.run] if len(self.at) else np.zeros(0, bool)
-        chosen = self.open_windows(replies) if len(self.at) else hit
-        hit[chosen] = replies[WINDOWS].least(self.name[chosen], doc[chosen]) < doc[chosen]
-        change = np.zeros(self.starts[-1] + 1, np.int64)
-        np.add.at(change, self.at[hit], 1)
-        np.add.at(change, self.at[hit] + self.kind.window, -1)
+        whole, open_runs = self.settled(replies)
+        hit = whole[self.run]
+        chosen = np.flatnonzero(open_runs[self.run])
+        doc = self.doc_ids[self.owner[chosen]]
+        hit[chosen] = replies[WINDOWS].least(self.name[chosen], doc) < doc
+        change = np.zeros(self.starts[-1] + 1, np.int32)
+        # Windows start at different places, so no place is named twice.
+        begins = self.at[hit]
+        change[begins] += 1
+        change[begins + self.kind.window] -= 1
         return np.cumsum(change[:-1]) > 0
 
 
