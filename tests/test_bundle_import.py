@@ -73,3 +73,18 @@ def test_restarts_and_a_second_checkpoint_lose_nothing(spark, tmp_path):
         wanted_counters, wanted_state = plain(done)
         assert {r[0]: tuple(r[1:]) for r in bundle_import.counters(got).collect()} == wanted_counters
         assert {r[0]: tuple(r[1:]) for r in bundle_import.state(got).collect()} == wanted_state
+
+
+def test_a_session_with_the_default_state_store(spark, tmp_path):
+    bundles = make(random.Random(5), 3)
+    spark.createDataFrame(bundles, SCHEMA).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get(bundle_import.STORE)
+    try:
+        spark.conf.set(bundle_import.STORE, bundle_import.PLAIN_STORE)
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        bundle_import.start(stream, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+        assert spark.conf.get(bundle_import.STORE) == bundle_import.PLAIN_STORE
+        got = spark.read.parquet(f"{tmp_path}/out")
+        assert {r[0]: tuple(r[1:]) for r in bundle_import.counters(got).collect()} == plain(bundles)[0]
+    finally:
+        spark.conf.set(bundle_import.STORE, before)
