@@ -6,7 +6,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.dataset as ds
 
 
@@ -26,16 +28,42 @@ def by_ids(ids: Iterable, path: str, key: str, columns: list[str]) -> list[tuple
     return _rows(ds.dataset(path, format="parquet").to_table(columns=columns, filter=ds.field(key).isin(list(ids))))
 
 
+@dataclass
+class _Listing:
+    """A listing being paged through: its row groups and the rows found in the one read last."""
+
+    pieces: list
+    group: int = -1
+    found: pa.Table | None = None
+
+
+#: The listing that was paged last; a task follows one after the other.
+_last: dict[tuple, _Listing] = {}
+
+
 def by_cursor(
     listing: str, cursor: str | None, path: str, field: str, columns: list[str], page_size: int
 ) -> tuple[list[tuple], str | None]:
-    """One page of the rows whose ``field`` is ``listing``; the cursor is a row group and a place in it."""
+    """One page of the rows whose ``field`` is ``listing``; the cursor is a row group and a place in it.
+
+    Pages asked for in order read the footers once and every row group once, and hold the
+    listing's rows of one row group.  A first page looks at the files anew.
+    """
     group, start = (0, 0) if cursor is None else map(int, cursor.split(":"))
-    pieces = _fragments(path)
-    if group >= len(pieces):
+    key = (listing, path, field, tuple(columns))
+    state = _last.pop(key, None)
+    if cursor is None or state is None:
+        state = _Listing(_fragments(path))
+    if group >= len(state.pieces):
         return [], None
-    found = pieces[group].to_table(columns=columns, filter=ds.field(field) == listing)
-    page = _rows(found.slice(start, page_size))
-    if start + page_size < found.num_rows:
-        return page, f"{group}:{start + page_size}"
-    return page, f"{group + 1}:0" if group + 1 < len(pieces) else None
+    if group != state.group:
+        state.group, state.found = group, state.pieces[group].to_table(columns=columns, filter=ds.field(field) == listing)
+    page = _rows(state.found.slice(start, page_size))
+    if start + page_size < state.found.num_rows:
+        following = f"{group}:{start + page_size}"
+    else:
+        following = f"{group + 1}:0" if group + 1 < len(state.pieces) else None
+    _last.clear()
+    if following is not None:
+        _last[key] = state
+    return page, following

@@ -1,10 +1,12 @@
 import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.sources import lookups, retry
+from lectern.sources import lookups, retry, table_service
 
 SCHEMA = "id bigint, name string"
 
@@ -72,3 +74,29 @@ def test_cursors_are_followed_to_the_end(spark):
     assert sorted(map(tuple, df.collect())) == [(n, k) for n in "ab" for k in range(6)]
     with pytest.raises(Exception, match="came back to cursor"):
         listing("loop").collect()
+
+
+def test_pages_in_order_read_every_row_group_once(tmp_path, monkeypatch):
+    rows = [(k, "ab"[k % 2]) for k in range(50)]
+    names = ["k", "kind"]
+    pq.write_table(pa.table([list(c) for c in zip(*rows)], names), f"{tmp_path}/t.parquet", row_group_size=20)
+    listed = []
+    monkeypatch.setattr(table_service, "_fragments", lambda path, plain=table_service._fragments: listed.append(path) or plain(path))
+    given = {"path": f"{tmp_path}/t.parquet", "field": "kind", "columns": ["k"], "page_size": 3}
+
+    def pages(name):
+        cursor, pages = None, []
+        while not pages or cursor is not None:
+            page, cursor = table_service.by_cursor(name, cursor, **given)
+            pages.append(([r[0] for r in page], cursor))
+        return pages
+
+    got = pages("a")
+    assert [k for page, _ in got for k in page] == list(range(0, 50, 2))
+    assert len(got) > 3 and listed == [given["path"]]
+    # A cursor means the same page without the pages before, and a new first page sees new files.
+    for k in (4, 2):
+        table_service._last.clear()
+        assert table_service.by_cursor("a", got[k - 1][1], **given) == ([(x,) for x in got[k][0]], got[k][1])
+    pq.write_table(pa.table([[7], ["a"]], names), f"{tmp_path}/t.parquet")
+    assert pages("a") == [([7], None)] and pages("none") == [([], None)]
