@@ -193,3 +193,14 @@ def test_batches_of_different_runs_are_not_validated(spark):
     got = {r.paper_id: (r.code, r.status) for r in validation.batch_results(selected, codes, runs, reports).collect()}
     mixed = ("validation_run_id_mismatch", "failed")
     assert got == {"a": mixed, "b": mixed, "e": mixed, "c": ("validation_internal_error", "failed"), "d": ("validation_input_missing", "skipped")}
+
+
+def test_a_batch_is_numbered_once_for_all_its_parts(spark, tmp_path, capsys):
+    rows = [(k, k % 3, date(2024, 1, 1 + k % 9)) for k in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    issues = contract_plans.batch_contract(spark, str(tmp_path))
+    issues.explain()
+    assert "Window" not in capsys.readouterr().out
+    # Twenty orders each: over the pool, and with repeated dates.
+    codes = {(r.run_id, r.code) for r in issues.collect()}
+    assert {(run, code) for run in range(3) for code in ("candidates_over_pool", "candidate_id_not_unique")} <= codes
