@@ -1,10 +1,11 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import answers, contracts, ranking, reader, validation
+from lectern.plans import contract_plans
 
 ORDER = ("fetch", "read", "send")
 LIMITS = contracts.BatchLimits(pool=4, shortlist=3, full=1)
