@@ -200,25 +200,41 @@ def parameter_issues(
     """Rules between parameters and ablations.
 
     References are rows ``(paper_id, pos, target, ref)`` with target ``evidence``,
-    ``ablation``, ``parameter``, ``visual`` or ``conclusion``.
+    ``ablation``, ``parameter``, ``visual`` or ``conclusion``.  All that must name something
+    are put into one relation and joined once with the evidence, names and ids, so each is
+    shuffled once.
     """
-    evidence = known_evidence(packet)
-    names = parameters.select("paper_id", F.col("name").alias("ref")).distinct()
-    ids = ablations.select("paper_id", F.col("ablation_id").alias("ref")).distinct()
-    evidence_ids = evidence.select("paper_id", F.col("evidence_id").alias("ref"))
-    figures = evidence.where("evidence_kind <> 'text'").select("paper_id", F.col("evidence_id").alias("ref"))
     path = {
         "parameters": F.concat(F.lit("parameters."), F.col("pos")),
         "ablations": F.concat(F.lit("ablations."), F.col("pos")),
     }
-
-    def dangling(refs, target, allowed, code, owner):
-        missing = refs.where(F.col("target") == target).join(allowed, ["paper_id", "ref"], "left_anti")
-        return row_issues(missing, {code: F.lit(True)}, evidence_id=F.col("ref"), field_path=path[owner])
-
-    shown = ablation_refs.where("target = 'visual'").select("paper_id", "pos", "ref")
-    cited = ablation_refs.where("target = 'conclusion'").select("paper_id", "pos", "ref")
-    uncited = shown.join(cited, ["paper_id", "pos", "ref"], "left_anti").select("paper_id", "pos").distinct()
+    target = F.col("target")
+
+    def facts(df: DataFrame, space: str, ref: str, shown: Column) -> DataFrame:
+        return df.select("paper_id", F.lit(space).alias("_space"), F.col(ref).cast("string").alias("ref"), shown.alias("_shown"))
+
+    def asking(refs: DataFrame, owner: str, *targets: str) -> DataFrame:
+        space = F.when(target == "visual", "evidence").otherwise(target)
+        return refs.where(target.isin(*targets)).select(
+            "paper_id", path[owner].alias("_path"), "target", space.alias("_space"), F.col("ref").cast("string").alias("ref")
+        )
+
+    figure = F.coalesce(F.col("evidence_kind") != "text", F.lit(False))
+    known = (
+        facts(known_evidence(packet), "evidence", "evidence_id", figure)
+        .unionByName(facts(parameters, "parameter", "name", F.lit(False)).distinct())
+        .unionByName(facts(ablations, "ablation", "ablation_id", F.lit(False)).distinct())
+    )
+    asked = asking(parameter_refs, "parameters", "evidence", "ablation").unionByName(asking(ablation_refs, "ablations", "parameter", "visual"))
+    found = asked.join(known, ["paper_id", "_space", "ref"], "left")
+    unknown = F.col("_shown").isNull()
+    # Null matches nothing here either, though a group may have it as its key.
+    keyed = F.col("paper_id").isNotNull() & F.col("pos").isNotNull() & F.col("ref").isNotNull()
+    uncited = (
+        ablation_refs.where(target.isin("visual", "conclusion")).groupBy("paper_id", "pos", "ref")
+        .agg(F.bool_or(target == "visual").alias("_visual"), F.bool_or(target == "conclusion").alias("_cited"))
+        .where(F.col("_visual") & ~(F.col("_cited") & keyed)).select("paper_id", "pos").distinct()
+    )
     parts = [
         row_issues(
             parameters,
@@ -229,10 +245,16 @@ def parameter_issues(
                    {"duplicate_parameter_name": F.lit(True)}, field_path=F.lit("parameters")),
         row_issues(duplicates(ablations, "paper_id", "ablation_id"),
                    {"duplicate_ablation_id": F.lit(True)}, field_path=F.lit("ablations")),
-        dangling(parameter_refs, "evidence", evidence_ids, "parameter_unknown_evidence", "parameters"),
-        dangling(parameter_refs, "ablation", ids, "parameter_unknown_ablation", "parameters"),
-        dangling(ablation_refs, "parameter", names, "ablation_unknown_parameter", "ablations"),
-        dangling(ablation_refs, "visual", figures, "ablation_requires_visual", "ablations"),
+        row_issues(
+            found,
+            {
+                "parameter_unknown_evidence": (target == "evidence") & unknown,
+                "parameter_unknown_ablation": (target == "ablation") & unknown,
+                "ablation_unknown_parameter": (target == "parameter") & unknown,
+                "ablation_requires_visual": (target == "visual") & ~F.coalesce("_shown", F.lit(False)),
+            },
+            evidence_id=F.col("ref"), field_path=F.col("_path"),
+        ),
         row_issues(uncited, {"ablation_conclusion_missing_visual": F.lit(True)}, field_path=path["ablations"]),
     ]
     result = parts[0]

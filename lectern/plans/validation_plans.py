@@ -164,9 +164,38 @@ def digest_rows(spark, folder):
     return validation.digest(_reports(spark, folder), claims, _visuals(spark, folder))
 
 
+def _parameter_refs(spark, folder):
+    """The references of parameters and of ablations, all from one join of the lines with the orders.
+
+    An order row owns the lines of all rows with its key and customer, so a line counts once
+    for each pair of such rows; nothing needs joining again for that.  What belongs to whom is
+    only decided on the rows made of a line, which leaves both relations the same shuffles.
+    """
+    kind, rows = F.col("expected_kind"), F.count("*")
+    owners = _orders(spark, folder).where("paper_id IS NOT NULL").groupBy("claim_pos", "paper_id").agg(
+        (rows * F.count_if(kind == "result")).cast("int").alias("_as_parameter"), (rows * F.count_if(kind == "method")).cast("int").alias("_as_ablation")
+    ).where("_as_parameter + _as_ablation > 0")
+    lines = b.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("claim_pos"), "l_partkey", F.trunc("l_shipdate", "month").alias("_month"), (F.col("l_discount") < 0.08).alias("_concluded")
+    )
+    month, part = F.date_format("_month", "'c'yyyyMM"), F.col("l_partkey").cast("string")
+
+    def ref(target, value):
+        return F.struct(F.lit(target).alias("target"), value.alias("ref"))
+
+    def times(count, *refs):
+        return F.flatten(F.array_repeat(F.array_compact(F.array(*refs)), F.col(count)))
+
+    of_parameter = times("_as_parameter", ref("evidence", part), ref("ablation", month))
+    of_ablation = times("_as_ablation", ref("parameter", month), ref("visual", part), F.when(F.col("_concluded"), ref("conclusion", part)))
+    refs = lines.join(owners, "claim_pos").select(
+        "paper_id", F.col("claim_pos").alias("pos"), F.explode(F.concat(of_parameter, of_ablation)).alias("_r")
+    ).select("paper_id", "pos", "_r.target", "_r.ref")
+    return refs.where("target IN ('evidence', 'ablation')"), refs.where("target IN ('parameter', 'visual', 'conclusion')")
+
+
 def parameter_issues(spark, folder):
     claims, _, packet = _claim_inputs(spark, folder)
-    lines = _lines(spark, folder)
     keyed = claims.select("paper_id", "claim_pos", "expected_kind", "claim_id", "source_type", "inferred")
     parameters = keyed.where("expected_kind = 'result'").select(
         "paper_id", F.col("claim_pos").alias("pos"), F.col("claim_id").alias("name"), "source_type", "inferred"
@@ -174,23 +203,7 @@ def parameter_issues(spark, folder):
     ablations = keyed.where("expected_kind = 'method'").select(
         "paper_id", F.col("claim_pos").alias("pos"), F.col("claim_id").alias("ablation_id")
     )
-    month = F.date_format("l_shipdate", "'c'yyyyMM")
-    part = F.col("evidence_id").cast("string")
-
-    def refs(owners, *targets):
-        owned = lines.join(owners.select("paper_id", F.col("pos").alias("claim_pos")), ["paper_id", "claim_pos"])
-        return owned.select(
-            "paper_id", F.col("claim_pos").alias("pos"), F.explode(F.array_compact(F.array(*targets))).alias("_r")
-        ).select("paper_id", "pos", "_r.target", "_r.ref")
-
-    def ref(target, value):
-        return F.struct(F.lit(target).alias("target"), value.alias("ref"))
-
-    parameter_refs = refs(parameters, ref("evidence", part), ref("ablation", month))
-    ablation_refs = refs(
-        ablations, ref("parameter", month), ref("visual", part),
-        F.when(F.col("l_discount") < 0.08, ref("conclusion", part)),
-    )
+    parameter_refs, ablation_refs = _parameter_refs(spark, folder)
     packet = packet.withColumn("evidence_id", F.col("evidence_id").cast("string"))
     issues = validation.parameter_issues(parameters, parameter_refs, ablations, ablation_refs, packet)
     return issues.groupBy("paper_id", "code").agg(F.count("*").alias("n"))

@@ -92,6 +92,58 @@ def test_parameter_rules(spark):
     }
 
 
+def _parameter_inputs(spark):
+    packet = spark.createDataFrame([("p", "e1", "text", False, 0), ("p", "e1", "figure", False, 1), ("p", None, "figure", False, 2), ("p", "n1", None, False, 3)],
+                                   "paper_id string, evidence_id string, kind string, abstract_only boolean, pos long")
+    parameters = spark.createDataFrame([("p", 0, "lr", "paper_text", False), ("p", 1, None, "paper_text", False)],
+                                       "paper_id string, pos long, name string, source_type string, inferred boolean")
+    ablations = spark.createDataFrame([("p", 0, "a1"), ("p", 1, "e1")], "paper_id string, pos long, ablation_id string")
+    refs = "paper_id string, pos long, target string, ref string"
+    parameter_refs = spark.createDataFrame(
+        [("p", 0, "evidence", "e1"), ("p", 0, "evidence", "lr"), ("p", 1, "evidence", "lr"), ("p", 1, "evidence", None), ("p", 0, "ablation", "e1"),
+         ("p", 0, "ablation", "lr"), ("p", 0, "visual", "e9"), (None, 0, "evidence", "e1")], refs)
+    ablation_refs = spark.createDataFrame(
+        [("p", 0, "parameter", "a1"), ("p", 0, "parameter", "a1"), ("p", 0, "parameter", "lr"), ("p", 0, "parameter", None), ("p", 0, "visual", "e1"), ("p", 0, "conclusion", "e1"),
+         ("p", 1, "visual", "n1"), ("p", 1, "conclusion", "n1"), ("p", 2, "visual", None), ("p", 2, "conclusion", None), ("p", 3, "visual", "e1"), ("p", 3, "visual", "e1")], refs)
+    return parameters, parameter_refs, ablations, ablation_refs, packet
+
+
+def test_parameter_rules_on_nulls_copies_and_ids_shared_between_kinds(spark):
+    found = validation.parameter_issues(*_parameter_inputs(spark))
+    got = sorted((r.code, r.paper_id or "", r.field_path, r.evidence_id or "") for r in found.collect())
+    assert got == sorted([
+        ("parameter_unknown_evidence", "p", "parameters.0", "lr"), ("parameter_unknown_evidence", "p", "parameters.1", "lr"),
+        ("parameter_unknown_evidence", "p", "parameters.1", ""), ("parameter_unknown_evidence", "", "parameters.0", "e1"),
+        ("parameter_unknown_ablation", "p", "parameters.0", "lr"), *[("ablation_unknown_parameter", "p", "ablations.0", "a1")] * 2,
+        ("ablation_unknown_parameter", "p", "ablations.0", ""), ("ablation_requires_visual", "p", "ablations.1", "n1"),
+        ("ablation_requires_visual", "p", "ablations.2", ""), ("ablation_conclusion_missing_visual", "p", "ablations.2", ""),
+        ("ablation_conclusion_missing_visual", "p", "ablations.3", ""),
+    ])
+
+
+def test_parameter_rules_join_the_references_once(spark):
+    plan = validation.parameter_issues(*_parameter_inputs(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_references_of_repeated_orders_count_once_per_pair(spark, tmp_path):
+    from datetime import datetime
+
+    from lectern.plans import validation_plans
+
+    day = datetime(1995, 3, 31, 12)
+    orders = [(1, 7, "3-M"), (1, 7, "3-M"), (1, 7, "2-H"), (1, 8, "1-U"), (2, None, "3-M"), (None, 7, "3-M"), (3, 7, "2-H")]
+    spark.createDataFrame([(*o, day, "O", 1.0) for o in orders], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp, o_orderstatus string, "
+                          "o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 5, 0.01), (2, 5, 0.01), (None, 5, 0.01), (3, 5, 0.09), (3, None, 0.01), (4, 5, 0.01)]
+    spark.createDataFrame([(*x, day) for x in lines], "l_orderkey long, l_partkey long, l_discount double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [sorted((*r[:3], r[3] or "") for r in refs.collect()) for refs in validation_plans._parameter_refs(spark, str(tmp_path))]
+    # Three rows of order 1 have customer 7: two parameters and one ablation, each with the line three times.
+    of_three = [(7, 3, "parameter", "c199503"), (7, 3, "visual", "5"), (7, 3, "parameter", "c199503"), (7, 3, "visual", ""), (7, 3, "conclusion", "")]
+    assert got[0] == sorted([(7, 1, "evidence", "5"), (7, 1, "ablation", "c199503")] * 6)
+    assert got[1] == sorted([(7, 1, "parameter", "c199503"), (7, 1, "visual", "5"), (7, 1, "conclusion", "5")] * 3 + of_three)
+
+
 def test_input_codes_follow_their_precedence(spark):
     def frame(rows, schema):
         return spark.createDataFrame(rows, schema)
