@@ -6,11 +6,14 @@ kind are put into one relation, so each is shuffled once, to the facts it refers
 leaves a mask of the rules it breaks.  Masks are rolled up with ``bit_or`` per element and
 named at the end.  Facts and edges only meet in joins and in aggregates that combine before
 the shuffle, so a document that holds a large part of all blocks is not gathered anywhere.
+Blocks and what points to them are many narrow rows that compress to a few bytes each, so
+their partitions follow from the number of rows and not from the size of the shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,6 +30,9 @@ RULES = (
     "region_outside_page", "region_source_mismatch", "region_parser_mismatch", "image_outside_evidence_root",
 )
 
+#: Blocks and edges to blocks that one task sorts and counts.
+ROWS_PER_TASK = 500_000
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -119,8 +125,19 @@ def _page_masks(g: Graph) -> DataFrame:
     return boxes.unionByName(_masks(facts, "page", "pdf_page", page_number_not_unique=F.col("_n") > 1))
 
 
+def _block_partitions(g: Graph) -> int:
+    """How many partitions blocks and the edges to them are dealt to."""
+    many = (g.blocks, g.page_blocks, g.section_blocks, g.caption_blocks)
+    rows = reduce(DataFrame.unionAll, [df.select(F.lit(1)) for df in many]).count()
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
 def _block_masks(g: Graph) -> DataFrame:
-    facts = g.blocks.groupBy("doc_id", "block_id").agg(
+    keys, partitions = ["doc_id", "block_id"], _block_partitions(g)
+    # Null ids match nothing and are not judged as blocks.  Dealt before they are grouped: hardly an id comes twice.
+    facts = g.blocks.where("doc_id IS NOT NULL AND block_id IS NOT NULL").select(*keys, "pdf_page", "section_id", "block_type").repartition(
+        partitions, *keys
+    ).groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("pdf_page").alias("_page"), F.min("section_id").alias("_section"),
         F.min("block_type").alias("_type"),
     )
@@ -132,16 +149,16 @@ def _block_masks(g: Graph) -> DataFrame:
         return df.select("doc_id", "block_id", F.lit(kind).alias("_kind"), *[c.alias(n) for n, c in ends.items()])
 
     listed = (
-        edges(facts, "self")
-        .unionByName(edges(g.page_blocks, "page", _on=F.col("pdf_page").cast("bigint")))
+        edges(g.page_blocks, "page", _on=F.col("pdf_page").cast("bigint"))
         .unionByName(edges(g.section_blocks, "section", _in=F.col("section_id")))
         .unionByName(edges(g.caption_blocks, "caption", _of=F.col("visual_id")))
-    )
-    resolved = listed.join(facts, ["doc_id", "block_id"], "left")
+    ).repartition(partitions, *keys)
+    # A block that nothing points to stays as a row without a kind.
+    resolved = listed.join(facts, keys, "full")
     kind, unknown = F.col("_kind"), F.col("_n").isNull()
     owners = F.when(kind == "page", F.col("_on").cast("string")).when(kind == "section", F.col("_in").cast("string")).otherwise(F.col("_of").cast("string"))
     by_owner = _masks(
-        resolved.where("_kind <> 'self'"), F.when(kind == "caption", "visual").otherwise(kind), owners,
+        resolved.where("_kind IS NOT NULL"), F.when(kind == "caption", "visual").otherwise(kind), owners,
         page_lists_unknown_block=(kind == "page") & unknown,
         section_lists_unknown_block=(kind == "section") & unknown,
         membership_not_in_block=(kind == "section") & ~unknown & differs(F.col("_in"), F.col("_section")),

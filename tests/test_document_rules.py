@@ -1,4 +1,5 @@
 import copy
+import re
 
 import pytest
 
@@ -118,3 +119,25 @@ def test_paths_within_a_root(spark, path, root, inside):
 
     df = spark.createDataFrame([(path, root)], "p string, r string")
     assert df.select(rules.path_within(F.col("p"), F.col("r")).alias("x")).first().x is inside
+
+
+def test_blocks_are_dealt_by_their_number_and_null_ids_match_nothing(spark, monkeypatch):
+    graph = _good(0)
+    for change in (
+        _add("blocks", None, "text", 2, B, None, _source(2)), _add("blocks", "d", "text", 2, B, "t", _source(2)),
+        _add("page_blocks", 2, None), _add("section_blocks", "t", None), _add("caption_blocks", "w", None),
+    ):
+        change(graph)
+    frames = _frames(spark, [graph])
+    found = []
+    for rows in (rules.ROWS_PER_TASK, 2):
+        monkeypatch.setattr(rules, "ROWS_PER_TASK", rows)
+        masks = rules.graph_masks(frames)
+        found.append({(r.kind, r.element, r.code) for r in rules.named(masks).collect()})
+        count = -(-sum(len(graph[t]) for t in ("blocks", "page_blocks", "section_blocks", "caption_blocks")) // rows)
+        plan = masks._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(rf"RepartitionByExpression \[doc_id#\d+L, block_id#\d+\], {count}\b", plan)
+    assert found[0] == found[1] == {
+        ("block", "d", "block_not_once_on_its_page"), ("block", "d", "membership_not_in_section"),
+        ("page", "2", "page_lists_unknown_block"), ("section", "t", "section_lists_unknown_block"), ("visual", "w", "caption_block_unknown"),
+    }
