@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from lectern.streaming import bundle_import
 
 SCHEMA = f"bundle_id string, generated_at timestamp, commands array<struct<{bundle_import.COMMAND.replace(' ', ': ').replace(',:', ',')}>>"
@@ -88,3 +90,33 @@ def test_a_session_with_the_default_state_store(spark, tmp_path):
         assert {r[0]: tuple(r[1:]) for r in bundle_import.counters(got).collect()} == plain(bundles)[0]
     finally:
         spark.conf.set(bundle_import.STORE, before)
+
+
+def test_bundles_and_papers_of_a_bucket_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bundle_import, "BUCKETS", 2)
+    rng = random.Random(6)
+    bundles = make(rng, 30)
+    done = []
+    for k, some in enumerate([bundles[:20] + bundles[3:6], bundles[10:]]):
+        spark.createDataFrame(some, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        done += some
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
+        bundle_import.start(stream, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/out")
+        wanted_counters, wanted_state = plain(done)
+        assert {r[0]: tuple(r[1:]) for r in bundle_import.counters(got).collect()} == wanted_counters
+        assert {r[0]: tuple(r[1:]) for r in bundle_import.state(got).collect()} == wanted_state
+
+
+def test_a_bundle_in_several_frames_of_a_call():
+    class Seen(dict):
+        exists = lambda self: bool(self)
+        containsKey = dict.__contains__
+        updateValue = dict.__setitem__
+
+    once = bundle_import.Once()
+    once.seen = Seen({("old",): (True,)})
+    frame = lambda rows: pd.DataFrame([(*r, 0) for r in rows], columns=["bundle_id", "copy", "command_id", "bucket"])
+    frames = [frame([("a", "x", 1), ("old", "y", 2), ("a", "z", 3)]), frame([("a", "z", 4), ("a", "x", 5), ("b", "w", 6)])]
+    got = pd.concat(once.handleInputRows((0,), iter(frames), None))
+    assert got.values.tolist() == [["a", 1], ["a", 5], ["b", 6]] and set(once.seen) == {("old",), ("a",), ("b",)}
